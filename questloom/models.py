@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"\w+")
 _CHUNK = re.compile(r"CHUNK ID: (.*?)\nTEXT: (.*?)\n\n", re.DOTALL)
 _QUESTION = re.compile(r'Question: "(.*)"\nReply: \Z', re.DOTALL)
@@ -32,6 +33,11 @@ class HashingEmbedder:
         return out
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each of a-z occurs: an embedding that SQL can compute as well."""
+    return np.array([[(t or "").count(c) for c in LETTERS] for t in texts], dtype=np.float32).reshape(-1, 26)
+
+
 def overlap_scorer(pairs: list[tuple[str, str]]) -> list[float]:
     """The share of the question's words that the chunk has."""
     scores = []

@@ -58,7 +58,11 @@ def _reply(prompt: str) -> str:
     if '"route"' in prompt:
         return json.dumps({"route": "SQL" if "how many" in question.lower() else "SEMANTIC"})
     if '"query"' in prompt:
-        return json.dumps({"query": "SELECT count(*) AS n FROM kna1"})
+        if question.startswith("Delete"):
+            return json.dumps({"query": "DELETE FROM kna1"})
+        place = re.search(r" in (\w+)\?", question)
+        where = f" WHERE land1 = '{place[1]}'" if place else ""
+        return json.dumps({"query": f"SELECT count(*) AS n FROM kna1{where}"})
     if '"filters"' in prompt:
         excluded = re.findall(r"\bnot in (\w+)", question)
         return json.dumps({"intent": question, "filters": [f"NOT {x}" for x in excluded]})

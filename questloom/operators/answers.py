@@ -449,8 +449,12 @@ def as_records(answers: DataFrame) -> DataFrame:
     """Flat records: answer, kunnr, sentence, score.
 
     A checked answer is one record, score 1.0 if found and 0.0 if not; a
-    degraded one is a record per retrieved chunk, score 0.0.
+    degraded one is a record per retrieved chunk, score 0.0.  Refused answers
+    have no records.
     """
+    answers = answers.filter(
+        F.col("degraded") | F.col("status").isin("VERIFIED", "NOT_FOUND", "ABSENT", "REUSED_EXACT", "REUSED_SIMILAR")
+    )
     found = F.when(F.col("status").isin("NOT_FOUND", "ABSENT"), 0.0).otherwise(1.0)
     one = F.array(
         F.struct(

@@ -10,7 +10,7 @@ from questloom.operators.ann import ann_knn
 from questloom.operators.fusion import rerank, rerank_by_scores, rrf
 from questloom.operators.health import corpus_health
 from questloom.operators.hybrid import chunk_payload, hybrid_search
-from questloom.operators.ingest import embed
+from questloom.operators.ingest import corpus_columns, embed, render_sentence
 from questloom.operators.knn import knn
 from questloom.operators.terms import keyword_fallback, prove_absence, term_search
 from questloom.plans.record_queries import CORPUS_SQL, KNA1_SQL, corpus, indexed, kna1, unit_letters_sql
@@ -26,12 +26,9 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.join(kna1(spark, folder), F.col("question_id").cast("string") == F.col("kunnr")).select(
         "question_id",
         "vector",
-        F.array(
-            F.col("ort01"), F.concat(F.lit("NOT "), "land1"), F.concat("name1", F.lit(" is located"))
-        ).alias("other"),
-        F.array(
-            F.col("ort01"), F.concat(F.lit("NOT "), "land1"), F.col("name1"), F.concat(F.lit("NOT "), "name1")
-        ).alias("strict"),
+        "ort01",
+        "land1",
+        "name1",
         F.array(F.col("ort01"), F.concat(F.lit("NOT "), "land1"), F.col("name1")).alias("filters"),
     )
 
@@ -163,9 +160,9 @@ def v3_wildcards(spark: SparkSession, folder: str) -> DataFrame:
     return term_search(patterns, corpus(spark, folder), wildcards=True)
 
 
-def hybrid_check(negative_text: str) -> str:
+def hybrid_check(negative_text: str, base: str = BASE_SQL) -> str:
     return f"""
-        {BASE_SQL}
+        {base}
         SELECT question_id, id AS kunnr, rank, round(score, 6) AS score, {PAYLOAD_SQL} AS chunk_text
         FROM fused JOIN c ON fused.id = c.kunnr
         WHERE rank <= 20 AND last_seen > coalesce(
@@ -180,10 +177,19 @@ def shown(found: DataFrame) -> DataFrame:
     )
 
 
-# The exclusion of a country by the sentence (which has it) and by the payload (which has not).
-@query("v4_exclude_payload", hybrid_check(PAYLOAD_SQL))
+# Exclusions looked up in the payload, which has the city but not the country.
+@query(
+    "v4_exclude_payload",
+    hybrid_check(
+        PAYLOAD_SQL,
+        BASE_SQL.replace("0 AS ordinal, city", "0 AS ordinal, country").replace("1, country, true", "1, city, true"),
+    ),
+)
 def v4(spark: SparkSession, folder: str) -> DataFrame:
-    return shown(hybrid_search(asked(spark, folder), corpus(spark, folder), negative_on="payload"))
+    avoiding_city = questions(spark, folder).withColumn(
+        "filters", F.array(F.col("land1"), F.concat(F.lit("NOT "), "ort01"), F.col("name1"))
+    )
+    return shown(hybrid_search(avoiding_city, corpus(spark, folder), negative_on="payload"))
 
 
 @query("v5_rrf", f"{BASE_SQL} SELECT question_id, id, round(score, 6) AS score, rank FROM fused")
@@ -215,8 +221,6 @@ LETTER_CORPUS_SQL = f"""
     """,
 )
 def v7(spark: SparkSession, folder: str) -> DataFrame:
-    from questloom.operators.ingest import corpus_columns, render_sentence
-
     stored = corpus_columns(embed(render_sentence(kna1(spark, folder)), letter_counts))
     turns = table(spark, folder, "conversations").filter("role = 'user'")
     q = embed(
@@ -267,8 +271,6 @@ def v8(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def v8_customers(spark: SparkSession, folder: str) -> DataFrame:
-    from questloom.operators.ingest import render_sentence
-
     records = render_sentence(kna1(spark, folder))
     intents = records.select(
         F.col("kunnr").alias("question_id"), F.concat_ws("  ", "ort01", "land1").alias("intent")

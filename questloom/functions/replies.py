@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,25 +36,22 @@ def parse_reply(raw: Column, shape: dict[str, str]) -> Column:
     Null unless the text is one JSON object that has every field with exactly
     the required type.  Extra fields are ignored.
     """
-    document = F.try_parse_json(strip_fence(raw))
-
-    def has_type(field: str, kind: str) -> Column:
+    def has_type(document: Column, field: str, kind: str) -> Column:
         found = F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
-        if kind.startswith("ARRAY"):
-            # An empty array has no element type of its own.
-            return found.isin(kind, "ARRAY<VOID>")
-        return found == kind
-
-    checks = [F.coalesce(has_type(f, kind), F.lit(False)) for f, kind in shape.items()]
-    checks += [
-        ~F.exists(F.try_variant_get(document, f"$.{f}", kind.lower()), lambda x: x.isNull())
-        for f, kind in shape.items()
-        if kind.startswith("ARRAY")
-    ]
-    valid = checks[0]
-    for check in checks[1:]:
-        valid = valid & check
-    fields = [
-        F.try_variant_get(document, f"$.{f}", kind.lower()).alias(f) for f, kind in shape.items()
-    ]
-    return F.when(valid, F.struct(*fields))
+        if not kind.startswith("ARRAY"):
+            return F.coalesce(found == kind, F.lit(False))
+        # An empty array has no element type of its own; a null element has no place in one.
+        elements = F.try_variant_get(document, f"$.{field}", kind.lower())
+        return F.coalesce(found.isin(kind, "ARRAY<VOID>"), F.lit(False)) & ~F.exists(
+            elements, lambda x: x.isNull()
+        )
+
+    def read(document: Column) -> Column:
+        valid = reduce(and_, [has_type(document, f, kind) for f, kind in shape.items()])
+        fields = [
+            F.try_variant_get(document, f"$.{f}", kind.lower()).alias(f) for f, kind in shape.items()
+        ]
+        return F.when(valid, F.struct(*fields))
+
+    # A one-element array binds the parsed text to a name: it is parsed once, not once per field.
+    return F.transform(F.array(F.try_parse_json(strip_fence(raw))), read)[0]

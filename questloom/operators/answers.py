@@ -263,9 +263,9 @@ def second_chance(
     first = retry.select("question_id", *[F.col(c).alias(f"_{c}") for c in SETTLED])
     prompts = build_answer_prompt(retry.select(*base), ranked)
     asked = stage(
-        apply_model(prompts.filter(F.size("chunks") > 0), model, **model_options), "second-replies"
+        settle(apply_model(prompts.filter(F.size("chunks") > 0), model, **model_options)), "second-answers"
     )
-    second = settle(asked).join(first, "question_id")
+    second = asked.join(first, "question_id")
     kept = second.select(
         *[c for c in settled.columns if c not in SETTLED],
         *[
@@ -338,8 +338,8 @@ def answer_questions(
         parts.append(reused(exact, "REUSED_EXACT"))
         todo = todo.join(exact.select("question_id"), "question_id", "left_anti")
 
-    replies = stage(apply_model(build_prompts(todo, "intent"), model, **model_options), "intents")
-    parsed = resolve_intent(replies).select(*todo.columns, "intent", "filters")
+    replies = apply_model(build_prompts(todo, "intent"), model, **model_options)
+    parsed = stage(resolve_intent(replies).select(*todo.columns, "intent", "filters"), "intents")
     ready = stage(embed(parsed, embedder, text_col="intent"), "questions")
 
     if answered is not None:
@@ -355,7 +355,8 @@ def answer_questions(
             ranked.join(ready.select("question_id", "question"), "question_id"), scorer, rerank_top
         )
     prompts = build_answer_prompt(ready.drop("vector", "filters"), ranked)
-    settled = settle(stage(apply_model(prompts, model, **model_options), "replies"))
+    # Staged after reading, so that nothing later parses a reply again.
+    settled = stage(settle(apply_model(prompts, model, **model_options)), "answers")
     final = second_chance(settled, corpus, model, retry_rejected=retry_rejected, **model_options)
     parts.append(final)
 
@@ -369,14 +370,14 @@ def text_to_sql(
     questions: DataFrame, model: Callable, table: str = "", **model_options
 ) -> DataFrame:
     """Add ``query`` and ``sql_status``: OK, MODEL_DOWN, BAD_REPLY, or why the text is refused."""
-    replies = stage(apply_model(build_prompts(questions, "sql", table), model, **model_options), "sql")
+    replies = apply_model(build_prompts(questions, "sql", table), model, **model_options)
     parsed = replies.withColumn("query", parse_reply(F.col("raw"), SQL_REPLY)["query"])
-    return parsed.withColumn(
-        "sql_status",
+    verdict = (
         F.when(F.col("model_error").isNotNull(), "MODEL_DOWN")
         .when(F.col("query").isNull(), "BAD_REPLY")
-        .otherwise(statement_verdict(F.col("query"))),
+        .otherwise(statement_verdict(F.col("query")))
     )
+    return stage(parsed.withColumn("sql_status", verdict), "sql")
 
 
 RESULT_SCHEMA = "query string, line string, sql_error string"

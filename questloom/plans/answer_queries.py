@@ -111,7 +111,7 @@ def near_chunks(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
 
 NEAR_SQL = f"""
     q AS ({ASKED_SQL}), c AS ({CORPUS_SQL}),
-    near AS (SELECT d.question_id, d.rank, d.id AS chunk_id, {PAYLOAD_SQL} AS chunk_text
+    near AS (SELECT d.question_id, d.rank, d.id AS chunk_id, CAST({PAYLOAD_SQL} AS VARCHAR) AS chunk_text
              FROM ({dense_sql(3)}) d JOIN c ON c.kunnr = d.id)
 """
 
@@ -336,7 +336,7 @@ def a9(spark: SparkSession, folder: str) -> DataFrame:
     "a10_second_chance",
     f"""
     {CANNED_SQL}, hit AS (
-      SELECT t.question_id, c.kunnr, {PAYLOAD_SQL} AS payload,
+      SELECT t.question_id, c.kunnr, CAST({PAYLOAD_SQL} AS VARCHAR) AS payload,
              row_number() OVER (PARTITION BY t.question_id ORDER BY c.kunnr) AS place
       FROM told t JOIN c ON contains(c.sentence, t.name) WHERE form = 3)
     SELECT question_id, CASE form WHEN 0 THEN 'DEGRADED' WHEN 1 THEN 'VERIFIED' WHEN 2 THEN 'HALLUCINATED'
@@ -457,7 +457,8 @@ def letter_corpus(spark: SparkSession, folder: str) -> DataFrame:
     SELECT question_id, CASE WHEN text = '' THEN 'REJECTED_EMPTY' WHEN strlen(text) > 4096 THEN 'REJECTED_TOO_LONG'
                              ELSE 'VERIFIED' END AS status,
            near.id AS source_chunk_id,
-           to_json({{'city': k.ort01, 'kunnr': k.kunnr, 'name': k.name1}}) AS exact_quote
+           CASE WHEN near.id IS NOT NULL
+                THEN CAST(to_json({{'city': k.ort01, 'kunnr': k.kunnr, 'name': k.name1}}) AS VARCHAR) END AS exact_quote
     FROM checked LEFT JOIN near USING (question_id) LEFT JOIN ({KNA1_SQL}) k ON k.kunnr = near.id
     """,
 )

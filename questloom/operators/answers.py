@@ -90,14 +90,19 @@ def apply_model(
     pause: float = MODEL_PAUSE_SECONDS,
     batch_size: int = 16,
     per_task: bool = False,
+    key_col: str = "question_id",
 ) -> DataFrame:
     """Add ``raw`` and ``model_error``: a failing call is a value, not a failing job.
 
     Prompts go out in batches; after a failure each prompt of the batch is
     tried on its own, so one bad prompt does not spoil its neighbours.  With
     ``per_task`` the model is a factory, called once per task (a client).
+    ``key_col`` should tell rows apart: it decides which task a row goes to.
     """
     columns = df.columns
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A call costs far more than its bytes: share the rows out by number, not by size.
+    df = df.repartition(spread, *[F.col(c) for c in columns if c == key_col])
 
     def call(client: Model, prompts: list[str]) -> list[str]:
         replies = list(client(prompts))

@@ -31,10 +31,33 @@ def _whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _distinct(vectors: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The distinct vectors of a batch, and per distinct vector its first ``k`` ids.
+
+    Copies score alike, so only the k smallest ids of a vector can be among any
+    top k.  Returns the vectors, the start of each one's ids (and the end), and the ids.
+    """
+    block = np.ascontiguousarray(vectors)
+    raw = pa.FixedSizeBinaryArray.from_buffers(
+        pa.binary(block.shape[1] * block.itemsize), len(block), [None, pa.py_buffer(block)]
+    )
+    code = raw.dictionary_encode().indices.to_numpy()
+    order = pa.table({"code": code, "id": ids, "at": np.arange(len(code))}).sort_by(
+        [("code", "ascending"), ("id", "ascending")]
+    )
+    code = order["code"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    place = np.arange(len(code)) - np.repeat(starts, np.diff(np.r_[starts, len(code)]))
+    kept = place < k
+    edges = np.r_[np.flatnonzero(place[kept] == 0), kept.sum()]
+    return block[order["at"].to_numpy()[starts]], edges, order["id"].combine_chunks().filter(pa.array(kept))
+
+
 def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndarray, ids: pa.Array) -> None:
-    """Add to ``best`` every (question, vector) pair that can still be among its top k."""
+    """Add to ``best`` every (question, id) pair that can still be among its top k."""
+    vectors, edges, ids = _distinct(vectors, ids, best.k)
     slack = 10.0**-SCORE_DIGITS
-    step = max(1, TILE_CELLS // max(1, len(vectors)))
+    step = max(1, TILE_CELLS // len(vectors))
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
         scores = questions[start : start + step] @ vectors.T
@@ -45,7 +68,14 @@ def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndar
         at, which = np.nonzero(scores >= floor[:, None] - slack)
         if len(at):
             value = np.round(scores[at, which], SCORE_DIGITS) + 0.0
-            best.add(part[at], value, ids.take(pa.array(which)))
+            # One row per id of each vector that passed.
+            copies = (edges[1:] - edges[:-1])[which]
+            first = np.repeat(edges[:-1][which] - np.r_[0, np.cumsum(copies)[:-1]], copies)
+            best.add(
+                np.repeat(part[at], copies),
+                np.repeat(value, copies),
+                ids.take(pa.array(first + np.arange(copies.sum()))),
+            )
 
 
 def nearest_kernel(k: int):

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import insort
+from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from questloom.functions.text import words
-from questloom.operators.best import Best
 from questloom.operators.blocks import Batches, scan_against
 
 # Terms go to the tasks as an automaton, which takes several times their bytes.
@@ -37,10 +37,37 @@ def _like_pattern(term: str) -> re.Pattern:
     return re.compile("".join(parts.get(c, re.escape(c)) for c in term), re.DOTALL)
 
 
-def _emit(found: pa.Table | None, labels: pa.Array, label: str, id_type: pa.DataType) -> Batches:
-    rows = found["row"].combine_chunks() if found is not None else pa.array([], pa.int32())
-    ids = found["id"].combine_chunks() if found is not None else pa.array([], id_type)
-    yield pa.RecordBatch.from_arrays([labels.take(rows), ids], names=[label, "id"])
+class Smallest:
+    """The ``limit`` smallest ids per group seen by one task: the map side of a first-by-id."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.ids: dict[int, list] = {}
+
+    def wants(self, group: int, key) -> bool:
+        kept = self.ids.get(group)
+        return kept is None or len(kept) < self.limit or key < kept[-1]
+
+    def add(self, group: int, key) -> None:
+        kept = self.ids.setdefault(group, [])
+        insort(kept, key)
+        if len(kept) > self.limit:
+            kept.pop()
+
+    def emit(self, labels: pa.Array, label: str, id_type: pa.DataType) -> pa.RecordBatch:
+        groups = [group for group, kept in self.ids.items() for _ in kept]
+        ids = [key for kept in self.ids.values() for key in kept]
+        return pa.RecordBatch.from_arrays(
+            [labels.take(pa.array(groups, pa.int64())), pa.array(ids, id_type)], names=[label, "id"]
+        )
+
+
+def _rows(batches: Batches) -> Iterator[tuple[object, str, pa.DataType]]:
+    for batch in batches:
+        column = batch.column("id")
+        for key, text in zip(column.to_pylist(), batch.column("text").to_pylist()):
+            if text is not None:
+                yield key, text, column.type
 
 
 def term_kernel(limit: int, wildcards: bool):
@@ -63,20 +90,12 @@ def term_kernel(limit: int, wildcards: bool):
             return found
 
         def run(batches: Batches) -> Batches:
-            best = Best(len(terms), limit)
-            id_type = pa.string()
-            for batch in batches:
-                id_type = batch.schema.field("id").type
-                hits = [
-                    (term, row)
-                    for row, text in enumerate(batch.column("text").to_pylist())
-                    if text is not None
-                    for term in matches(text)
-                ]
-                if hits:
-                    term, row = np.array(hits, dtype=np.int64).T
-                    best.add(term, np.zeros(len(term)), batch.column("id").take(pa.array(row)))
-            yield from _emit(best.prune(), labels, "term", id_type)
+            first, id_type = Smallest(limit), pa.string()
+            for key, text, id_type in _rows(batches):
+                for term in matches(text):
+                    if first.wants(term, key):
+                        first.add(term, key)
+            yield first.emit(labels, "term", id_type)
 
         return run
 
@@ -160,48 +179,32 @@ def term_search(
 
 
 def all_words_kernel(limit: int):
-    """Word sets (question_id, words) against batches (id, text)."""
+    """Word sets (question_id, words) against batches (id, text).
+
+    The automaton looks for one word per question, the longest; the others are
+    looked up only where that one occurs and the row could still be kept.
+    """
 
     def prepare(small: pa.Table):
         labels = small["question_id"].combine_chunks()
         wanted = [sorted(set(w), key=len, reverse=True) for w in small["words"].to_pylist()]
-        numbers = {w: i for i, w in enumerate(sorted({w for ws in wanted for w in ws}))}
-        sets = [[numbers[w] for w in ws] for ws in wanted]
-        # A question is looked at only in batches that hold its longest word.
-        by_anchor: dict[int, list[int]] = {}
-        for question, numbered in enumerate(sets):
-            if numbered:
-                by_anchor.setdefault(numbered[0], []).append(question)
-        machine = _automaton(numbers)
+        anchors: dict[str, int] = {}
+        asking: list[list[int]] = []
+        for question, (longest, *_) in enumerate(wanted):
+            number = anchors.setdefault(longest, len(anchors))
+            if number == len(asking):
+                asking.append([])
+            asking[number].append(question)
+        machine = _automaton(anchors)
 
         def run(batches: Batches) -> Batches:
-            best = Best(len(labels), limit)
-            id_type = pa.string()
-            for batch in batches:
-                id_type = batch.schema.field("id").type
-                if machine is None:
-                    continue
-                rows_with: dict[int, list[int]] = {}
-                for row, text in enumerate(batch.column("text").to_pylist()):
-                    if text is not None:
-                        for word in {n for _, n in machine.iter(text)}:
-                            rows_with.setdefault(word, []).append(row)
-                hit_questions, hit_rows = [], []
-                for anchor in rows_with.keys() & by_anchor.keys():
-                    for question in by_anchor[anchor]:
-                        lists = [rows_with.get(word) for word in sets[question]]
-                        if not all(lists):
-                            continue
-                        lists.sort(key=len)
-                        rows = np.array(lists[0])
-                        for other in lists[1:]:
-                            rows = np.intersect1d(rows, other, assume_unique=True)
-                        hit_questions.append(np.full(len(rows), question))
-                        hit_rows.append(rows)
-                if hit_rows:
-                    question, row = np.concatenate(hit_questions), np.concatenate(hit_rows)
-                    best.add(question, np.zeros(len(row)), batch.column("id").take(pa.array(row)))
-            yield from _emit(best.prune(), labels, "question_id", id_type)
+            first, id_type = Smallest(limit), pa.string()
+            for key, text, id_type in _rows(batches):
+                for anchor in {n for _, n in machine.iter(text)} if machine else ():
+                    for question in asking[anchor]:
+                        if first.wants(question, key) and all(w in text for w in wanted[question]):
+                            first.add(question, key)
+            yield first.emit(labels, "question_id", id_type)
 
         return run
 

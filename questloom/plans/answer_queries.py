@@ -32,7 +32,8 @@ from questloom.operators.reuse import retain_recent, reuse_exact, reuse_similar
 from questloom.plans.record_queries import CORPUS_SQL, KNA1_SQL, SPACE_SQL, corpus, kna1, unit_letters_sql
 from questloom.plans.registry import query
 from questloom.plans.retrieval_queries import ASKED_SQL, LETTER_CORPUS_SQL, PAYLOAD_SQL, asked, dense_sql
-from questloom.session import new_path
+from questloom.session import new_path, stage
+from questloom.sources.corpus import read_corpus, write_corpus
 from questloom.sources.tables import table
 from questloom.streaming.question_stream import read_question_stream, stream_questions
 
@@ -348,7 +349,7 @@ def a9(spark: SparkSession, folder: str) -> DataFrame:
 )
 def a10(spark: SparkSession, folder: str) -> DataFrame:
     """Not-found answers are asked again over the records that hold the asked name."""
-    settled = settle(canned(spark, folder))
+    settled = stage(settle(canned(spark, folder)), "answers")
     return second_chance(settled, corpus(spark, folder), rule_model).select(
         "question_id", "status", "answer", "source_chunk_id"
     )
@@ -443,7 +444,10 @@ def a13(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def letter_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_columns(embed(render_sentence(kna1(spark, folder)), letter_counts))
+    """All customer records, embedded once and stored."""
+    path = new_path(spark, "corpus")
+    write_corpus(corpus_columns(embed(render_sentence(kna1(spark, folder)), letter_counts)), path)
+    return read_corpus(spark, path)
 
 
 # Documents as questions: blank and over-long ones are rejected, the rest answered from the records.

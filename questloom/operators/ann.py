@@ -96,6 +96,7 @@ def ann_knn(
         row_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",
+        match="cell",
         limit_bytes=limit_bytes,
     )
     return top_ranked(hits, k)

@@ -9,12 +9,13 @@ one row per pair.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from questloom.session import stage
+
 Batches = Iterator[pa.RecordBatch]
 Kernel = Callable[[pa.Table], Callable[[Batches], Batches]]
 
@@ -39,6 +40,7 @@ def scan_against(
     row_bytes: Column,
     small_key: str,
     large_key: str,
+    match: str | None = None,
     limit_bytes: int | None = None,
 ) -> DataFrame:
     """Run ``kernel`` over ``large`` with every row of ``small``.
@@ -46,7 +48,8 @@ def scan_against(
     Up to ``limit_bytes`` (measured) the small side travels with the tasks and
     the large side is not shuffled at all.  Beyond it both sides are cut into
     hash blocks and each pair of blocks meets in one task; a task holds one
-    block of each, however large either table is.
+    block of each, however large either table is.  With ``match``, a column of
+    both sides with few values, only blocks of the same value meet.
     """
     limit_bytes = limit_bytes or SMALL_SIDE_BYTES
     _, size = measure(small, row_bytes)
@@ -58,22 +61,31 @@ def scan_against(
 
         return large.mapInArrow(run, schema)
 
-    small_blocks = ceil(size / limit_bytes)
-    large_blocks = max(1, ceil(large.count() / LARGE_BLOCK_ROWS))
     columns_large, columns_small = large.columns, small.columns
-    left = large.select(
-        "*",
-        F.pmod(F.xxhash64(large_key), F.lit(large_blocks)).alias("_lb"),
-        F.explode(F.sequence(F.lit(0), F.lit(small_blocks - 1))).cast("bigint").alias("_sb"),
-    )
-    right = small.select(
-        "*",
-        F.pmod(F.xxhash64(small_key), F.lit(small_blocks)).alias("_sb"),
-        F.explode(F.sequence(F.lit(0), F.lit(large_blocks - 1))).cast("bigint").alias("_lb"),
+    large = large.withColumn("_group", F.col(match) if match else F.lit(0))
+    small = small.withColumn("_group", F.col(match) if match else F.lit(0))
+    # How many blocks each side of a group is cut into: one row per group.
+    large_cuts = F.ceil(F.count(F.lit(1)) / LARGE_BLOCK_ROWS).alias("_large_cuts")
+    small_cuts = F.ceil(F.sum(row_bytes) / limit_bytes).alias("_small_cuts")
+    cuts = F.broadcast(
+        stage(
+            small.groupBy("_group").agg(small_cuts).join(large.groupBy("_group").agg(large_cuts), "_group"),
+            "cuts",
+        )
     )
 
+    def cut(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Number the block a row belongs to and repeat it for each block of the other side."""
+        rows = side.join(cuts, "_group").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}_cuts")))
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_cuts") - 1))
+        rows = rows.withColumn(other, each).select(*side.columns, "_large", "_small")
+        return rows.groupBy("_group", "_large", "_small")
+
+    left = cut(large, large_key, "_large", "_small")
+    right = cut(small, small_key, "_small", "_large")
+
     def meet(left_block: pa.Table, right_block: pa.Table) -> pa.Table:
         batches = left_block.select(columns_large).to_batches(max_chunksize=8192)
         return pa.Table.from_batches(list(kernel(right_block.select(columns_small))(iter(batches))))
 
-    return left.groupBy("_lb", "_sb").cogroup(right.groupBy("_lb", "_sb")).applyInArrow(meet, schema)
+    return left.cogroup(right).applyInArrow(meet, schema)

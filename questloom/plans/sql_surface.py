@@ -10,8 +10,6 @@ from questloom.operators.windows import rank_in_slices, shift_by_position, tile
 from questloom.plans.registry import plain_sql, query, views
 from questloom.sources.tables import table
 
-MONEY = "decimal(18,2)"
-
 plain_sql(
     "q1_scan_projection",
     "customer",
@@ -290,12 +288,17 @@ plain_sql(
 )
 
 
-@query("q15_approx_distinct")
+@query("q15_approx_distinct", "SELECT DISTINCT l_returnflag, true AS within_6_percent FROM lineitem")
 def approx_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """A sketch of 2% standard error against the exact count."""
     return (
         table(spark, folder, "lineitem")
         .groupBy("l_returnflag")
-        .agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+        .agg(F.approx_count_distinct("l_partkey", 0.02).alias("near"), F.countDistinct("l_partkey").alias("exact"))
+        .select(
+            "l_returnflag",
+            (F.abs(F.col("near") - F.col("exact")) <= F.col("exact") * 0.06).alias("within_6_percent"),
+        )
     )
 
 

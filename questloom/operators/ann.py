@@ -22,19 +22,22 @@ def build_vector_index(
     *,
     vector_col: str = "vector",
     iterations: int = 10,
+    train_fraction: float = 1.0,
     seed: int = 42,
 ) -> bool:
     """Write the corpus by cell, and the centroids beside it.  False if too small to index.
 
     Cells differ in size; the rebalance hint lets Spark cut a crowded cell into
-    several tasks and files instead of sending it to one.
+    several tasks and files instead of sending it to one.  ``train_fraction``
+    lets a very large corpus place its centroids from a sample; every row is
+    indexed all the same.
     """
     if corpus.limit(MIN_INDEX_ROWS).count() < MIN_INDEX_ROWS:
         return False
     rows = corpus.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
     model = KMeans(
         k=cells, maxIter=iterations, seed=seed, featuresCol="_features", predictionCol="cell"
-    ).fit(rows)
+    ).fit(rows.sample(train_fraction, seed) if train_fraction < 1 else rows)
     spark = corpus.sparkSession
     centroids = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     spark.createDataFrame(centroids, "cell int, centroid array<double>").write.parquet(f"{path}/centroids")
@@ -94,6 +97,7 @@ def ann_knn(
         nearest_kernel(k),
         f"question_id {types['question_id']}, id {types['id']}, score double",
         row_bytes=vector_bytes(F.col("vector")),
+        large_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",
         match="cell",

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from questloom.functions.prompts import answer_prompt, build_prompt
 from questloom.functions.replies import ANSWER_REPLY, INTENT_REPLY, ROUTE_REPLY, SQL_REPLY, parse_reply
 from questloom.functions.text import trim_space
+from questloom.operators.blocks import measure
 from questloom.operators.fusion import RERANK_TOP, Scorer, rerank
 from questloom.operators.gate import MAX_ROWS, run_sql, statement_verdict
-from questloom.operators.hybrid import chunk_payload, hybrid_search
+from questloom.operators.hybrid import chunk_payload, hybrid_search, lookup
 from questloom.operators.ingest import Embedder, embed
 from questloom.operators.reuse import SIMILAR_THRESHOLD, reuse_exact, reuse_similar
 from questloom.operators.terms import keyword_fallback
@@ -251,14 +252,16 @@ def second_chance(
 ) -> DataFrame:
     """Ask again, with keyword hits, where the first answer was "not found".
 
-    No keyword hits proves the absence (status ABSENT).  A model that is down
+    ``settled`` is read several times: pass a stored table.  No keyword hits proves the absence (status ABSENT).  A model that is down
     the second time leaves "not found" standing.  ``retry_rejected`` also asks
     again where grounding failed.  Only the slice in question is recomputed.
     """
     again = ["NOT_FOUND"] + (["HALLUCINATED", "UNKNOWN_CHUNK"] if retry_rejected else [])
     retry = settled.filter(F.col("status").isin(again))
     hits = keyword_fallback(retry, corpus, FALLBACK_TOP)
-    ranked = corpus.join(hits, corpus["kunnr"] == hits["id"]).select(
+    retry_count, _ = measure(retry, F.lit(1))
+    records = corpus.select(F.col("kunnr").alias("id"), "kunnr", "name", "city")
+    ranked = lookup(hits, records, bound_bytes=retry_count * FALLBACK_TOP * 96).select(
         "question_id",
         F.col("position").alias("rank"),
         F.col("kunnr").alias("chunk_id"),

@@ -21,8 +21,11 @@ Kernel = Callable[[pa.Table], Callable[[Batches], Batches]]
 
 # The small side is shipped to the tasks only up to this many bytes.
 SMALL_SIDE_BYTES = 64 << 20
-# Rows of the large side per block when both sides are cut into blocks.
-LARGE_BLOCK_ROWS = 200_000
+# Bytes of the large side per block when both sides are cut into blocks.
+LARGE_BLOCK_BYTES = 128 << 20
+# Partial results grow with the number of tasks, so several input splits share a
+# task once there are this many times more of them than the cluster can run.
+TASK_WAVES = 4
 
 
 def measure(df: DataFrame, row_bytes: Column) -> tuple[int, int]:
@@ -31,6 +34,15 @@ def measure(df: DataFrame, row_bytes: Column) -> tuple[int, int]:
     return row["n"], int(row["b"] or 0)
 
 
+def merge_splits(df: DataFrame) -> DataFrame:
+    """Let a task read several splits of a very large table one after another (no shuffle)."""
+    spark = df.sparkSession
+    slots = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return df.coalesce(TASK_WAVES * slots)
+
+
 def scan_against(
     large: DataFrame,
     small: DataFrame,
@@ -38,6 +50,7 @@ def scan_against(
     schema: str,
     *,
     row_bytes: Column,
+    large_bytes: Column,
     small_key: str,
     large_key: str,
     match: str | None = None,
@@ -59,13 +72,13 @@ def scan_against(
         def run(batches: Batches) -> Batches:
             yield from kernel(table)(batches)
 
-        return large.mapInArrow(run, schema)
+        return merge_splits(large).mapInArrow(run, schema)
 
     columns_large, columns_small = large.columns, small.columns
     large = large.withColumn("_group", F.col(match) if match else F.lit(0))
     small = small.withColumn("_group", F.col(match) if match else F.lit(0))
     # How many blocks each side of a group is cut into: one row per group.
-    large_cuts = F.ceil(F.count(F.lit(1)) / LARGE_BLOCK_ROWS).alias("_large_cuts")
+    large_cuts = F.ceil(F.sum(large_bytes) / LARGE_BLOCK_BYTES).alias("_large_cuts")
     small_cuts = F.ceil(F.sum(row_bytes) / limit_bytes).alias("_small_cuts")
     cuts = F.broadcast(
         stage(

@@ -183,6 +183,7 @@ def knn(
         nearest_kernel(k),
         f"question_id {types['question_id']}, id {types['id']}, score double",
         row_bytes=vector_bytes(F.col("vector")),
+        large_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",
         limit_bytes=limit_bytes,

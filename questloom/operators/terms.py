@@ -126,6 +126,7 @@ def term_hits(
         term_kernel(limit, wildcards),
         f"term string, id {dict(large.dtypes)['id']}",
         row_bytes=F.octet_length("term") + 16,
+        large_bytes=F.coalesce(F.octet_length("text"), F.lit(0)) + 32,
         small_key="term",
         large_key="id",
         limit_bytes=limit_bytes or TERM_SIDE_BYTES,
@@ -235,6 +236,7 @@ def keyword_fallback(
         all_words_kernel(limit),
         f"question_id {types['question_id']}, id {types['id']}",
         row_bytes=F.octet_length(F.array_join("words", " ")) + 32,
+        large_bytes=F.coalesce(F.octet_length("text"), F.lit(0)) + 32,
         small_key="question_id",
         large_key="id",
         limit_bytes=limit_bytes or TERM_SIDE_BYTES,

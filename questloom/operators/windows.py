@@ -8,10 +8,19 @@ one row per key and slice.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _null_safe(other: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """``other`` and the condition to join it on ``keys``; null keys are a group like any other."""
+    renamed = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    return renamed, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+
+
 def rank_in_slices(
     df: DataFrame,
     keys: list[str],
@@ -55,7 +64,7 @@ def rank_in_slices(
         F.sum("_s").over(before).alias("_s0"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"),
     )
-    lifted = local.join(lifts, [*keys, "_slice"])
+    lifted = local.join(*_null_safe(lifts, [*keys, "_slice"]))
     added = [
         (F.col("_position") + F.col("_n0")).alias("position"),
         F.col("group_size"),
@@ -73,7 +82,8 @@ def shift_by_position(ranked: DataFrame, keys: list[str], column: str, by: int,
     A join on key and position: no row of it depends on how large a key is.
     """
     other = ranked.select(*keys, (F.col("position") + by).alias("position"), F.col(column).alias(name))
-    return ranked.join(other, [*keys, "position"], "left")
+    joined = ranked.join(*_null_safe(other, [*keys, "position"]), "left")
+    return joined.select(*ranked.columns, name)
 
 
 def tile(position: Column, size: Column, tiles: int) -> Column:

@@ -9,6 +9,7 @@ from tests.conftest import rows
 def test_sliced_ranking_equals_plain_windows(spark):
     rng = np.random.default_rng(5)
     data = [(int(k), int(v), i, int(x)) for i, (k, v, x) in enumerate(rng.integers(0, [3, 40, 9], size=(500, 3)))]
+    data = [(None if k == 2 else k, None if v == 0 else v, i, x) for k, v, i, x in data]
     df = spark.createDataFrame(data, "k int, v int, i int, x int")
     got = rank_in_slices(df, ["k"], ["v", "i"], F.floor(F.col("v") / 7), ties=["v"], total="x")
     got = shift_by_position(got, ["k"], "i", 1, "previous")
@@ -27,7 +28,8 @@ def test_sliced_ranking_equals_plain_windows(spark):
         F.ntile(7).over(w).alias("tile"),
     )
     columns = [c for c in want.columns if c not in ("previous", "next")]
-    assert rows(got, *columns) == rows(want, *columns)
+    assert {tuple(r[c] for c in columns) for r in got.collect()} == {tuple(r[c] for c in columns) for r in want.collect()}
+    assert got.count() == 500
     ends = ["k", "position", "previous", "next"]
     assert {tuple(r[c] for c in ends) for r in got.collect()} == {tuple(r[c] for c in ends) for r in want.collect()}
 

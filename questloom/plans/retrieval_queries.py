@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questloom.models import letter_counts, overlap_scorer
-from questloom.operators.ann import ann_knn
+from questloom.operators.ann import ann_knn, build_vector_index, read_vector_index
 from questloom.operators.fusion import rerank, rerank_by_scores, rrf
 from questloom.operators.health import corpus_health
 from questloom.operators.hybrid import chunk_payload, hybrid_search
@@ -23,6 +23,7 @@ from questloom.plans.record_queries import (
     vectors,
 )
 from questloom.plans.registry import query
+from questloom.session import new_path
 from questloom.sources.tables import table
 
 
@@ -212,6 +213,20 @@ def v6(spark: SparkSession, folder: str) -> DataFrame:
     return shown(hybrid_search(asked(spark, folder), corpus(spark, folder)))
 
 
+@query("v6_hybrid_indexed", hybrid_check("c.sentence"))
+def v6_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the dense part read from an index of the stored records, all cells probed."""
+    stored, path = corpus(spark, folder), new_path(spark, "index")
+    if build_vector_index(stored, path, cells=8):
+        rows, centroids = read_vector_index(spark, path)
+        return shown(
+            hybrid_search(
+                asked(spark, folder), stored, dense=lambda q, k: ann_knn(q, rows, centroids, k, nprobe=8)
+            )
+        )
+    return shown(hybrid_search(asked(spark, folder), stored))
+
+
 # Text questions over every customer, embedded on both sides by the same function.
 LETTER_CORPUS_SQL = f"""
     SELECT kunnr, sentence, {unit_letters_sql("sentence")} AS vector FROM (

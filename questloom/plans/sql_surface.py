@@ -193,11 +193,14 @@ plain_sql(
     """,
 )
 
-# The other side of this cross join is an aggregate: one row, whatever the data.
+# Every row paired with a one-row aggregate: a scalar subquery says it without a cross join.
 plain_sql(
     "q12_cross_join_one_row",
     "customer",
     """
+    SELECT c_custkey, c_acctbal, (SELECT max(c_acctbal) FROM customer) AS top_balance FROM customer
+    """,
+    """
     SELECT c_custkey, c_acctbal, top_balance
     FROM customer CROSS JOIN (SELECT max(c_acctbal) AS top_balance FROM customer) t
     """,

@@ -400,7 +400,7 @@ def a11(spark: SparkSession, folder: str) -> DataFrame:
          s AS (SELECT q.vec_id AS question_id, e.vec_id AS entry_id,
                       round(list_inner_product(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS score
                FROM q CROSS JOIN embeddings e)
-    SELECT question_id, entry_id, round(score, 6) AS score FROM (
+    SELECT question_id, entry_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, entry_id) AS place FROM s)
     WHERE place = 1 AND score >= 0.95
     """,
@@ -415,7 +415,7 @@ def a12(spark: SparkSession, folder: str) -> DataFrame:
         F.col("embedding").alias("vector"),
         *[F.lit("").alias(c) for c in ("answer", "exact_quote", "source_chunk_id")],
     )
-    return reuse_similar(asking, entries).select("question_id", "entry_id", F.round("score", 6).alias("score"))
+    return reuse_similar(asking, entries).select("question_id", "entry_id", "score")
 
 
 @query(

@@ -94,7 +94,7 @@ ALL_VECTORS_SQL = """
     WITH q AS (SELECT vec_id AS question_id, embedding AS vector FROM embeddings),
          c AS (SELECT CAST(vec_id AS VARCHAR) AS kunnr, embedding AS vector FROM embeddings)
 """
-NEAREST_SQL = f"{ALL_VECTORS_SQL} SELECT question_id, id, round(score, 6) AS score, rank FROM ({dense_sql(20)})"
+NEAREST_SQL = f"{ALL_VECTORS_SQL} SELECT question_id, id, score, rank FROM ({dense_sql(20)})"
 
 
 def vector_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,16 +105,14 @@ def vector_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("v1_knn", NEAREST_SQL)
 def v1(spark: SparkSession, folder: str) -> DataFrame:
-    near = knn(vector_questions(spark, folder), vectors(spark, folder), 20)
-    return near.withColumn("score", F.round("score", 6))
+    return knn(vector_questions(spark, folder), vectors(spark, folder), 20)
 
 
 @query("v2_ann_full_probe", NEAREST_SQL)
 def v2(spark: SparkSession, folder: str) -> DataFrame:
     """The indexed search, probing every cell: equal to the exact one."""
     rows, centroids = indexed(spark, folder, cells=16)
-    near = ann_knn(vector_questions(spark, folder), rows, centroids, 20, nprobe=16)
-    return near.withColumn("score", F.round("score", 6))
+    return ann_knn(vector_questions(spark, folder), rows, centroids, 20, nprobe=16)
 
 
 @query("v2_ann_knn", f"{ALL_VECTORS_SQL} SELECT question_id, id FROM ({dense_sql(1)})")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What parts words: the space and the ASCII control white space.
@@ -41,3 +41,11 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, on: dict[str, Column], how: st
     for c, expression in on.items():
         condition = condition & expression.eqNullSafe(F.col(f"`chosen::{c}`"))
     return docs.join(renamed, condition, how)
+
+
+def one_of_each(rows: DataFrame, keys: list[Column], known: tuple[str, ...]) -> DataFrame:
+    """Of the rows that agree in ``keys`` the first by the JSON form of all columns but ``known``."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in known]
+    order = F.to_json(F.struct(*others)) if others else F.lit(1)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("each::place", place).where("`each::place` = 1").drop("each::place")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questloom.llm.common import keep_rows, whole_text
+from questloom.llm.common import keep_rows, one_of_each, whole_text
 from questloom.session import stage
 
 SALTS = 16
@@ -84,14 +84,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = exact_classes(docs, id_col, text_col, salts=salts)
     kept = classes.where("kept").select("doc_id", "text_sha256").distinct()
     on = {"doc_id": F.col(id_col), "text_sha256": sha256(whole_text(text_col))}
-    rows = keep_rows(docs, kept, on)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    order = F.to_json(F.struct(*others)) if others else F.lit(1)
-    best = F.row_number().over(_per_document(id_col, text_col).orderBy(order))
-    return rows.withColumn("exact::rank", best).where("`exact::rank` = 1").drop("exact::rank")
-
-
-def _per_document(id_col: str, text_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.col(id_col), sha256(whole_text(text_col)))
+    return one_of_each(keep_rows(docs, kept, on), list(on.values()), (id_col, text_col))

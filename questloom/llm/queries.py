@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import exact_dedup, mixing, quality_rules, secrets, url_filter
+from questloom.llm import exact_dedup, mixing, ngram_join, pieces, quality_rules, secrets, token_counts, url_filter
 from questloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,19 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(pages, broken, URL_RULES)
 
 
+#: Public vocabularies, by name.
+RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+
+
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    initial, inside = token_counts.rank_file_pieces(public_tokenizers.path(RANKS))
+    return token_counts.count_tokens(read(spark, folder, "documents"), initial, inside)
+
+
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_classes(read(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(read(spark, folder, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -59,12 +73,28 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    encoded = pieces.encode(read(spark, folder, "documents"), model)
+    encoded = encoded.select("doc_id", "ids", F.try_element_at("ends", F.lit(-1)).cast("long").alias("n_bytes"))
+    return pieces.decode(encoded, model).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_bytes",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_token_counts": op4_token_counts,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_secrets": op8_secrets,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 CHECKS: dict[str, str] = {}

@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import exact_dedup, mixing, ngram_join, pieces, quality_rules, secrets, token_counts, url_filter
+from questloom.llm import exact_dedup, mixing, ngram_join, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
 from questloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_site_style(spark: SparkSession, folder: str) -> DataFrame:
+    return site_style.extract(read(spark, folder, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_classes(read(spark, folder, "documents"))
 
@@ -73,6 +77,15 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality_net(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from four fifths of the labels, told by a checksum of the id, and scores all documents."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    found = quality_net.classify(read(spark, folder, "documents"), read(spark, folder, "labels"), fold != 0)
+    return found.select(
+        "doc_id", (fold == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
     encoded = pieces.encode(read(spark, folder, "documents"), model)
@@ -87,6 +100,7 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_site_style": op1_site_style,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_token_counts": op4_token_counts,
@@ -94,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_secrets": op8_secrets,
+    "op9_quality_net": op9_quality_net,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

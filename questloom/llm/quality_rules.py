@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questloom.llm.common import SPACE, let, whole_text, words
+from questloom.llm.common import keep_rows, let, whole_text, words
 from questloom.session import stage
 
 #: Largest share of a stratum's good documents that all chosen cutoffs together may reject.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import exact_dedup, mixing, ngram_join, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
+from questloom.llm import checks, exact_dedup, mixing, ngram_join, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
 from questloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +36,7 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The list: the addresses of pages whose transfer broke off, so that no form of them is fetched again."""
     pages = read(spark, folder, "pages")
     broken = pages.where(~F.col("html").contains("</html>")).select("url")
-    return url_filter.judge_urls(pages, broken, URL_RULES)
+    return url_filter.judge_urls(pages, broken, URL_RULES).drop("checked")
 
 
 #: Public vocabularies, by name.
@@ -54,7 +54,7 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(read(spark, folder, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,4 +112,10 @@ QUERIES: dict[str, Query] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op2_exact_dedup": checks.OP2,
+    "op3_url_filter": checks.OP3,
+    "op6_mixing": checks.OP6,
+    "op7_quality_rules": checks.OP7,
+    "op8_secrets": checks.OP8,
+}

@@ -230,7 +230,7 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str =
     # About ``most_labelled`` rows, so both the side that is sent and what comes back are bounded.
     sample = found.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "features").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["features"]))
-    x = np.array([r["features"] for r in sample], np.float64).reshape(len(sample), -1)
+    x = np.array([r["features"] for r in sample], np.float64).reshape(len(sample), 4 * DIMENSIONS)
     network = fit(x, np.array([r["label"] for r in sample], np.float64))
     kind = found.schema["doc_id"].dataType.simpleString()
 

@@ -2,49 +2,78 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from questloom.functions.vectors import vector_verdict
 from questloom.operators.blocks import scan_against
 from questloom.operators.knn import knn, nearest_kernel, top_ranked, vector_bytes
-from questloom.session import stage
-
-# Fixed value: a corpus smaller than this gets no index.
-MIN_INDEX_ROWS = 256
+from questloom.session import path_exists, stage
 
+# Rows that the centroids are placed from, about.
+TRAIN_ROWS = 1_000_000
 
 def build_vector_index(
     corpus: DataFrame,
     path: str,
-    cells: int = 64,
+    cells: int | None = None,
     *,
     vector_col: str = "vector",
     iterations: int = 10,
-    train_fraction: float = 1.0,
+    train_rows: int = TRAIN_ROWS,
     seed: int = 42,
-) -> bool:
-    """Write the corpus by cell, and the centroids beside it.  False if too small to index.
+) -> int:
+    """Write the corpus by cell, and the centroids beside it.  Returns the number of cells.
 
-    Cells differ in size; the rebalance hint lets Spark cut a crowded cell into
-    several tasks and files instead of sending it to one.  ``train_fraction``
-    lets a very large corpus place its centroids from a sample; every row is
-    indexed all the same.
+    By default there are as many cells as the root of the number of rows; there are never more than rows.  The
+    centroids are placed from about ``train_rows`` rows, every row is indexed.  Cells differ in size; the
+    rebalance hint lets Spark cut a crowded cell into several tasks and files instead of sending it to one.
+    Rows without a usable vector (null, empty, not finite, or of another length than most) are in no cell: a search
+    could not return them.
     """
-    if corpus.limit(MIN_INDEX_ROWS).count() < MIN_INDEX_ROWS:
-        return False
-    rows = corpus.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model = KMeans(
-        k=cells, maxIter=iterations, seed=seed, featuresCol="_features", predictionCol="cell"
-    ).fit(rows.sample(train_fraction, seed) if train_fraction < 1 else rows)
     spark = corpus.sparkSession
+    sized = corpus.groupBy(F.size(vector_col).alias("dim")).count().filter("dim > 0")
+    best = sized.orderBy(F.desc("count"), "dim").first()
+    if best is None:
+        raise ValueError("no vectors to index")
+    usable = corpus.filter(vector_verdict(F.col(vector_col), best["dim"]) == "OK")
+    count = usable.count()
+    if count == 0:
+        raise ValueError("no usable vectors to index")
+    cells = max(1, min(count, cells or math.isqrt(count)))
+    rows = usable.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
+    fraction = min(1.0, max(train_rows, 4 * cells) / count)
+    model = KMeans(
+        k=max(2, cells), maxIter=iterations, seed=seed, featuresCol="_features", predictionCol="cell"
+    ).fit(rows.sample(fraction, seed) if fraction < 1 else rows)
     centroids = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     spark.createDataFrame(centroids, "cell int, centroid array<double>").write.parquet(f"{path}/centroids")
     model.transform(rows).drop("_features").hint("rebalance", "cell").write.partitionBy("cell").parquet(
         f"{path}/rows"
     )
-    return True
+    return len(centroids)
+
+
+def add_to_index(new: DataFrame, path: str, *, vector_col: str = "vector") -> None:
+    """Write further records into the cells of an index, each into the one whose centroid is nearest.
+
+    The centroids stay; rebuild the index when the corpus has outgrown its number of cells.
+    """
+    _, centroids = read_vector_index(new.sparkSession, path)
+    dim = len(centroids.first()["centroid"])
+    usable = new.filter(vector_verdict(F.col(vector_col), dim) == "OK")
+    lifted = usable.select(F.col("kunnr").alias("question_id"), F.col(vector_col).alias("vector"))
+    near = probe_cells(lifted, centroids, 1).select(F.col("question_id").alias("kunnr"), "cell")
+    usable.join(near, "kunnr").hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{path}/rows")
+
+
+def read_index_keys(spark: SparkSession, path: str) -> DataFrame | None:
+    """The keys in an index, or nothing if there is none."""
+    return spark.read.parquet(f"{path}/rows").select("kunnr") if path_exists(spark, f"{path}/rows") else None
 
 
 def read_vector_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -96,7 +125,7 @@ def ann_knn(
         probes.select("question_id", "vector", "cell"),
         nearest_kernel(k),
         f"question_id {types['question_id']}, id {types['id']}, score double",
-        row_bytes=vector_bytes(F.col("vector")),
+        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")),
         large_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",

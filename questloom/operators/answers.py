@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questloom.functions.prompts import answer_prompt, build_prompt
 from questloom.functions.replies import ANSWER_REPLY, INTENT_REPLY, ROUTE_REPLY, SQL_REPLY, parse_reply
 from questloom.functions.text import trim_space
-from questloom.operators.blocks import measure
 from questloom.operators.fusion import RERANK_TOP, Scorer, rerank
-from questloom.operators.gate import MAX_ROWS, run_sql, statement_verdict
+from questloom.operators.gate import run_sql, statement_verdict
 from questloom.operators.hybrid import chunk_payload, hybrid_search, lookup
 from questloom.operators.ingest import Embedder, embed
-from questloom.operators.reuse import SIMILAR_THRESHOLD, reuse_exact, reuse_similar
+from questloom.operators.reuse import SIMILAR_THRESHOLD, retain_recent, reuse_exact, reuse_similar
 from questloom.operators.terms import keyword_fallback
 from questloom.session import new_path, stage
 from questloom.sources.tables import to_json_lines
 
-# Question length limit, model tries and pause, fallback hits.
-MAX_QUESTION_BYTES = 4096
+# Model tries and pause, fallback hits.
 MODEL_TRIES = 2
 MODEL_PAUSE_SECONDS = 0.5
 FALLBACK_TOP = 5
@@ -34,20 +32,21 @@ DEGRADED_MESSAGE = "LLM is offline or timed out: "
 Model = Callable[[list[str]], list[str]]
 
 
+class BadReply(ValueError):
+    """Raised by a model's client for a reply that it can't read: asking again would not help, so nobody does."""
+
+
 # --- intake ---------------------------------------------------------------
 
 
-def question_verdict(question: Column, max_bytes: int = MAX_QUESTION_BYTES) -> Column:
-    """``OK``, ``EMPTY`` or ``TOO_LONG``; the length is that of the trimmed UTF-8 text."""
+def question_verdict(question: Column, max_bytes: int | None = None) -> Column:
+    """``OK``, ``EMPTY``, or ``TOO_LONG`` beyond ``max_bytes`` (if given) of trimmed UTF-8 text."""
     trimmed = trim_space(question)
-    return (
-        F.when(trimmed.isNull() | (trimmed == ""), "EMPTY")
-        .when(F.octet_length(trimmed) > max_bytes, "TOO_LONG")
-        .otherwise("OK")
-    )
+    long = F.lit(False) if max_bytes is None else F.octet_length(trimmed) > max_bytes
+    return F.when(trimmed.isNull() | (trimmed == ""), "EMPTY").when(long, "TOO_LONG").otherwise("OK")
 
 
-def validate_questions(questions: DataFrame, max_bytes: int = MAX_QUESTION_BYTES) -> DataFrame:
+def validate_questions(questions: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Trim the questions and add ``verdict``; a bad row rejects itself only."""
     return questions.withColumn("verdict", question_verdict(F.col("question"), max_bytes)).withColumn(
         "question", trim_space(F.col("question"))
@@ -96,7 +95,8 @@ def apply_model(
     """Add ``raw`` and ``model_error``: a failing call is a value, not a failing job.
 
     Prompts go out in batches; after a failure each prompt of the batch is
-    tried on its own, so one bad prompt does not spoil its neighbours.  With
+    tried on its own, so one bad prompt does not spoil its neighbours.  A ``BadReply`` to a single prompt is
+    final.  With
     ``per_task`` the model is a factory, called once per task (a client).
     ``key_col`` should tell rows apart: it decides which task a row goes to.
     """
@@ -119,6 +119,8 @@ def apply_model(
                 return call(client, [prompt])[0], None
             except Exception as problem:  # noqa: BLE001 - any failure of a model is a value
                 error = str(problem) or type(problem).__name__
+                if isinstance(problem, BadReply):
+                    break
         return None, error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +133,7 @@ def apply_model(
                 try:
                     done += [(reply, None) for reply in call(client, part)]
                 except Exception as problem:  # noqa: BLE001
-                    if tries < 2:
+                    if tries < 2 or len(part) == 1 and isinstance(problem, BadReply):
                         done += [(None, str(problem))] * len(part)
                     else:
                         done += [alone(client, prompt, tries - 1) for prompt in part]
@@ -248,20 +250,26 @@ SETTLED = [
 
 
 def second_chance(
-    settled: DataFrame, corpus: DataFrame, model: Callable, *, retry_rejected: bool = False, **model_options
+    settled: DataFrame,
+    corpus: DataFrame,
+    model: Callable,
+    *,
+    retry_rejected: bool = False,
+    fallback_top: int | None = FALLBACK_TOP,
+    **model_options,
 ) -> DataFrame:
     """Ask again, with keyword hits, where the first answer was "not found".
 
     ``settled`` is read several times: pass a stored table.  No keyword hits proves the absence (status ABSENT).  A model that is down
     the second time leaves "not found" standing.  ``retry_rejected`` also asks
-    again where grounding failed.  Only the slice in question is recomputed.
+    again where grounding failed.  ``fallback_top`` is the number of keyword hits shown (None: all).  Only the
+    slice in question is recomputed.
     """
     again = ["NOT_FOUND"] + (["HALLUCINATED", "UNKNOWN_CHUNK"] if retry_rejected else [])
     retry = settled.filter(F.col("status").isin(again))
-    hits = keyword_fallback(retry, corpus, FALLBACK_TOP)
-    retry_count, _ = measure(retry, F.lit(1))
+    hits = keyword_fallback(retry, corpus, fallback_top)
     records = corpus.select(F.col("kunnr").alias("id"), "kunnr", "name", "city")
-    ranked = lookup(hits, records, bound_bytes=retry_count * FALLBACK_TOP * 96).select(
+    ranked = lookup(hits, records).select(
         "question_id",
         F.col("position").alias("rank"),
         F.col("kunnr").alias("chunk_id"),
@@ -290,7 +298,7 @@ def second_chance(
 
 # --- whole flows ----------------------------------------------------------
 
-ANSWER_COLUMNS = ["question_id", "question", *SETTLED]
+ANSWER_COLUMNS = ["question_id", "question", *SETTLED, "vector", "entry_id"]
 
 
 def answer_questions(
@@ -304,17 +312,25 @@ def answer_questions(
     similar_threshold: float = SIMILAR_THRESHOLD,
     rerank_top: int = RERANK_TOP,
     retry_rejected: bool = False,
-    search: Callable[[DataFrame, DataFrame], DataFrame] = hybrid_search,
+    search: Callable[..., DataFrame] = hybrid_search,
+    top_k: int | None = None,
+    fallback_top: int | None = FALLBACK_TOP,
+    max_question_bytes: int | None = None,
     **model_options,
 ) -> DataFrame:
-    """One row per question: question_id, question and the answer with its status.
+    """One row per question: question_id, question, the answer with its status, vector and entry_id.
+
+    ``vector`` is that of a newly answered question, ``entry_id`` the reused entry; ``remember`` makes both into the
+    next ``answered``.  ``top_k`` is the number of records that the search returns for a question.  Questions are only
+    refused for their length if ``max_question_bytes`` is given.
 
     Each step works on the questions that still need it: rejected and reused
     ones leave before any model is called.  Model replies are staged to a table
     so that a lost executor never makes a model answer the same prompt twice
     with different words.
     """
-    checked = validate_questions(questions)
+    checked = validate_questions(questions, max_question_bytes)
+    unknown_vector, no_entry = F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("bigint").alias("entry_id")
     none = F.array().cast(EMPTY_CHUNKS)
     rejected = checked.filter(F.col("verdict") != "OK").select(
         "question_id",
@@ -324,6 +340,8 @@ def answer_questions(
         F.lit(False).alias("degraded"),
         F.lit(None).cast("string").alias("message"),
         none.alias("retrieved_chunks"),
+        unknown_vector,
+        no_entry,
     )
     todo = checked.filter(F.col("verdict") == "OK").drop("verdict")
     parts = [rejected]
@@ -339,6 +357,8 @@ def answer_questions(
             F.lit(False).alias("degraded"),
             F.lit(None).cast("string").alias("message"),
             none.alias("retrieved_chunks"),
+            unknown_vector,
+            F.col("entry_id").cast("bigint").alias("entry_id"),
         )
 
     if answered is not None:
@@ -348,14 +368,16 @@ def answer_questions(
 
     replies = apply_model(build_prompts(todo, "intent"), model, **model_options)
     parsed = stage(resolve_intent(replies).select(*todo.columns, "intent", "filters"), "intents")
-    ready = stage(embed(parsed, embedder, text_col="intent"), "questions")
+    ready = stage(embed(parsed, embedder, text_col="intent", key_col="question_id"), "questions")
+    vectors = ready.select("question_id", "vector")
 
     if answered is not None:
         similar = stage(reuse_similar(ready, answered, similar_threshold), "reused")
         parts.append(reused(similar, "REUSED_SIMILAR"))
         ready = ready.join(similar.select("question_id"), "question_id", "left_anti")
 
-    ranked = search(ready, corpus).select(
+    sizes = {} if top_k is None else {"dense_top": top_k, "term_top": top_k, "fused_top": top_k}
+    ranked = search(ready, corpus, **sizes).select(
         "question_id", F.col("kunnr").alias("chunk_id"), "chunk_text", "rank"
     )
     if scorer is not None:
@@ -365,8 +387,10 @@ def answer_questions(
     prompts = build_answer_prompt(ready.drop("vector", "filters"), ranked)
     # Staged after reading, so that nothing later parses a reply again.
     settled = stage(settle(apply_model(prompts, model, **model_options)), "answers")
-    final = second_chance(settled, corpus, model, retry_rejected=retry_rejected, **model_options)
-    parts.append(final)
+    final = second_chance(
+        settled, corpus, model, retry_rejected=retry_rejected, fallback_top=fallback_top, **model_options
+    )
+    parts.append(final.join(vectors, "question_id").withColumn("entry_id", F.lit(None).cast("bigint")))
 
     result = parts[0].select(ANSWER_COLUMNS)
     for part in parts[1:]:
@@ -374,10 +398,38 @@ def answer_questions(
     return result
 
 
+def remember(results: DataFrame, answered: DataFrame | None, at: Column, capacity: int | None = None) -> DataFrame:
+    """The table of answered questions after ``results`` of ``answer_questions``, which were given at time ``at``.
+
+    Checked answers (found, not found, or proven absent) become entries, behind those there are; entries that were
+    reused count as used now.  With ``capacity`` the most recently used stay.  ``results`` is read several times: pass
+    a stored table.
+    """
+    last = answered.agg(F.max("entry_id")).first()[0] if answered is not None else None
+    checked = results.filter(F.col("status").isin("VERIFIED", "NOT_FOUND", "ABSENT"))
+    new = checked.select(
+        (F.lit(-1 if last is None else last) + 1 + F.monotonically_increasing_id()).alias("entry_id"),
+        "question",
+        "vector",
+        "answer",
+        "exact_quote",
+        "source_chunk_id",
+        at.cast("timestamp").alias("last_accessed"),
+    )
+    new = stage(new, "entries")
+    entries = new if answered is None else answered.select(new.columns).unionByName(new)
+    uses = results.filter(F.col("status").startswith("REUSED_")).select("entry_id", at.cast("timestamp").alias("used_at"))
+    return stage(retain_recent(entries, uses, capacity), "answered")
+
+
 def text_to_sql(
     questions: DataFrame, model: Callable, table: str = "", **model_options
 ) -> DataFrame:
-    """Add ``query`` and ``sql_status``: OK, MODEL_DOWN, BAD_REPLY, or why the text is refused."""
+    """Add ``query``, ``sql_status`` and ``result_id``.
+
+    The status is OK, MODEL_DOWN, BAD_REPLY, or why the text is refused; ``result_id`` (the SHA-256 of an accepted
+    query) is under which ``run_statements`` stores its rows, once for all questions that ask it.  Nothing is run here.
+    """
     replies = apply_model(build_prompts(questions, "sql", table), model, **model_options)
     parsed = replies.withColumn("query", parse_reply(F.col("raw"), SQL_REPLY)["query"])
     verdict = (
@@ -385,47 +437,42 @@ def text_to_sql(
         .when(F.col("query").isNull(), "BAD_REPLY")
         .otherwise(statement_verdict(F.col("query")))
     )
-    return stage(parsed.withColumn("sql_status", verdict), "sql")
+    marked = parsed.withColumn("sql_status", verdict)
+    return stage(marked.withColumn("result_id", F.when(F.col("sql_status") == "OK", F.sha2("query", 256))), "sql")
 
 
-RESULT_SCHEMA = "query string, line string, sql_error string"
+RESULT_SCHEMA = "result_id string, line string, sql_error string"
 
 
-def run_generated(
-    generated: DataFrame, max_rows: int | None = MAX_ROWS, at_once: int = 8
+def run_statements(
+    spark: SparkSession, statements: Sequence[str], max_rows: int | None = None, at_once: int = 8
 ) -> DataFrame:
-    """Run each distinct accepted query; question_id, question, query, sql_status, line, sql_error.
+    """Run queries that the caller names: result_id, line (a row as JSON), sql_error.
 
-    A query can only be started from the driver, so the distinct statements
-    stream to it a partition at a time and ``at_once`` of them run together.
-    Their rows never do: each query writes its JSON lines to the shared folder.
+    A query can only be started from the driver, so this takes a list and no table; which of the generated ones are
+    worth running is the caller's choice.  ``at_once`` of them run together.  Each passes the gate first.  Their rows
+    go to the shared folder and not through the driver; a refused or failing query is one row with its error.
     """
-    spark = generated.sparkSession
     folder = new_path(spark, "sql-results")
-    accepted = generated.filter(F.col("sql_status") == "OK").select("query").distinct()
 
     def run(numbered: tuple[int, str]) -> None:
         number, query = numbered
         target = f"{folder}/run={number}"
+        name = F.lit(hashlib.sha256(query.encode()).hexdigest()).alias("result_id")
         try:
             to_json_lines(run_sql(spark, query, max_rows)).select(
-                F.lit(query).alias("query"), "line", F.lit(None).cast("string").alias("sql_error")
+                name, "line", F.lit(None).cast("string").alias("sql_error")
             ).write.parquet(target)
         except Exception as problem:  # noqa: BLE001 - a refused or failing query is a value
-            spark.createDataFrame([(query, None, str(problem))], RESULT_SCHEMA).write.mode(
-                "overwrite"
-            ).parquet(target)
+            spark.range(1).select(
+                name, F.lit(None).cast("string").alias("line"), F.lit(str(problem)).alias("sql_error")
+            ).write.mode("overwrite").parquet(target)
 
-    statements = enumerate(row["query"] for row in accepted.toLocalIterator())
     with ThreadPoolExecutor(at_once) as pool:
-        while round_of := list(islice(statements, at_once * 4)):
-            list(pool.map(run, round_of))
+        list(pool.map(run, enumerate(dict.fromkeys(statements))))
     # An empty table of its own keeps the folder readable when nothing ran.
     spark.createDataFrame([], RESULT_SCHEMA).write.parquet(f"{folder}/run=-1")
-    results = spark.read.schema(RESULT_SCHEMA).parquet(folder).select("query", "line", "sql_error")
-    return generated.join(results, "query", "left").select(
-        "question_id", "question", "query", "sql_status", "line", "sql_error"
-    )
+    return spark.read.schema(RESULT_SCHEMA).parquet(folder).select("result_id", "line", "sql_error")
 
 
 def route_and_answer(
@@ -434,12 +481,15 @@ def route_and_answer(
     *,
     model: Callable,
     table: str = "",
-    max_rows: int | None = MAX_ROWS,
     tries: int = MODEL_TRIES,
     pause: float = MODEL_PAUSE_SECONDS,
     **options,
 ) -> DataFrame:
-    """Route every question to SQL or to the corpus and return all answers with their route."""
+    """Route every question to SQL or to the corpus; all answers with their route.
+
+    A question for SQL gets its query, the gate's verdict on it, and the ``result_id`` under which ``run_statements``
+    stores the rows.
+    """
     model_options = {"tries": tries, "pause": pause}
     routed = stage(
         resolve_route(apply_model(build_prompts(questions, "route", table), model, **model_options)),
@@ -448,7 +498,7 @@ def route_and_answer(
     by_sql = routed.filter(F.col("route") == "SQL").drop("route")
     by_meaning = routed.filter(F.col("route") != "SQL").drop("route")
     generated = text_to_sql(by_sql, model, table, **model_options)
-    rows = run_generated(generated, max_rows)
+    rows = generated.select("question_id", "question", "query", "sql_status", "result_id")
     answers = answer_questions(by_meaning, corpus, model=model, **model_options, **options)
     both = answers.unionByName(rows, allowMissingColumns=True)
     return both.join(routed.select("question_id", "route"), "question_id")

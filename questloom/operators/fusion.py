@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from questloom.session import stage
+
 # The fusion constant and the number of chunks kept by a rerank.
 FUSION_K = 60
 RERANK_TOP = 3
@@ -54,16 +56,27 @@ def rerank(
     *,
     question_col: str = "question",
     text_col: str = "chunk_text",
+    batch_size: int = 256,
 ) -> DataFrame:
-    """Score (question, chunk) pairs with a model, then keep the ``k`` best per question."""
+    """Score (question, chunk) pairs with a model, then keep the ``k`` best per question.
+
+    Pairs are shared out by question to as many tasks as there are shuffle partitions; the scorer sees at most
+    ``batch_size`` of them at once, and its scores are stored before they are ranked.
+    """
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     @F.pandas_udf("double")
     def score(questions: pd.Series, chunks: pd.Series) -> pd.Series:
         pairs = list(zip(questions, chunks))
-        scores = np.asarray(scorer(pairs), dtype=np.float64)
-        if len(scores) != len(pairs):
-            raise ValueError(f"scorer returned {len(scores)} scores for {len(pairs)} pairs")
+        scores = np.empty(len(pairs), dtype=np.float64)
+        for start in range(0, len(pairs), batch_size):
+            part = pairs[start : start + batch_size]
+            found = np.asarray(scorer(part), dtype=np.float64)
+            if len(found) != len(part):
+                raise ValueError(f"scorer returned {len(found)} scores for {len(part)} pairs")
+            scores[start : start + len(part)] = found
         return pd.Series(scores)
 
-    return rerank_by_scores(candidates.withColumn("score", score(question_col, text_col)), k)
+    spread = candidates.repartition(tasks, "question_id")
+    return rerank_by_scores(stage(spread.withColumn("score", score(question_col, text_col)), "scores"), k)
 

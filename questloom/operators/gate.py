@@ -9,9 +9,6 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the default row cap.
-MAX_ROWS = 10_000
-
 # How a query may begin, and what may not follow WITH or FROM.
 QUERY_WORDS = ["SELECT", "WITH", "VALUES", "TABLE", "FROM"]
 WRITE_WORDS = r"(?i)\b(INSERT\s+(INTO|OVERWRITE)|DELETE\s+FROM|UPDATE\s+\S+\s+SET|MERGE\s+INTO)\b"
@@ -26,9 +23,9 @@ UNSAFE_CALL = re.compile(rf"\b(?:reflect|java_method|try_reflect|identifier)`?{_
 SCRIPT = re.compile(rf"\busing\b{_GAP}r?['\"]", re.IGNORECASE)
 
 REFUSALS = {
-    "EMPTY": "No SQL statements found",
-    "MULTIPLE": "Multiple SQL statements detected",
-    "NOT_QUERY": "Only pure SELECT queries are permitted",
+    "EMPTY": "the text holds no statement",
+    "MULTIPLE": "the text holds more than one statement",
+    "NOT_QUERY": "the statement does more than read",
 }
 
 _files_setting = threading.Lock()
@@ -74,12 +71,12 @@ def check_sql(spark: SparkSession, sql: str) -> DataFrame:
     verdict = spark.sql("SELECT :sql AS sql", {"sql": sql}).select(statement_verdict(F.col("sql")))
     found = verdict.first()[0]
     if found != "OK":
-        raise RefusedSql(f"SECURITY VIOLATION: {REFUSALS[found]}")
+        raise RefusedSql(f"refused: {REFUSALS[found]}")
     # Comments out (hints stay), then the closing semicolon.
     body = re.sub(f"({QUOTED})|{PLAIN_COMMENT}", lambda m: m[1] or " ", sql)
     body = re.sub(r"[;\s]+\Z", "", body)
     if any(rule.search(text) for rule in (UNSAFE_CALL, SCRIPT) for text in (sql, body)):
-        raise RefusedSql("SECURITY VIOLATION: the query calls outside of SQL")
+        raise RefusedSql("refused: the query calls outside of SQL")
     with _files_setting:
         # A path must not be readable as a table; names resolve during this call.
         before = spark.conf.get("spark.sql.runSQLOnFiles", "true")
@@ -88,17 +85,19 @@ def check_sql(spark: SparkSession, sql: str) -> DataFrame:
             spark.sql(f"SELECT EXISTS (\n{body}\n)")
             return spark.sql(body)
         except ParseException as error:
-            raise RefusedSql(f"SECURITY VIOLATION: {REFUSALS['NOT_QUERY']}: {error}") from error
+            raise RefusedSql(f"refused: {REFUSALS['NOT_QUERY']}: {error}") from error
         except AnalysisException as error:
             raise RefusedSql(str(error)) from error
         finally:
             spark.conf.set("spark.sql.runSQLOnFiles", before)
 
 
-def run_sql(spark: SparkSession, sql: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
-    """Gate, then query, then at most ``max_rows`` rows in the query's own order.
-
-    ``max_rows=None`` lifts the cap.
-    """
+def run_sql(spark: SparkSession, sql: str, max_rows: int | None = None) -> DataFrame:
+    """Gate, then query: all rows, or the first ``max_rows`` in the query's own order if a cap is asked for."""
     result = check_sql(spark, sql)
     return result if max_rows is None else result.limit(max_rows)
+
+
+def was_cut(spark: SparkSession, sql: str, max_rows: int) -> bool:
+    """Whether ``run_sql`` with that cap leaves rows out (runs the query up to one row more)."""
+    return check_sql(spark, sql).limit(max_rows + 1).count() > max_rows

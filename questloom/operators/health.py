@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from questloom.functions.vectors import vector_verdict
+from questloom.operators.ann import read_index_keys
 
 
 def corpus_health(
@@ -14,14 +15,19 @@ def corpus_health(
     *,
     spark=None,
     model_ok: bool = True,
-    indexed: bool = False,
-    cached_answers: int = 0,
+    index_path: str | None = None,
+    answered: DataFrame | None = None,
 ) -> DataFrame:
     """One row: status, flags and counts.
 
-    ``healthy`` with model and corpus, ``degraded`` with one of them,
-    ``unhealthy`` with neither.
+    ``healthy`` with model and corpus, ``degraded`` with the corpus alone,
+    ``unhealthy`` without a corpus.  ``indexed`` tells whether there is an index at
+    ``index_path`` that holds every record, ``cached_answers`` counts ``answered``.
     """
+    spark = corpus.sparkSession if corpus is not None else spark
+    index = read_index_keys(spark, index_path) if index_path else None
+    indexed = index is not None and corpus is not None and corpus.join(index, "kunnr", "left_anti").isEmpty()
+    cached_answers = answered.count() if answered is not None else 0
     if corpus is None:
         counts = spark.range(1).select(
             *[F.lit(0).cast("bigint").alias(c) for c in ("records", "keys", "null_keys", "bad_vectors")]
@@ -33,8 +39,7 @@ def corpus_health(
             F.count_if(F.col("kunnr").isNull()).alias("null_keys"),
             F.count_if(vector_verdict(F.col("vector"), dim) != "OK").alias("bad_vectors"),
         )
-    working = int(model_ok) + int(corpus is not None)
-    status = {2: "healthy", 1: "degraded", 0: "unhealthy"}[working]
+    status = "unhealthy" if corpus is None else "healthy" if model_ok else "degraded"
     return counts.select(
         F.lit(status).alias("status"),
         F.lit(model_ok).alias("model_ok"),

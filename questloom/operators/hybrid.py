@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questloom.operators.blocks import SMALL_SIDE_BYTES, measure
 from questloom.operators.fusion import reciprocal_score
+from questloom.operators.ingest import BATCH_SIZE, embed
 from questloom.operators.knn import knn, top_ranked
 from questloom.operators.terms import NOT_PREFIX, term_search
+from questloom.session import stage
 
 # Hits per dense search, per term filter, and after fusion.
 DENSE_TOP = 20
@@ -31,7 +32,7 @@ def exclusions(questions: DataFrame) -> DataFrame:
         negative,
         lambda e: F.struct(
             e["ordinal"].alias("ordinal"),
-            F.substring(e["filter"], len(NOT_PREFIX) + 1, 2_000_000_000).alias("term"),
+            F.substring(e["filter"], F.lit(len(NOT_PREFIX) + 1), F.length(e["filter"])).alias("term"),
         ),
     )
     return questions.select("question_id", terms.alias("exclusions"))
@@ -59,15 +60,12 @@ def exclude_terms(hits: DataFrame, questions: DataFrame, text_col: str) -> DataF
     )
 
 
-def lookup(hits: DataFrame, corpus: DataFrame, bound_bytes: int | None) -> DataFrame:
+def lookup(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     """Fetch corpus columns for hits.
 
-    With a proven bound on the hits they are broadcast and the corpus is
-    scanned in place; without one it is an ordinary join (bloom-filtered and
-    skew-split at run time).
+    Spark knows the size of the hits when it comes to the join, and sends them to the corpus if they are small, or
+    shuffles both (and splits crowded keys) if not.
     """
-    if bound_bytes is not None and bound_bytes <= SMALL_SIDE_BYTES:
-        hits = F.broadcast(hits)
     return corpus.join(hits, "id")
 
 
@@ -76,7 +74,7 @@ def hybrid_search(
     corpus: DataFrame,
     *,
     dense_top: int = DENSE_TOP,
-    term_top: int = TERM_TOP,
+    term_top: int | None = TERM_TOP,
     fused_top: int = FUSED_TOP,
     negative_on: str = "sentence",
     wildcards: bool = False,
@@ -89,7 +87,8 @@ def hybrid_search(
     ``fused_top`` taken, and only then excluded records dropped, so fewer can
     remain and ranks can have gaps.  ``negative_on`` is the text exclusions
     look at: ``sentence`` or ``payload``.  ``dense`` replaces the exact search,
-    e.g. by an indexed one.
+    e.g. by an indexed one.  ``term_top=None`` takes all lexical hits.  The questions and the corpus are read several
+    times: pass stored tables (``semantic_search`` does).
     """
     near = dense(questions, dense_top) if dense else knn(questions, corpus, dense_top)
     lexical = term_search(questions, corpus, term_top, wildcards=wildcards)
@@ -104,13 +103,34 @@ def hybrid_search(
         )
     )
     fused = top_ranked(seen, fused_top)
-    questions_count, _ = measure(questions, F.lit(1))
     found = lookup(
-        fused,
-        corpus.select(F.col("kunnr").alias("id"), "kunnr", "name", "city", "sentence"),
-        bound_bytes=questions_count * fused_top * 96,
+        fused, corpus.select(F.col("kunnr").alias("id"), "kunnr", "name", "city", "sentence")
     ).withColumn("chunk_text", chunk_payload())
     text = {"sentence": "sentence", "payload": "chunk_text"}[negative_on]
     kept = exclude_terms(found, questions, text)
     return kept.select("question_id", "kunnr", "rank", "score", "sentence", "chunk_text")
 
+
+
+def semantic_search(
+    questions: DataFrame,
+    corpus: DataFrame,
+    embedder: Callable,
+    *,
+    text_col: str = "question",
+    batch_size: int = BATCH_SIZE,
+    per_task: bool = False,
+    **options,
+) -> DataFrame:
+    """``hybrid_search`` for text questions: question_id, ``text_col`` and (optionally) filters.
+
+    Every question is embedded once, and what the search reads several times is stored.  A corpus without a
+    ``vector`` column is embedded as well, by its sentence.
+    """
+    if "filters" not in questions.columns:
+        questions = questions.withColumn("filters", F.array().cast("array<string>"))
+    columns = questions.select("question_id", F.col(text_col).alias("question_text"), "filters")
+    asked = stage(embed(columns, embedder, "question_text", batch_size, per_task, key_col="question_id"), "asked")
+    if "vector" not in corpus.columns:
+        corpus = stage(embed(corpus, embedder, "sentence", batch_size, per_task, key_col="kunnr"), "stored")
+    return hybrid_search(asked.select("question_id", "vector", "filters"), corpus, **options)

@@ -81,15 +81,20 @@ def embed(
     text_col: str = "sentence",
     batch_size: int = BATCH_SIZE,
     per_task: bool = False,
+    key_col: str | None = None,
 ) -> DataFrame:
     """Add ``vector``: the unit-length embedding of ``text_col``.
 
     The embedder must be a pure function of each text.  It sees at most
     ``batch_size`` texts per call.  With ``per_task`` it is a factory, called
-    once per task, e.g. to load a model.
+    once per task, e.g. to load a model.  ``key_col`` shares the rows out by that
+    column to as many tasks as there are shuffle partitions, whatever their bytes;
+    without it they stay in the tasks they are in.
     """
     check_batch_size(batch_size)
     columns = df.columns
+    if key_col:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = embedder() if per_task else embedder
@@ -138,11 +143,13 @@ def prepare_records(
     """Records that are new, unique and rendered, in key order, ready to embed.
 
     The known ones leave before the model sees anything.  The range partition
-    on the key comes before embedding as well: it balances the costly stage and
-    leaves each file with a narrow key range, so lookups by key skip files.
+    on the key comes before embedding as well: it shares the costly stage out to as
+    many tasks as there are shuffle partitions, and leaves each file with a narrow
+    key range, so lookups by key skip files.
     """
     fresh = new_records(dedup_first(default_unknown(records), order), corpus)
-    return render_sentence(fresh).repartitionByRange("kunnr").sortWithinPartitions("kunnr")
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return render_sentence(fresh).repartitionByRange(tasks, "kunnr").sortWithinPartitions("kunnr")
 
 
 def ingest(

@@ -7,12 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from questloom.functions.vectors import vector_verdict
 from questloom.operators.best import Best
 from questloom.operators.blocks import Batches, scan_against
 
-# Dot products are compared at this many decimals, so that copies of a vector
-# tie (and are then ordered by id) whichever block of a matrix they sit in.
-SCORE_DIGITS = 9
+# Dot products are compared at this many bits below |q|·|v|, so that copies of a
+# vector tie (and are then ordered by id) whichever block of a matrix they sit in.
+TIE_BITS = 46
 # Scores held at once by a task while it multiplies a batch with the questions.
 TILE_CELLS = 4_000_000
 # Pairs multiplied again at once.
@@ -56,12 +57,18 @@ def _distinct(vectors: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, n
 
 
 def _exact(questions: np.ndarray, vectors: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Rounded inner products of the pairs (at, which), a bounded number at a time."""
-    parts = [
-        np.einsum("ij,ij->i", questions[at[lo : lo + PAIRS]], vectors[which[lo : lo + PAIRS]])
-        for lo in range(0, len(at), PAIRS)
-    ]
-    return np.round(np.concatenate(parts), SCORE_DIGITS) + 0.0
+    """Inner products of the pairs (at, which), a bounded number at a time, to ``TIE_BITS`` of their lengths."""
+    asked, stored = np.linalg.norm(questions, axis=1), np.linalg.norm(vectors, axis=1)
+    parts = []
+    for lo in range(0, len(at), PAIRS):
+        left, right = at[lo : lo + PAIRS], which[lo : lo + PAIRS]
+        product = np.einsum("ij,ij->i", questions[left], vectors[right])
+        _, exponent = np.frexp(asked[left] * stored[right])
+        step = np.ldexp(1.0, exponent - TIE_BITS)
+        fits = np.isfinite(product) & (step > 0)
+        product[fits] = np.round(product[fits] / step[fits]) * step[fits]
+        parts.append(product)
+    return np.concatenate(parts) + 0.0
 
 
 def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndarray, ids: pa.Array) -> None:
@@ -82,7 +89,7 @@ def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndar
     single = bool((reach < 1e30).all())
     narrow = vectors.astype(np.float32).T if single else vectors.T
     # Rounding of dim products and sums, and of the inputs themselves.
-    error = (dim + 4) * (2.0**-24 if single else 2.0**-53) * 1.1 * reach + 10.0**-SCORE_DIGITS
+    error = (dim + 4) * (2.0**-24 if single else 2.0**-53) * 1.1 * reach + 2.0 ** (1 - TIE_BITS) * reach
     step = max(1, TILE_CELLS // count)
     for start in range(0, len(rows), step):
         part, own, slack = (x[start : start + step] for x in (rows, questions, error))
@@ -185,8 +192,16 @@ def top_ranked(hits: DataFrame, k: int, group: str = "question_id") -> DataFrame
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_bytes(vector: Column) -> Column:
-    return F.lit(32) + F.coalesce(F.size(vector), F.lit(0)) * 8
+def vector_bytes(vector: Column, key: Column | None = None) -> Column:
+    """Bytes that a vector, and the key it goes with, take when shipped."""
+    width = F.lit(0) if key is None else F.coalesce(F.octet_length(key.cast("string")), F.lit(0))
+    return F.lit(32) + width + F.coalesce(F.size(vector), F.lit(0)) * 8
+
+
+def unusable_vectors(rows: DataFrame, dim: int, id_col: str = "kunnr", vector_col: str = "vector") -> DataFrame:
+    """(id, verdict) of the rows that no search with vectors of ``dim`` elements can return."""
+    verdict = vector_verdict(F.col(vector_col), dim)
+    return rows.select(F.col(id_col).alias("id"), verdict.alias("verdict")).filter(F.col("verdict") != "OK")
 
 
 def knn(
@@ -203,7 +218,7 @@ def knn(
     ``questions`` has ``question_id`` and ``vector``; the result has
     ``question_id, id, score, rank``.  On unit vectors the order equals that of
     the Euclidean distance.  Vectors of another length, or with an element that
-    is not finite, never match.
+    is not finite, never match; ``unusable_vectors`` lists them.
     """
     small = questions.select("question_id", "vector")
     large = corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
@@ -213,7 +228,7 @@ def knn(
         small,
         nearest_kernel(k),
         f"question_id {types['question_id']}, id {types['id']}, score double",
-        row_bytes=vector_bytes(F.col("vector")),
+        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")),
         large_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from questloom.functions.text import fold_ascii
 from questloom.operators.knn import knn
 
-# How similar a question must be, and how many answers are kept.
+# Fixed value: how similar a question must be.
 SIMILAR_THRESHOLD = 0.95
-CAPACITY = 1024
 
 ANSWER_FIELDS = ["entry_id", "answer", "exact_quote", "source_chunk_id"]
 
@@ -54,8 +53,8 @@ def reuse_similar(
     )
 
 
-def retain_recent(answered: DataFrame, uses: DataFrame | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The ``capacity`` most recently used entries, one per question text.
+def retain_recent(answered: DataFrame, uses: DataFrame | None = None, capacity: int | None = None) -> DataFrame:
+    """The ``capacity`` most recently used entries (by default all), one per question text.
 
     ``uses`` (entry_id, used_at) are hits since; each refreshes its entry.
     """
@@ -75,4 +74,6 @@ def retain_recent(answered: DataFrame, uses: DataFrame | None = None, capacity:
         .select("_first.*", "last_accessed")
         .select(*entries.columns)
     )
-    return merged.orderBy(F.col("last_accessed").desc(), F.col("entry_id").asc()).limit(max(1, capacity))
+    if capacity is None:
+        return merged
+    return merged.orderBy(F.col("last_accessed").desc(), F.col("entry_id").asc()).limit(capacity)

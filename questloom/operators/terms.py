@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -38,25 +39,37 @@ def _like_pattern(term: str) -> re.Pattern:
 
 
 class Smallest:
-    """The ``limit`` smallest ids per group seen by one task: the map side of a first-by-id."""
+    """The ``limit`` smallest ids per group seen by one task: the map side of a first-by-id.
 
-    def __init__(self, limit: int):
+    Without a limit every hit is wanted, and ``full`` says when to hand on what has gathered.
+    """
+
+    def __init__(self, limit: int | None):
         self.limit = limit
         self.ids: dict[int, list] = {}
+        self.waiting = 0
 
     def wants(self, group: int, key) -> bool:
         kept = self.ids.get(group)
-        return kept is None or len(kept) < self.limit or key < kept[-1]
+        return self.limit is None or kept is None or len(kept) < self.limit or key < kept[-1]
 
     def add(self, group: int, key) -> None:
         kept = self.ids.setdefault(group, [])
+        if self.limit is None:
+            kept.append(key)
+            self.waiting += 1
+            return
         insort(kept, key)
         if len(kept) > self.limit:
             kept.pop()
 
+    def full(self) -> bool:
+        return self.waiting >= 100_000
+
     def emit(self, labels: pa.Array, label: str, id_type: pa.DataType) -> pa.RecordBatch:
         groups = [group for group, kept in self.ids.items() for _ in kept]
         ids = [key for kept in self.ids.values() for key in kept]
+        self.ids, self.waiting = {}, 0
         return pa.RecordBatch.from_arrays(
             [labels.take(pa.array(groups, pa.int64())), pa.array(ids, id_type)], names=[label, "id"]
         )
@@ -70,8 +83,17 @@ def _rows(batches: Batches) -> Iterator[tuple[object, str, pa.DataType]]:
                 yield key, text, column.type
 
 
-def term_kernel(limit: int, wildcards: bool):
-    """Terms (term) against batches (id, text): the first ``limit`` ids per term."""
+def _literal_part(term: str) -> str:
+    """The longest run of a LIKE pattern that stands for itself."""
+    return max(re.split("[%_]", term), key=len)
+
+
+def term_kernel(limit: int | None, wildcards: bool):
+    """Terms (term) against batches (id, text): the first ``limit`` ids per term.
+
+    One pass of an automaton over a text finds the terms in it, and the longest literal parts of patterns; a
+    pattern is only tried where its part occurs.
+    """
 
     def prepare(small: pa.Table):
         labels = small["term"].combine_chunks()
@@ -79,14 +101,21 @@ def term_kernel(limit: int, wildcards: bool):
         patterns = {}
         if wildcards:
             patterns = {i: _like_pattern(t) for t, i in terms.items() if "%" in t or "_" in t}
-        machine = _automaton({t: i for t, i in terms.items() if i not in patterns})
-        everywhere = terms.get("")
+        # What the automaton looks for, and for each such text the terms it is and the patterns it opens.
+        wanted: dict[str, tuple[list[int], list[int]]] = {}
+        for term, i in terms.items():
+            part = _literal_part(term) if i in patterns else term
+            wanted.setdefault(part, ([], []))[i in patterns].append(i)
+        machine = _automaton({part: n for n, part in enumerate(wanted)})
+        opened = list(wanted.values())
+        everywhere = wanted.get("", ([], []))
 
         def matches(text: str) -> set[int]:
-            found = {n for _, n in machine.iter(text)} if machine else set()
-            found.update(n for n, p in patterns.items() if p.search(text))
-            if everywhere is not None:
-                found.add(everywhere)
+            found: set[int] = set()
+            parts = [opened[n] for n in {n for _, n in machine.iter(text)}] if machine else []
+            for plain, maybe in [*parts, everywhere]:
+                found.update(plain)
+                found.update(i for i in maybe if patterns[i].search(text))
             return found
 
         def run(batches: Batches) -> Batches:
@@ -95,6 +124,8 @@ def term_kernel(limit: int, wildcards: bool):
                 for term in matches(text):
                     if first.wants(term, key):
                         first.add(term, key)
+                if first.full():
+                    yield first.emit(labels, "term", id_type)
             yield first.emit(labels, "term", id_type)
 
         return run
@@ -102,22 +133,23 @@ def term_kernel(limit: int, wildcards: bool):
     return prepare
 
 
-def _first_by_id(hits: DataFrame, group: str, limit: int) -> DataFrame:
+def _first_by_id(hits: DataFrame, group: str, limit: int | None) -> DataFrame:
     order = Window.partitionBy(group).orderBy("id")
-    return hits.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    placed = hits.withColumn("position", F.row_number().over(order))
+    return placed if limit is None else placed.filter(F.col("position") <= limit)
 
 
 def term_hits(
     terms: DataFrame,
     corpus: DataFrame,
-    limit: int = 20,
+    limit: int | None = 20,
     *,
     id_col: str = "kunnr",
     text_col: str = "sentence",
     wildcards: bool = False,
     limit_bytes: int | None = None,
 ) -> DataFrame:
-    """(term, id, position): the first ``limit`` rows by id that contain each distinct term."""
+    """(term, id, position): the first ``limit`` rows by id (None: all) that contain each distinct term."""
     small = terms.select("term").filter(F.col("term").isNotNull()).distinct()
     large = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hits = scan_against(
@@ -140,7 +172,7 @@ def split_filters(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.posexplode("filters").alias("ordinal", "filter")).select(
         "question_id",
         "ordinal",
-        F.when(negative, F.substring("filter", len(NOT_PREFIX) + 1, 2_000_000_000))
+        F.when(negative, F.substring("filter", F.lit(len(NOT_PREFIX) + 1), F.length("filter")))
         .otherwise(F.col("filter"))
         .alias("term"),
         negative.alias("negative"),
@@ -150,7 +182,7 @@ def split_filters(questions: DataFrame) -> DataFrame:
 def term_search(
     questions: DataFrame,
     corpus: DataFrame,
-    limit: int = 20,
+    limit: int | None = 20,
     *,
     id_col: str = "kunnr",
     text_col: str = "sentence",
@@ -179,33 +211,41 @@ def term_search(
     )
 
 
-def all_words_kernel(limit: int):
-    """Word sets (question_id, words) against batches (id, text).
+def all_words_kernel(limit: int | None, any_hit: bool):
+    """Distinct word sets (set_key, words) against batches (id, text).
 
-    The automaton looks for one word per question, the longest; the others are
-    looked up only where that one occurs and the row could still be kept.
+    One pass of an automaton over a text finds which of all words it holds.  A set is looked at where its anchor
+    occurs, the word that the fewest sets have (the longest of those), so that words in common draw no crowd.  With
+    ``any_hit`` a set that has a row is not looked at again.
     """
 
     def prepare(small: pa.Table):
-        labels = small["question_id"].combine_chunks()
-        wanted = [sorted(set(w), key=len, reverse=True) for w in small["words"].to_pylist()]
-        anchors: dict[str, int] = {}
-        asking: list[list[int]] = []
-        for question, (longest, *_) in enumerate(wanted):
-            number = anchors.setdefault(longest, len(anchors))
-            if number == len(asking):
-                asking.append([])
-            asking[number].append(question)
-        machine = _automaton(anchors)
+        labels = small["set_key"].combine_chunks()
+        sets = [set(w) for w in small["words"].to_pylist()]
+        held = Counter(w for words_ in sets for w in words_)
+        numbers = {w: n for n, w in enumerate(held)}
+        wanted = [frozenset(numbers[w] for w in words_) for words_ in sets]
+        asking: dict[int, list[int]] = {}
+        for i, words_ in enumerate(sets):
+            anchor = min(words_, key=lambda w: (held[w], -len(w), w))
+            asking.setdefault(numbers[anchor], []).append(i)
+        machine = _automaton(numbers)
 
         def run(batches: Batches) -> Batches:
             first, id_type = Smallest(limit), pa.string()
+            open_sets = {anchor: list(those) for anchor, those in asking.items()}
             for key, text, id_type in _rows(batches):
-                for anchor in {n for _, n in machine.iter(text)} if machine else ():
-                    for question in asking[anchor]:
-                        if first.wants(question, key) and all(w in text for w in wanted[question]):
-                            first.add(question, key)
-            yield first.emit(labels, "question_id", id_type)
+                found = {n for _, n in machine.iter(text)} if machine else set()
+                for anchor in found & open_sets.keys():
+                    hits = [i for i in open_sets[anchor] if wanted[i] <= found]
+                    for i in hits:
+                        if first.wants(i, key):
+                            first.add(i, key)
+                    if any_hit and hits:
+                        open_sets[anchor] = [i for i in open_sets[anchor] if not wanted[i] <= found]
+                if first.full():
+                    yield first.emit(labels, "set_key", id_type)
+            yield first.emit(labels, "set_key", id_type)
 
         return run
 
@@ -215,36 +255,62 @@ def all_words_kernel(limit: int):
 def keyword_fallback(
     questions: DataFrame,
     corpus: DataFrame,
-    limit: int = 5,
+    limit: int | None = 5,
     *,
     intent_col: str = "intent",
     id_col: str = "kunnr",
     text_col: str = "sentence",
     limit_bytes: int | None = None,
 ) -> DataFrame:
-    """(question_id, id, position): the first rows that contain every word of the intent.
+    """(question_id, id, position): the first ``limit`` rows by id (None: all) that contain every word of the intent.
 
-    An intent without words matches nothing.
+    An intent without words matches nothing.  Intents with the same words are looked for once.
     """
-    small = questions.select("question_id", F.array_distinct(words(F.col(intent_col))).alias("words"))
-    small = small.filter(F.size("words") > 0)
+    asked, hits = _word_set_hits(questions, corpus, limit, False, intent_col, id_col, text_col, limit_bytes)
+    return asked.join(_first_by_id(hits, "set_key", limit), "set_key").select("question_id", "id", "position")
+
+
+def _word_set_hits(
+    questions: DataFrame,
+    corpus: DataFrame,
+    limit: int | None,
+    any_hit: bool,
+    intent_col: str,
+    id_col: str,
+    text_col: str,
+    limit_bytes: int | None,
+) -> tuple[DataFrame, DataFrame]:
+    """(question_id, set_key) of questions with words, and (set_key, id) of the rows found for each set."""
+    listed = F.array_sort(F.array_distinct(words(F.col(intent_col))))
+    # Words hold no white space, so joined by spaces they are a key that can be taken apart.
+    asked = questions.select("question_id", F.array_join(listed, " ").alias("set_key")).filter("set_key <> ''")
+    small = asked.select("set_key").distinct().withColumn("words", F.split("set_key", " "))
     large = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     types = dict(small.dtypes) | dict(large.dtypes)
     hits = scan_against(
         large,
         small,
-        all_words_kernel(limit),
-        f"question_id {types['question_id']}, id {types['id']}",
-        row_bytes=F.octet_length(F.array_join("words", " ")) + 32,
+        all_words_kernel(limit, any_hit),
+        f"set_key string, id {types['id']}",
+        row_bytes=F.octet_length("set_key") * 2 + 32,
         large_bytes=F.coalesce(F.octet_length("text"), F.lit(0)) + 32,
-        small_key="question_id",
+        small_key="set_key",
         large_key="id",
         limit_bytes=limit_bytes or TERM_SIDE_BYTES,
     )
-    return _first_by_id(hits, "question_id", limit)
+    return asked, hits
 
 
-def prove_absence(questions: DataFrame, corpus: DataFrame, **options) -> DataFrame:
-    """The questions for which no record contains every word of the intent."""
-    found = keyword_fallback(questions, corpus, 1, **options).select("question_id")
+def prove_absence(
+    questions: DataFrame,
+    corpus: DataFrame,
+    *,
+    intent_col: str = "intent",
+    id_col: str = "kunnr",
+    text_col: str = "sentence",
+    limit_bytes: int | None = None,
+) -> DataFrame:
+    """The questions for which no record contains every word of the intent; a task stops looking at its first hit."""
+    asked, hits = _word_set_hits(questions, corpus, 1, True, intent_col, id_col, text_col, limit_bytes)
+    found = asked.join(hits.select("set_key").distinct(), "set_key").select("question_id")
     return questions.join(found, "question_id", "left_anti")

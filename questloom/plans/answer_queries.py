@@ -17,8 +17,9 @@ from questloom.operators.answers import (
     build_prompts,
     resolve_intent,
     resolve_route,
+    remember,
     route_and_answer,
-    run_generated,
+    run_statements,
     second_chance,
     settle,
     text_to_sql,
@@ -75,7 +76,7 @@ def a1(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select(
         F.col("doc_id").alias("question_id"), F.col("text").alias("question")
     )
-    return validate_questions(documents).select("question_id", "verdict", F.md5("question").alias("digest"))
+    return validate_questions(documents, 4096).select("question_id", "verdict", F.md5("question").alias("digest"))
 
 
 @query(
@@ -398,9 +399,9 @@ def a11(spark: SparkSession, folder: str) -> DataFrame:
     WITH q AS (SELECT vec_id, [CASE WHEN i <= label % 8 * 2 THEN 0 ELSE CAST(embedding[i] AS DOUBLE) END
                                FOR i IN range(1, 65)] AS v FROM embeddings),
          s AS (SELECT q.vec_id AS question_id, e.vec_id AS entry_id,
-                      round(list_inner_product(q.v, CAST(e.embedding AS DOUBLE[])), 9) AS score
+                      round(list_inner_product(q.v, CAST(e.embedding AS DOUBLE[])), 12) AS score
                FROM q CROSS JOIN embeddings e)
-    SELECT question_id, entry_id, score FROM (
+    SELECT question_id, entry_id, round(score, 8) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, entry_id) AS place FROM s)
     WHERE place = 1 AND score >= 0.95
     """,
@@ -415,7 +416,7 @@ def a12(spark: SparkSession, folder: str) -> DataFrame:
         F.col("embedding").alias("vector"),
         *[F.lit("").alias(c) for c in ("answer", "exact_quote", "source_chunk_id")],
     )
-    return reuse_similar(asking, entries).select("question_id", "entry_id", "score")
+    return reuse_similar(asking, entries).select("question_id", "entry_id", F.round("score", 8).alias("score"))
 
 
 @query(
@@ -450,16 +451,15 @@ def letter_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return read_corpus(spark, path)
 
 
-# Documents as questions: blank and over-long ones are rejected, the rest answered from the records.
+# Documents as questions: blank ones are rejected, the rest answered from the records.
 @query(
     "a14_answer_questions",
     f"""
     WITH checked AS (SELECT doc_id AS question_id, {trimmed_sql("text")} AS text FROM documents),
          q AS (SELECT question_id, {unit_letters_sql("text")} AS vector FROM checked
-               WHERE text <> '' AND strlen(text) <= 4096),
+               WHERE text <> ''),
          c AS ({LETTER_CORPUS_SQL}), near AS ({dense_sql(1)})
-    SELECT question_id, CASE WHEN text = '' THEN 'REJECTED_EMPTY' WHEN strlen(text) > 4096 THEN 'REJECTED_TOO_LONG'
-                             ELSE 'VERIFIED' END AS status,
+    SELECT question_id, CASE WHEN text = '' THEN 'REJECTED_EMPTY' ELSE 'VERIFIED' END AS status,
            near.id AS source_chunk_id,
            CASE WHEN near.id IS NOT NULL
                 THEN CAST(to_json({{'city': k.ort01, 'kunnr': k.kunnr, 'name': k.name1}}) AS VARCHAR) END AS exact_quote
@@ -476,6 +476,27 @@ def a14(spark: SparkSession, folder: str) -> DataFrame:
     return answers.select("question_id", "status", "source_chunk_id", "exact_quote")
 
 
+@query(
+    "a14_ask_again",
+    f"""
+    WITH q AS (SELECT conv_id * 1000 + turn AS question_id, {trimmed_sql("text")} AS text FROM conversations)
+    SELECT question_id, CASE WHEN text = '' THEN 'REJECTED_EMPTY' ELSE 'REUSED_EXACT' END AS status FROM q
+    """,
+)
+def a14_again(spark: SparkSession, folder: str) -> DataFrame:
+    """All turns asked, remembered, and asked again: the second time no model is needed."""
+
+    def silent(prompts: list[str]) -> list[str]:
+        raise ConnectionError("asked again")
+
+    asked_turns = turns(spark, folder).select("question_id", "question")
+    stored, options = letter_corpus(spark, folder), {"embedder": letter_counts, "pause": 0.0}
+    first = stage(answer_questions(asked_turns, stored, model=rule_model, **options), "first-answers")
+    known = remember(first, None, F.lit("2024-01-01 00:00:00"))
+    again = answer_questions(asked_turns, stored, model=silent, answered=known, **options)
+    return again.select("question_id", "status")
+
+
 def counting_questions(spark: SparkSession, folder: str) -> DataFrame:
     """A question per customer: about counts in one segment, about a name in the others."""
     counting = F.concat(F.lit("How many customers are in "), "land1", F.lit("?"))
@@ -489,33 +510,63 @@ def counting_questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The query that counts in a country, as the rule model writes it.
+COUNT_IN_SQL = "sha256('SELECT count(*) AS n FROM kna1 WHERE land1 = ' || chr(39) || land1 || chr(39))"
+
+
 @query(
     "a15_text_to_sql",
     f"""
-    WITH k AS ({KNA1_SQL}), n AS (SELECT land1, count(*) AS n FROM k GROUP BY land1)
     SELECT kunnr AS question_id, CASE WHEN ort01 = 'MACHINERY' THEN 'NOT_QUERY' ELSE 'OK' END AS sql_status,
-           CASE ort01 WHEN 'MACHINERY' THEN NULL WHEN 'BUILDING' THEN '{{"n":' || n.n || '}}'
-                ELSE '{{"n":' || (SELECT count(*) FROM k) || '}}' END AS line
-    FROM k JOIN n USING (land1)
+           CASE WHEN ort01 = 'BUILDING' THEN {COUNT_IN_SQL}
+                WHEN ort01 <> 'MACHINERY' THEN sha256('SELECT count(*) AS n FROM kna1') END AS result_id
+    FROM ({KNA1_SQL})
     """,
 )
 def a15(spark: SparkSession, folder: str) -> DataFrame:
     kna1(spark, folder).createOrReplaceTempView("kna1")
     generated = text_to_sql(counting_questions(spark, folder), rule_model, TABLE_TEXT)
-    return run_generated(generated).select("question_id", "sql_status", "line")
+    return generated.select("question_id", "sql_status", "result_id")
+
+
+# Queries that the caller has chosen, among them one that fails and one that is refused.
+COUNT_LIST = [
+    "SELECT count(*) AS n FROM kna1",
+    "SELECT count(*) AS n FROM kna1 WHERE land1 = 'NATION_1'",
+    "SELECT land1, max(kunnr) AS last FROM kna1 GROUP BY land1",
+    "SELECT nothing FROM kna1",
+    "DROP TABLE kna1",
+]
+
+
+@query(
+    "a15_run_statements",
+    f"""
+    WITH k AS ({KNA1_SQL})
+    SELECT sha256({literal(COUNT_LIST[0])}) AS result_id, '{{"n":' || count(*) || '}}' AS line, false AS failed FROM k
+    UNION ALL SELECT sha256({literal(COUNT_LIST[1])}), '{{"n":' || count(*) || '}}', false FROM k WHERE land1 = 'NATION_1'
+    UNION ALL SELECT sha256({literal(COUNT_LIST[2])}),
+                     '{{"land1":"' || land1 || '","last":"' || max(kunnr) || '"}}', false FROM k GROUP BY land1
+    UNION ALL SELECT sha256({literal(COUNT_LIST[3])}), NULL, true
+    UNION ALL SELECT sha256({literal(COUNT_LIST[4])}), NULL, true
+    """,
+)
+def a15_run(spark: SparkSession, folder: str) -> DataFrame:
+    kna1(spark, folder).createOrReplaceTempView("kna1")
+    return run_statements(spark, COUNT_LIST).select("result_id", "line", F.col("sql_error").isNotNull().alias("failed"))
 
 
 @query(
     "a16_route_and_answer",
     f"""
-    WITH k AS ({KNA1_SQL}), n AS (SELECT land1, count(*) AS n FROM k GROUP BY land1),
+    WITH k AS ({KNA1_SQL}),
          q AS (SELECT kunnr AS question_id, {unit_letters_sql("'Where is ' || name1 || '?'")} AS vector FROM k
                WHERE ort01 NOT IN ('BUILDING', 'MACHINERY')),
          c AS ({LETTER_CORPUS_SQL}), near AS ({dense_sql(1)})
     SELECT kunnr AS question_id, CASE WHEN ort01 IN ('BUILDING', 'MACHINERY') THEN 'SQL' ELSE 'SEMANTIC' END AS route,
-           CASE ort01 WHEN 'BUILDING' THEN '{{"n":' || n.n || '}}' END AS line, near.id AS source_chunk_id,
+           CASE WHEN ort01 = 'BUILDING' THEN {COUNT_IN_SQL} END AS result_id, near.id AS source_chunk_id,
            CASE WHEN near.id IS NOT NULL THEN 'VERIFIED' END AS status
-    FROM k JOIN n USING (land1) LEFT JOIN near ON near.question_id = k.kunnr
+    FROM k LEFT JOIN near ON near.question_id = k.kunnr
     """,
 )
 def a16(spark: SparkSession, folder: str) -> DataFrame:
@@ -527,7 +578,7 @@ def a16(spark: SparkSession, folder: str) -> DataFrame:
         table=TABLE_TEXT,
         embedder=letter_counts,
     )
-    return answers.select("question_id", "route", "line", "source_chunk_id", "status")
+    return answers.select("question_id", "route", "result_id", "source_chunk_id", "status")
 
 
 @query(
@@ -555,9 +606,9 @@ def a17(spark: SparkSession, folder: str) -> DataFrame:
          asked AS (SELECT {trimmed_sql("value")} AS question FROM lines),
          old AS (SELECT DISTINCT {trimmed_sql("text")} AS question FROM conversations)
     SELECT asked.question, count(*) AS n,
-           CASE WHEN strlen(asked.question) > 4096 THEN 'TOO_LONG' ELSE 'OK' END AS verdict,
+           'OK' AS verdict,
            CASE WHEN old.question IS NOT NULL THEN 'seen' END AS answer,
-           CASE WHEN old.question IS NULL AND strlen(asked.question) <= 4096
+           CASE WHEN old.question IS NULL
                 THEN md5({literal(P.INTENT_TASK)} || {ask_sql("asked.question")}) END AS digest
     FROM asked LEFT JOIN old ON lower(asked.question) = lower(old.question)
     WHERE asked.question <> '' GROUP BY ALL

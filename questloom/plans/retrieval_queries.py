@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questloom.models import letter_counts, overlap_scorer
-from questloom.operators.ann import ann_knn, build_vector_index, read_vector_index
+from questloom.operators.ann import add_to_index, ann_knn, build_vector_index, read_vector_index
 from questloom.operators.fusion import rerank, rerank_by_scores, rrf
 from questloom.operators.health import corpus_health
-from questloom.operators.hybrid import chunk_payload, hybrid_search
+from questloom.operators.hybrid import chunk_payload, hybrid_search, semantic_search
 from questloom.operators.ingest import corpus_columns, embed, render_sentence
 from questloom.operators.knn import knn
 from questloom.operators.terms import keyword_fallback, prove_absence, term_search
@@ -57,11 +57,11 @@ FILTERS_SQL = """
 def dense_sql(k: int, asked: str = "q", stored: str = "c") -> str:
     return f"""
         SELECT * FROM (
-          SELECT question_id, kunnr AS id, score,
-                 row_number() OVER (PARTITION BY question_id ORDER BY score DESC, kunnr) AS rank
-          FROM (SELECT q.question_id, c.kunnr, round(list_inner_product(
-                       CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])), 9) AS score
-                FROM {asked} q CROSS JOIN {stored} c)
+          SELECT question_id, kunnr AS id, round(score, 8) AS score,
+                 row_number() OVER (PARTITION BY question_id ORDER BY round(score, 11) DESC, kunnr) AS rank
+          FROM (SELECT q.question_id, c.kunnr, list_inner_product(
+                       CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])) AS score
+                FROM {asked} q CROSS JOIN {stored} c WHERE c.vector IS NOT NULL)
         ) WHERE rank <= {k}
     """
 
@@ -105,22 +105,74 @@ def vector_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("v1_knn", NEAREST_SQL)
 def v1(spark: SparkSession, folder: str) -> DataFrame:
-    return knn(vector_questions(spark, folder), vectors(spark, folder), 20)
+    near = knn(vector_questions(spark, folder), vectors(spark, folder), 20)
+    return near.withColumn("score", F.round("score", 8))
+
+
+@query(
+    "v1_knn_small_vectors",
+    f"""
+    WITH q AS (SELECT vec_id AS question_id, embedding AS vector FROM embeddings),
+         c AS (SELECT CAST(vec_id AS VARCHAR) AS kunnr, embedding AS vector FROM embeddings)
+    SELECT question_id, id, rank FROM ({dense_sql(5)})
+    """,
+)
+def v1_small(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors a millionth (a power of two) of their length: the order must not change."""
+
+    def scaled(df: DataFrame) -> DataFrame:
+        return df.withColumn("vector", F.transform("vector", lambda x: (x * F.lit(2.0**-20)).cast("float")))
+
+    near = knn(scaled(vector_questions(spark, folder)), scaled(vectors(spark, folder)), 5)
+    return near.select("question_id", "id", "rank")
 
 
 @query("v2_ann_full_probe", NEAREST_SQL)
 def v2(spark: SparkSession, folder: str) -> DataFrame:
     """The indexed search, probing every cell: equal to the exact one."""
     rows, centroids = indexed(spark, folder, cells=16)
-    return ann_knn(vector_questions(spark, folder), rows, centroids, 20, nprobe=16)
+    near = ann_knn(vector_questions(spark, folder), rows, centroids, 20, nprobe=16)
+    return near.withColumn("score", F.round("score", 8))
 
 
-@query("v2_ann_knn", f"{ALL_VECTORS_SQL} SELECT question_id, id FROM ({dense_sql(1)})")
+@query("v2_ann_knn", "SELECT count(*) * 20 AS hits, true AS recall_at_least_90_percent FROM embeddings")
 def v2_part(spark: SparkSession, folder: str) -> DataFrame:
-    """The indexed search with a quarter of the cells: the cell of a known vector is always among them."""
+    """The indexed search with part of the cells: how many of the true 20 neighbours of all questions it finds."""
     rows, centroids = indexed(spark, folder, cells=16)
-    near = ann_knn(vector_questions(spark, folder), rows, centroids, 20, nprobe=4)
-    return near.filter("rank = 1").select("question_id", "id")
+    asked_vectors = vector_questions(spark, folder)
+    near = ann_knn(asked_vectors, rows, centroids, 20, nprobe=12)
+    true = knn(asked_vectors, vectors(spark, folder), 20).select("question_id", "id", F.lit(1).alias("true"))
+    counted = true.join(near.select("question_id", "id", F.lit(1).alias("found")), ["question_id", "id"], "left")
+    return counted.agg(
+        F.count("true").alias("hits"), (F.count("found") >= 0.9 * F.count("true")).alias("recall_at_least_90_percent")
+    )
+
+
+@query("v2_ann_after_ingest", f"{ALL_VECTORS_SQL} SELECT question_id, id, rank FROM ({dense_sql(5)})")
+def v2_later(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of half the vectors, the other half added to it later: all cells probed, all are found."""
+    path, every = new_path(spark, "index"), vectors(spark, folder)
+    early = F.col("kunnr").cast("bigint") % 2 == 0
+    cells = build_vector_index(every.filter(early), path, 16)
+    add_to_index(every.filter(~early), path)
+    rows, centroids = read_vector_index(spark, path)
+    return ann_knn(vector_questions(spark, folder), rows, centroids, 5, nprobe=cells).select("question_id", "id", "rank")
+
+
+@query(
+    "v3_term_search_all_hits",
+    """
+    SELECT b.item_id AS question_id, d.doc_id AS id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank
+    FROM benchmark b JOIN documents d ON contains(d.text, b.text)
+    """,
+)
+def v3_all(spark: SparkSession, folder: str) -> DataFrame:
+    """No limit: every document that holds a benchmark passage."""
+    items = table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.array("text").alias("filters")
+    )
+    found = term_search(items, table(spark, folder, "documents"), None, id_col="doc_id", text_col="text")
+    return found.select("question_id", "id", "rank")
 
 
 @query("v3_term_search", f"{BASE_SQL} SELECT * FROM lexical")
@@ -215,14 +267,13 @@ def v6(spark: SparkSession, folder: str) -> DataFrame:
 def v6_indexed(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the dense part read from an index of the stored records, all cells probed."""
     stored, path = corpus(spark, folder), new_path(spark, "index")
-    if build_vector_index(stored, path, cells=8):
-        rows, centroids = read_vector_index(spark, path)
-        return shown(
-            hybrid_search(
-                asked(spark, folder), stored, dense=lambda q, k: ann_knn(q, rows, centroids, k, nprobe=8)
-            )
+    cells = build_vector_index(stored, path, cells=8)
+    rows, centroids = read_vector_index(spark, path)
+    return shown(
+        hybrid_search(
+            asked(spark, folder), stored, dense=lambda q, k: ann_knn(q, rows, centroids, k, nprobe=cells)
         )
-    return shown(hybrid_search(asked(spark, folder), stored))
+    )
 
 
 # Text questions over every customer, embedded on both sides by the same function.
@@ -237,24 +288,19 @@ LETTER_CORPUS_SQL = f"""
     "v7_semantic_search",
     f"""
     WITH q AS (SELECT conv_id * 1000 + turn AS question_id, {unit_letters_sql("text")} AS vector
-               FROM conversations WHERE role = 'user'),
+               FROM conversations),
          c AS ({LETTER_CORPUS_SQL})
     SELECT question_id, id AS kunnr, rank, round(1.0 / (60.0 + rank), 6) AS score FROM ({dense_sql(20)})
     """,
 )
 def v7(spark: SparkSession, folder: str) -> DataFrame:
-    stored = corpus_columns(embed(render_sentence(kna1(spark, folder)), letter_counts))
-    turns = table(spark, folder, "conversations").filter("role = 'user'")
-    q = embed(
-        turns.select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-            "text",
-            F.array().cast("array<string>").alias("filters"),
-        ),
-        letter_counts,
-        text_col="text",
+    records = render_sentence(kna1(spark, folder)).select(
+        "kunnr", F.col("name1").alias("name"), F.col("ort01").alias("city"), "sentence"
+    )
+    turns = table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question")
     )
-    return hybrid_search(q, stored).select(
+    return semantic_search(turns, records, letter_counts).select(
         "question_id", "kunnr", "rank", F.round("score", 6).alias("score")
     )
 
@@ -385,12 +431,23 @@ def v12(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "v13_corpus_health",
     f"""
-    SELECT 'degraded' AS status, false AS model_ok, true AS corpus_ok, false AS indexed,
-           CAST(0 AS BIGINT) AS cached_answers, count(*) AS records, count(DISTINCT kunnr) AS keys,
-           count(*) FILTER (WHERE kunnr IS NULL) AS null_keys,
-           count(*) FILTER (WHERE len(vector) <> 64) AS bad_vectors
-    FROM ({CORPUS_SQL})
+    WITH c AS ({CORPUS_SQL}), n AS (
+      SELECT count(*) AS records, count(DISTINCT kunnr) AS keys, count(*) FILTER (WHERE kunnr IS NULL) AS null_keys,
+             count(*) FILTER (WHERE vector IS NULL OR len(vector) <> 64) AS bad_vectors FROM c)
+    SELECT 'healthy' AS status, true AS model_ok, true AS corpus_ok, n.* FROM n
+    UNION ALL SELECT 'degraded', false, true, n.* FROM n
+    UNION ALL SELECT 'unhealthy', true, false, 0, 0, 0, 0
+    UNION ALL SELECT 'unhealthy', false, false, 0, 0, 0, 0
     """,
 )
 def v13(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus_health(corpus(spark, folder), 64, model_ok=False)
+    """All four states."""
+    states = [
+        corpus_health(stored, 64, spark=spark, model_ok=model_ok)
+        for stored in (corpus(spark, folder), None)
+        for model_ok in (True, False)
+    ]
+    found = states[0]
+    for state in states[1:]:
+        found = found.unionByName(state)
+    return found.drop("indexed", "cached_answers")

@@ -91,17 +91,29 @@ def row_number(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def self_join_residual(spark: SparkSession, folder: str) -> DataFrame:
+    return other_suppliers(table(spark, folder, "lineitem"))
+
+
+def other_suppliers(lines: DataFrame) -> DataFrame:
     """Lines of an order against those of its other suppliers, without forming the pairs.
 
     What a != partner adds up to is the order's total less the supplier's own.
+    An unknown supplier is not "another" one, so those lines take no part.
     """
     per_supplier = (
-        table(spark, folder, "lineitem")
+        lines.filter("l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL")
         .groupBy("l_orderkey", "l_suppkey")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("l_quantity").alias("known"),
+            F.coalesce(F.sum("l_quantity"), F.lit(0)).alias("q"),
+        )
+    )
+    per_order = per_supplier.groupBy("l_orderkey").agg(
+        F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("q").alias("all_q")
     )
-    per_order = per_supplier.groupBy("l_orderkey").agg(F.sum("n").alias("all_n"), F.sum("q").alias("all_q"))
     others = F.col("all_n") - F.col("n")
+    quantity = F.when(F.col("all_known") > F.col("known"), F.col("n") * (F.col("all_q") - F.col("q")))
     return (
         per_supplier.join(per_order, "l_orderkey")
         .filter(others > 0)
@@ -109,7 +121,7 @@ def self_join_residual(spark: SparkSession, folder: str) -> DataFrame:
             "l_orderkey",
             "l_suppkey",
             (F.col("n") * others).alias("n_pairs"),
-            (F.col("n") * (F.col("all_q") - F.col("q"))).alias("other_quantity"),
+            quantity.alias("other_quantity"),
         )
     )
 
@@ -229,23 +241,61 @@ plain_sql(
     """,
 )
 def theta_join(spark: SparkSession, folder: str) -> DataFrame:
-    """For each supplier, how many customers have a smaller balance.
+    return poorer_customers(table(spark, folder, "supplier"), table(spark, folder, "customer"))
+
+
+def poorer_customers(suppliers: DataFrame, customers: DataFrame) -> DataFrame:
+    """For each supplier, how many customers have a smaller balance (0 where its own is unknown).
 
     Both sides' distinct balances are put in one order and the counts summed up
     along it, in slices of 100; no pair is formed and no task sees all rows.
     """
-    supplier = table(spark, folder, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"))
-    counts = table(spark, folder, "customer").groupBy(F.col("c_acctbal").alias("balance")).count()
+    supplier = suppliers.select("s_suppkey", F.col("s_acctbal").alias("balance"))
+    known = customers.filter("c_acctbal IS NOT NULL AND c_custkey IS NOT NULL")
+    counts = known.groupBy(F.col("c_acctbal").alias("balance")).count()
     points = (
-        counts.unionByName(supplier.select("balance", F.lit(0).cast("bigint").alias("count")))
+        counts.unionByName(supplier.filter("balance IS NOT NULL").select("balance", F.lit(0).cast("bigint").alias("count")))
         .groupBy("balance")
         .agg(F.sum("count").alias("n"))
         .withColumn("all", F.lit(1))
     )
     summed = rank_in_slices(points, ["all"], ["balance"], F.floor(F.col("balance") / 100), total="n")
-    return supplier.join(summed, "balance").select(
-        "s_suppkey", (F.col("running_total") - F.col("n")).alias("n_poorer")
+    return supplier.join(summed, "balance", "left").select(
+        "s_suppkey", F.coalesce(F.col("running_total") - F.col("n"), F.lit(0)).alias("n_poorer")
+    )
+
+
+# The same joins over tables in which every seventh key or balance is unknown.
+@query(
+    "q8_self_join_nulls",
+    """
+    WITH l AS (SELECT l_orderkey, nullif(l_suppkey, l_suppkey // 7 * 7) AS l_suppkey,
+                      CASE WHEN l_linenumber <> 3 THEN l_quantity END AS l_quantity FROM lineitem)
+    SELECT a.l_orderkey, a.l_suppkey, count(*) AS n_pairs, CAST(sum(b.l_quantity) AS DOUBLE) AS other_quantity
+    FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey
+    GROUP BY a.l_orderkey, a.l_suppkey
+    """,
+)
+def self_join_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("l_suppkey")
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", F.when(key % 7 != 0, key).alias("l_suppkey"), F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("l_quantity")
     )
+    return other_suppliers(lines)
+
+
+@query(
+    "q14_theta_join_nulls",
+    """
+    WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS s_acctbal FROM supplier),
+         c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal FROM customer)
+    SELECT s_suppkey, count(c_custkey) AS n_poorer FROM s LEFT JOIN c ON c_acctbal < s_acctbal GROUP BY s_suppkey
+    """,
+)
+def theta_join_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    supplier = table(spark, folder, "supplier").withColumn("s_acctbal", F.expr("CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END"))
+    customer = table(spark, folder, "customer").withColumn("c_acctbal", F.expr("CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END"))
+    return poorer_customers(supplier, customer)
 
 
 @query(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from questloom.session import path_exists
+
 # The columns of the corpus.
 CORPUS_SCHEMA = T.StructType(
     [
@@ -19,14 +20,8 @@ CORPUS_SCHEMA = T.StructType(
 
 
 def corpus_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a corpus was written at ``path``; other read errors are raised."""
-    try:
-        spark.read.schema(CORPUS_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+    """Whether a corpus was written at ``path``."""
+    return path_exists(spark, path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame | None:

@@ -17,10 +17,11 @@ def read_question_stream(spark: SparkSession, path: str, **options) -> DataFrame
     return question_lines(spark.readStream.options(**options).text(path, lineSep="\n"))
 
 
-def stream_questions(stream: DataFrame, answered: DataFrame) -> DataFrame:
+def stream_questions(stream: DataFrame, answered: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Add verdict, the reused answer if there is one, and the prompt if there is none.
 
-    Row by row against a static table: no streaming state, no watermark.
+    Row by row against a static table: no streaming state, no watermark.  Questions are only refused for their length
+    if ``max_bytes`` is given.
     """
     firsts = (
         answered.select(fold_ascii(F.col("question")).alias("_key"), *ANSWER_FIELDS)
@@ -28,7 +29,7 @@ def stream_questions(stream: DataFrame, answered: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(*ANSWER_FIELDS)).alias("_first"))
         .select("_key", "_first.entry_id", "_first.answer")
     )
-    checked = validate_questions(stream).withColumn("_key", fold_ascii(F.col("question")))
+    checked = validate_questions(stream, max_bytes).withColumn("_key", fold_ascii(F.col("question")))
     return (
         checked.join(firsts, "_key", "left")
         .withColumn(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from questloom.models import HashingEmbedder, overlap_scorer, rule_model
 from questloom.operators.answers import (
+    BadReply,
     answer_questions,
     apply_model,
     as_records,
@@ -12,15 +13,18 @@ from questloom.operators.answers import (
     build_prompts,
     resolve_intent,
     resolve_route,
+    remember,
     route_and_answer,
-    run_generated,
+    run_statements,
     second_chance,
     settle,
     text_to_sql,
     validate_questions,
     verify_grounding,
 )
+from questloom.operators.hybrid import semantic_search
 from questloom.operators.reuse import retain_recent, reuse_exact, reuse_similar
+from questloom.session import stage
 from questloom.streaming.question_stream import read_question_stream, stream_questions
 from tests.conftest import rows
 from tests.test_retrieval import customers
@@ -34,9 +38,10 @@ def asked(spark, *texts):
 
 def test_validation(spark):
     q = asked(spark, " ok ", "  \t", "x" * 5000, "é" * 2048, "é" * 2048 + "x", None)
-    got = {r["question_id"]: r["verdict"] for r in validate_questions(q).collect()}
+    got = {r["question_id"]: r["verdict"] for r in validate_questions(q, 4096).collect()}
     assert got == {0: "OK", 1: "EMPTY", 2: "TOO_LONG", 3: "OK", 4: "TOO_LONG", 5: "EMPTY"}
     assert validate_questions(q).filter("question_id = 0").first()["question"] == "ok"
+    assert validate_questions(q).filter("verdict = 'OK'").count() == 4
 
 
 def test_prompt_has_chunks_in_rank_order(spark):
@@ -100,13 +105,13 @@ def test_route_and_intent(spark):
     ]
 
 
-CHUNK = "The customer is Acme Corp in Berlin."
+CHUNK = "Ferry 12 leaves Husum at noon; dogs travel free."
 CLAIMS = [
-    ((True, "Acme Corp in Berlin", "chunk_1"), "VERIFIED"),
-    ((True, "Acme Corp in Munich", "chunk_1"), "HALLUCINATED"),
-    ((True, "Acme Corp in Berlin", "chunk_999"), "UNKNOWN_CHUNK"),
-    ((True, "", "chunk_1"), "VERIFIED"),
-    ((False, "anything", "chunk_999"), "NOT_FOUND"),
+    ((True, "dogs travel free", "timetable"), "VERIFIED"),
+    ((True, "Dogs travel free", "timetable"), "HALLUCINATED"),
+    ((True, "leaves Husum at noon", "menu"), "UNKNOWN_CHUNK"),
+    ((True, "", "timetable"), "VERIFIED"),
+    ((False, "no such thing", "menu"), "NOT_FOUND"),
 ]
 
 
@@ -116,7 +121,7 @@ def test_grounding_by_join(spark):
         "question_id int, answer_found boolean, exact_quote string, source_chunk_id string",
     )
     chunks = spark.createDataFrame(
-        [(i, "chunk_1", CHUNK) for i in range(5)] + [(7, "chunk_999", CHUNK)],
+        [(i, "timetable", CHUNK) for i in range(5)] + [(7, "menu", CHUNK)],
         "question_id int, chunk_id string, chunk_text string",
     )
     got = [r[1] for r in rows(verify_grounding(answers, chunks), "question_id", "verdict")]
@@ -124,7 +129,7 @@ def test_grounding_by_join(spark):
 
 
 def replied(spark, *cases):
-    data = [(i, f"q{i}", f"word{i}", [(1, "chunk_1", CHUNK)], "p", raw, err) for i, (raw, err) in enumerate(cases)]
+    data = [(i, f"q{i}", f"word{i}", [(1, "timetable", CHUNK)], "p", raw, err) for i, (raw, err) in enumerate(cases)]
     return spark.createDataFrame(
         data,
         "question_id int, question string, intent string,"
@@ -142,18 +147,18 @@ def test_settling_and_records(spark):
     assert [r[1] for r in rows(settled, "question_id", "status")] == [w for _, w in CLAIMS] + ["BAD_REPLY", "DEGRADED"]
     down = settled.filter("question_id = 6").first()
     assert down["degraded"] and "offline" in down["message"]
-    assert down["retrieved_chunks"] == [("chunk_1", CHUNK)]
+    assert down["retrieved_chunks"] == [("timetable", CHUNK)]
     assert rows(as_records(settled), "question_id", "kunnr", "score") == [
-        (0, "chunk_1", 1.0),
-        (3, "chunk_1", 1.0),
-        (4, "chunk_999", 0.0),
-        (6, "chunk_1", 0.0),
+        (0, "timetable", 1.0),
+        (3, "timetable", 1.0),
+        (4, "menu", 0.0),
+        (6, "timetable", 0.0),
     ]
 
 
 def test_second_chance(spark):
     c = customers(spark)
-    cases = [(body(False), None), (body(False), None), (body(True, "no", "chunk_1"), None), (None, "offline")]
+    cases = [(body(False), None), (body(False), None), (body(True, "nowhere", "timetable"), None), (None, "offline")]
     settled = settle(replied(spark, *cases)).withColumn(
         "intent", F.when(F.col("question_id") == 0, "Omega Corp").otherwise(F.col("intent"))
     )
@@ -200,7 +205,8 @@ def test_least_recently_used_entry_leaves(spark):
     )
     assert rows(retain_recent(df, uses, 2), "entry_id") == [(1,), (3,)]
     assert rows(retain_recent(df, None, 2), "entry_id") == [(2,), (3,)]
-    assert retain_recent(df, None, 0).count() == 1
+    assert retain_recent(df, None, 0).count() == 0
+    assert retain_recent(df, uses).count() == 3
 
 
 def flow(spark, questions, model=rule_model, **options):
@@ -212,7 +218,8 @@ def flow(spark, questions, model=rule_model, **options):
 def test_whole_flow(spark):
     old = entries(spark).withColumn("vector", F.array(F.lit(0.0).cast("float")))
     q = asked(spark, "Where is Omega Corp?", "  ", "x" * 5000, "where IS acme?", "Who is not in Berlin")
-    got = {r["question_id"]: r for r in flow(spark, q, answered=old, scorer=overlap_scorer).collect()}
+    options = {"answered": old, "scorer": overlap_scorer}
+    got = {r["question_id"]: r for r in flow(spark, q, max_question_bytes=4096, **options).collect()}
     assert {i: r["status"] for i, r in got.items()} == {
         0: "VERIFIED",
         1: "REJECTED_EMPTY",
@@ -223,6 +230,51 @@ def test_whole_flow(spark):
     assert got[3]["answer"] == "first"
     assert got[0]["source_chunk_id"] == "CUST99"
     assert "Berlin" not in got[4]["exact_quote"]
+    assert got[3]["entry_id"] == 1 and got[0]["vector"] and got[1]["vector"] is None
+    # Without a limit the long question is asked like any other.
+    assert flow(spark, q.filter("question_id = 2"), **options).first()["status"] != "REJECTED_TOO_LONG"
+
+
+def test_remembered_answers_need_no_model(spark):
+    q = asked(spark, "Where is Omega Corp?", "  ", "Who is not in Berlin")
+    at = F.lit("2024-05-01 00:00:00")
+    first = stage(flow(spark, q), "first")
+    known = remember(first, None, at)
+    assert known.count() == 2
+
+    def silent(prompts):
+        raise AssertionError("asked again")
+
+    again = stage(flow(spark, q, model=silent, answered=known), "again")
+    assert rows(again, "question_id", "status") == [(0, "REUSED_EXACT"), (1, "REJECTED_EMPTY"), (2, "REUSED_EXACT")]
+    later = remember(again.filter("question_id = 0"), known, F.lit("2024-06-01 00:00:00"), capacity=1)
+    assert rows(later, "question") == [("Where is Omega Corp?",)]
+
+
+def test_bad_reply_is_final(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        calls.add(1)
+        raise BadReply("not JSON")
+
+    df = build_prompts(asked(spark, "a"), "intent")
+    assert apply_model(df, model, tries=5, pause=0.0).collect()[0]["model_error"] == "not JSON"
+    assert calls.value == 1
+
+
+def test_each_text_is_embedded_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    base = HashingEmbedder(16)
+
+    def counting(texts):
+        calls.add(len(texts))
+        return base(texts)
+
+    records = customers(spark).drop("vector")
+    found = semantic_search(asked(spark, "Where is Omega Corp?", "Who is in Berlin?"), records, counting, dense_top=2)
+    assert found.select("question_id").distinct().count() == 2
+    assert calls.value == 2 + records.count()
 
 
 def test_flow_with_the_model_down(spark):
@@ -259,7 +311,7 @@ def test_text_to_sql(spark):
             raise ConnectionError("down")
         return ['{"query": "SELECT nothing FROM kna1"}' if "wrong" in p else rule_model([p])[0] for p in prompts]
 
-    got = {r["question_id"]: r for r in run_generated(text_to_sql(q, model, **QUIET)).collect()}
+    got = {r["question_id"]: r for r in text_to_sql(q, model, **QUIET).collect()}
     assert {i: r["sql_status"] for i, r in got.items()} == {
         0: "OK",
         1: "OK",
@@ -267,8 +319,12 @@ def test_text_to_sql(spark):
         3: "MODEL_DOWN",
         4: "OK",
     }
-    assert (got[0]["line"], got[2]["line"]) == ('{"n":1}', None)
-    assert "nothing" in got[4]["sql_error"]
+    assert got[2]["result_id"] is None
+    chosen = [r["query"] for r in got.values() if r["sql_status"] == "OK"]
+    results = {r["result_id"]: r for r in run_statements(spark, chosen).collect()}
+    assert results[got[0]["result_id"]]["line"] == '{"n":1}'
+    assert "nothing" in results[got[4]["result_id"]]["sql_error"]
+    assert run_statements(spark, []).count() == 0
     assert spark.table("kna1").count() == 2
 
 
@@ -281,8 +337,8 @@ def test_routing(spark):
         embedder=HashingEmbedder(16),
         **QUIET,
     )
-    assert rows(got, "question_id", "route", "line", "status") == [
-        (0, "SQL", '{"n":1}', None),
+    assert rows(got, "question_id", "route", "sql_status", "status") == [
+        (0, "SQL", "OK", None),
         (1, "SEMANTIC", None, "VERIFIED"),
     ]
 

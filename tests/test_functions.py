@@ -16,13 +16,14 @@ def one(spark, column):
 @pytest.mark.parametrize(
     "raw, route",
     [
-        ('{"route": "SQL", "query": "SELECT 1"}', "SQL"),
+        ('{"why": "it counts", "route": "SQL"}', "SQL"),
         ('```json\n{"route": "SQL"}\n```', "SQL"),
         ('```json{"route": "SQL"}```', "SQL"),
-        ('```\n{"route": "SEMANTIC"}\n```', "SEMANTIC"),
-        (' \n```{"route": "X"} ```\t', "X"),
-        ("This is just prose.", None),
-        ('{"other": 1}', None),
+        ('```\n{"route": "SEMANTIC", "sure": 0.7}\n```', "SEMANTIC"),
+        ('\t\n```{"route": "elsewhere"}   ```\n', "elsewhere"),
+        ("I would look it up in the table", None),
+        ('{"rout": "SQL"}', None),
+        ('{"route": "SQL"', None),
         ('{"route": 5}', None),
         ('{"route": null}', None),
         ('["route"]', None),

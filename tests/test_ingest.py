@@ -1,5 +1,7 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from questloom.models import HashingEmbedder
 from questloom.operators.ingest import (
@@ -83,6 +85,34 @@ def test_line_breaks_inside_quotes(spark, csv):
     assert rows(read_records(spark, csv(text), multi_line=True), "name1") == [("two\nlines",)]
 
 
+def test_headers_decide_in_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("kunnr,name1,ort01,land1\n1,Alpha,Kiel,DE\n")
+    (tmp_path / "b.csv").write_text("land1,extra,kunnr,name1,ort01\nFR,x,2,Beta,Lyon\n")
+    want = [("1", "Alpha", "Kiel", "DE"), ("2", "Beta", "Lyon", "FR")]
+    assert rows(read_records(spark, str(tmp_path)), "kunnr", "name1", "ort01", "land1") == want
+    typed = T.StructType([T.StructField("name1", T.StringType()), T.StructField("kunnr", T.IntegerType())])
+    assert rows(register_csv(spark, str(tmp_path), "mixed", typed)) == [("Alpha", 1), ("Beta", 2)]
+    (tmp_path / "c.csv").write_text("kunnr,name1\n3,Gamma\n")
+    with pytest.raises(AnalysisException, match="ort01"):
+        read_records(spark, str(tmp_path))
+
+
+def test_embedding_is_spread(spark, path):
+    """As many embedding tasks as shuffle partitions, however small the rows."""
+    tasks = spark.sparkContext.accumulator(0)
+    base = HashingEmbedder(16)
+
+    def factory():
+        tasks.add(1)
+        return base
+
+    records = spark.range(2000).select(
+        F.col("id").cast("string").alias("kunnr"), *[F.lit("x").alias(c) for c in ("name1", "ort01", "land1")], F.col("id").alias("source_row")
+    )
+    assert ingest(records, path("corpus"), factory, order=["source_row"], per_task=True) == 2000
+    assert tasks.value == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_malformed_row_fails(spark, csv):
     with pytest.raises(Exception, match="(?i)malformed"):
         read_records(spark, csv(HEADER + "1,a,b,c,d,e\n")).collect()

@@ -2,8 +2,8 @@
 
 A window over a key puts each key in one task.  Where a key can hold a large
 share of a table, its rows are cut into slices along the sort order, ranked
-inside each slice, and lifted by what lies in the slices before: a table of
-one row per key and slice.
+inside each slice, and lifted by what lies in the slices before and after: a
+table of one row per key and slice.
 """
 
 from __future__ import annotations
@@ -25,44 +25,62 @@ def rank_in_slices(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    cut: Column,
+    cut: Column | None = None,
     *,
     ties: list[str] | None = None,
     total: str | None = None,
+    beside: str | None = None,
 ) -> DataFrame:
-    """Add position, group_size, rank, dense_rank and (with ``total``) running_total.
+    """Add position, group_size, rank, dense_rank and, if asked for, running_total and neighbours.
 
-    The same as row_number, count, rank, dense_rank and a running sum over
-    ``keys`` ordered by ``order``.  ``cut`` must not decrease along ``order``
-    and be equal for rows that tie on ``ties`` (the columns rank looks at, by
-    default ``order``).
+    The same as row_number, count, rank, dense_rank, a running sum of ``total``, and lag, lead, first and last value of
+    ``beside`` (previous, next, first, last) over ``keys`` ordered by ``order``.  ``ties`` are the columns rank looks
+    at, by default ``order``.  Slices are the ranges of keys and ties that Spark cuts by sampling, so they become more
+    with the rows; or ``cut``, which must not decrease along ``order`` and be equal for rows that tie.
     """
     ties = ties or order
-    sliced = df.withColumn("_slice", cut)
+    if cut is None:
+        sliced = df.repartitionByRange(*keys, *ties).withColumn("_slice", F.spark_partition_id())
+    else:
+        sliced = df.withColumn("_slice", cut)
     whole = Window.partitionBy(*keys, "_slice")
     in_order, in_ties = whole.orderBy(*order), whole.orderBy(*ties)
     running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     value = F.col(total) if total else F.lit(0)
+    near = F.col(beside) if beside else F.lit(None).cast("int")
     local = sliced.select(
         "*",
         F.row_number().over(in_order).cast("bigint").alias("_position"),
         F.rank().over(in_ties).cast("bigint").alias("_rank"),
         F.dense_rank().over(in_ties).cast("bigint").alias("_dense"),
         F.sum(value).over(running).alias("_running"),
+        F.lag(near).over(in_order).alias("_previous"),
+        F.lead(near).over(in_order).alias("_next"),
+        near.alias("_near"),
     )
     # Same shuffle as above, so Spark reuses it.
     per_slice = local.groupBy(*keys, "_slice").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_dense").alias("_d"), F.sum(value).alias("_s")
+        F.count(F.lit(1)).alias("_n"),
+        F.max("_dense").alias("_d"),
+        F.sum(value).alias("_s"),
+        F.min_by("_near", "_position").alias("_head"),
+        F.max_by("_near", "_position").alias("_tail"),
     )
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
     before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    group = by_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lifts = per_slice.select(
         *keys,
         "_slice",
+        "_n",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_d0"),
         F.sum("_s").over(before).alias("_s0"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"),
+        F.sum("_n").over(group).alias("group_size"),
+        F.lag("_tail").over(by_slice).alias("_before"),
+        F.lead("_head").over(by_slice).alias("_after"),
+        F.first("_head").over(group).alias("_first"),
+        F.last("_tail").over(group).alias("_last"),
     )
     lifted = local.join(*_null_safe(lifts, [*keys, "_slice"]))
     added = [
@@ -73,19 +91,16 @@ def rank_in_slices(
     ]
     if total:
         added.append((F.col("_running") + F.coalesce("_s0", F.lit(0))).alias("running_total"))
+    if beside:
+        added += [
+            F.when(F.col("_position") == 1, F.col("_before")).otherwise(F.col("_previous")).alias("previous"),
+            F.when(F.col("_position") == F.col("_n"), F.col("_after")).otherwise(F.col("_next")).alias("next"),
+            F.col("_first").alias("first"),
+            F.col("_last").alias("last"),
+        ]
     return lifted.select(*df.columns, *added)
 
 
-def shift_by_position(ranked: DataFrame, keys: list[str], column: str, by: int, name: str) -> DataFrame:
-    """Add the value of ``column`` ``by`` positions earlier (lag) or, if negative, later (lead).
-
-    A join on key and position: no row of it depends on how large a key is.
-    """
-    other = ranked.select(*keys, (F.col("position") + by).alias("position"), F.col(column).alias(name))
-    joined = ranked.join(*_null_safe(other, [*keys, "position"]), "left")
-    return joined.select(*ranked.columns, name)
-
-
 def tile(position: Column, size: Column, tiles: int) -> Column:
     """ntile from a position: the first ``size % tiles`` tiles hold one row more."""
     small = F.floor(size / tiles)

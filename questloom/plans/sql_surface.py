@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from questloom.operators.gate import run_sql
-from questloom.operators.windows import rank_in_slices, shift_by_position, tile
+from questloom.operators.windows import rank_in_slices, tile
 from questloom.plans.registry import plain_sql, query, views
 from questloom.sources.tables import table
 
@@ -74,11 +74,9 @@ plain_sql(
     """,
 )
 def row_number(spark: SparkSession, folder: str) -> DataFrame:
-    """Three statuses hold all orders: each is ranked month by month, not in one task."""
+    """Three statuses hold all orders: each is ranked range by range, not in one task."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    ranked = rank_in_slices(
-        orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate")
-    )
+    ranked = rank_in_slices(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"])
     return ranked.select("o_orderkey", "o_orderstatus", "position")
 
 
@@ -248,7 +246,7 @@ def poorer_customers(suppliers: DataFrame, customers: DataFrame) -> DataFrame:
     """For each supplier, how many customers have a smaller balance (0 where its own is unknown).
 
     Both sides' distinct balances are put in one order and the counts summed up
-    along it, in slices of 100; no pair is formed and no task sees all rows.
+    along it, slice by slice; no pair is formed and no task sees all rows.
     """
     supplier = suppliers.select("s_suppkey", F.col("s_acctbal").alias("balance"))
     known = customers.filter("c_acctbal IS NOT NULL AND c_custkey IS NOT NULL")
@@ -259,7 +257,7 @@ def poorer_customers(suppliers: DataFrame, customers: DataFrame) -> DataFrame:
         .agg(F.sum("count").alias("n"))
         .withColumn("all", F.lit(1))
     )
-    summed = rank_in_slices(points, ["all"], ["balance"], F.floor(F.col("balance") / 100), total="n")
+    summed = rank_in_slices(points, ["all"], ["balance"], total="n")
     return supplier.join(summed, "balance", "left").select(
         "s_suppkey", F.coalesce(F.col("running_total") - F.col("n"), F.lit(0)).alias("n_poorer")
     )
@@ -411,21 +409,10 @@ def statistics(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rank_functions(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
-    key = ["o_orderpriority"]
     ranked = rank_in_slices(
-        orders,
-        key,
-        ["o_orderdate", "o_orderkey"],
-        F.date_trunc("month", "o_orderdate"),
-        ties=["o_orderdate"],
-    )
-    shifted = shift_by_position(ranked, key, "o_orderkey", 1, "previous")
-    shifted = shift_by_position(shifted, key, "o_orderkey", -1, "next")
-    place = F.struct("o_orderdate", "o_orderkey")
-    ends = orders.groupBy(*key).agg(
-        F.min_by("o_orderkey", place).alias("first_order"), F.max_by("o_orderkey", place).alias("last_order")
+        orders, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], ties=["o_orderdate"], beside="o_orderkey"
     )
-    return shifted.join(ends, key).select(
+    return ranked.select(
         "o_orderkey",
         "o_orderpriority",
         "rank",
@@ -433,8 +420,8 @@ def rank_functions(spark: SparkSession, folder: str) -> DataFrame:
         tile(F.col("position"), F.col("group_size"), 4).alias("quarter"),
         "previous",
         "next",
-        "first_order",
-        "last_order",
+        F.col("first").alias("first_order"),
+        F.col("last").alias("last_order"),
     )
 
 

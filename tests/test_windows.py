@@ -1,19 +1,20 @@
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from questloom.operators.windows import rank_in_slices, shift_by_position, tile
+from questloom.operators.windows import rank_in_slices, tile
 from tests.conftest import rows
 
 
-def test_sliced_ranking_equals_plain_windows(spark):
+@pytest.mark.parametrize("by_cut", [True, False])
+def test_sliced_ranking_equals_plain_windows(spark, by_cut):
     rng = np.random.default_rng(5)
     data = [(int(k), int(v), i, int(x)) for i, (k, v, x) in enumerate(rng.integers(0, [3, 40, 9], size=(500, 3)))]
     data = [(None if k == 2 else k, None if v == 0 else v, i, x) for k, v, i, x in data]
     df = spark.createDataFrame(data, "k int, v int, i int, x int")
-    got = rank_in_slices(df, ["k"], ["v", "i"], F.floor(F.col("v") / 7), ties=["v"], total="x")
-    got = shift_by_position(got, ["k"], "i", 1, "previous")
-    got = shift_by_position(got, ["k"], "i", -1, "next")
+    cut = F.floor(F.col("v") / 7) if by_cut else None
+    got = rank_in_slices(df, ["k"], ["v", "i"], cut, ties=["v"], total="x", beside="i")
     got = got.withColumn("tile", tile(F.col("position"), F.col("group_size"), 7))
     w, ties = Window.partitionBy("k").orderBy("v", "i"), Window.partitionBy("k").orderBy("v")
     want = df.select(
@@ -26,6 +27,8 @@ def test_sliced_ranking_equals_plain_windows(spark):
         F.lag("i").over(w).alias("previous"),
         F.lead("i").over(w).alias("next"),
         F.ntile(7).over(w).alias("tile"),
+        F.first("i").over(w).alias("first"),
+        F.last("i").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"),
     )
     columns = [c for c in want.columns if c not in ("previous", "next")]
     assert {tuple(r[c] for c in columns) for r in got.collect()} == {tuple(r[c] for c in columns) for r in want.collect()}

@@ -26,6 +26,7 @@ def build_vector_index(
     iterations: int = 10,
     train_rows: int = TRAIN_ROWS,
     seed: int = 42,
+    overwrite: bool = False,
 ) -> int:
     """Write the corpus by cell, and the centroids beside it.  Returns the number of cells.
 
@@ -46,15 +47,21 @@ def build_vector_index(
         raise ValueError("no usable vectors to index")
     cells = max(1, min(count, cells or math.isqrt(count)))
     rows = usable.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    fraction = min(1.0, max(train_rows, 4 * cells) / count)
-    model = KMeans(
-        k=max(2, cells), maxIter=iterations, seed=seed, featuresCol="_features", predictionCol="cell"
-    ).fit(rows.sample(fraction, seed) if fraction < 1 else rows)
-    centroids = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    spark.createDataFrame(centroids, "cell int, centroid array<double>").write.parquet(f"{path}/centroids")
-    model.transform(rows).drop("_features").hint("rebalance", "cell").write.partitionBy("cell").parquet(
-        f"{path}/rows"
-    )
+    different = usable.select(F.col(vector_col).alias("v")).distinct().limit(2).collect()
+    if cells == 1 or len(different) == 1:
+        # One cell; with a single one, any place will do for its centroid.
+        centroids = [(0, [float(x) for x in different[0]["v"]])]
+        placed = rows.withColumn("cell", F.lit(0))
+    else:
+        fraction = min(1.0, max(train_rows, 4 * cells) / count)
+        model = KMeans(
+            k=cells, maxIter=iterations, seed=seed, featuresCol="_features", predictionCol="cell"
+        ).fit(rows.sample(fraction, seed) if fraction < 1 else rows)
+        centroids = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        placed = model.transform(rows)
+    mode = "overwrite" if overwrite else "error"
+    spark.createDataFrame(centroids, "cell int, centroid array<double>").write.mode(mode).parquet(f"{path}/centroids")
+    placed.drop("_features").hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
     return len(centroids)
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from questloom.functions.vectors import normalize_rows, require_vector
+from questloom.operators.ann import add_to_index, build_vector_index, read_index_keys
+from questloom.session import stage
 from questloom.sources.corpus import read_corpus, write_corpus
 
 # The record columns, the default, the sentence, the batch bounds.
@@ -162,8 +164,12 @@ def ingest(
     batch_size: int = BATCH_SIZE,
     dim: int | None = None,
     per_task: bool = False,
+    index_path: str | None = None,
 ) -> int:
-    """Add the new records to the corpus at ``path``; returns how many were inserted."""
+    """Add the new records to the corpus at ``path``; returns how many were inserted.
+
+    With ``index_path`` the vector index there takes up the same records; it is built from the corpus if there is none.
+    """
     check_batch_size(batch_size)
     corpus = None if overwrite else read_corpus(records.sparkSession, path)
     ready = prepare_records(records, corpus, order)
@@ -174,4 +180,18 @@ def ingest(
     write_corpus(
         rows.observe(seen, F.count(F.lit(1)).alias("n")), path, "overwrite" if overwrite else "append"
     )
+    if index_path:
+        update_index(records.sparkSession, path, index_path, rebuild=overwrite)
     return seen.get["n"]
+
+
+def update_index(spark: SparkSession, path: str, index_path: str, rebuild: bool = False) -> None:
+    """Make the index hold what the corpus holds: the records whose keys it lacks, whoever wrote them."""
+    stored = read_corpus(spark, path)
+    keys = None if rebuild else read_index_keys(spark, index_path)
+    if keys is not None:
+        missing = stage(stored.join(keys, "kunnr", "left_anti"), "unindexed")
+        if not missing.isEmpty():
+            add_to_index(missing, index_path)
+    elif not stored.isEmpty():
+        build_vector_index(stored, index_path, overwrite=rebuild)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -56,22 +59,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside this block are deleted at its end; use what depends on them before, or store it."""
+    paths: list[str] = []
+    token = _staged.set(paths)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for path in paths:
+            place, files = _place(spark, path)
+            files.delete(place, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage so that costly or non-repeatable work upstream (model calls,
     scans of a large corpus) runs once, and survives the loss of executors.
+    The table stays until the folder is cleaned, or to the end of a ``staging`` block.
     """
     path = new_path(df.sparkSession, name)
+    if (paths := _staged.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is something at ``path``, asked of its file system."""
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def _place(spark: SparkSession, path: str):
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def ship_package() -> None:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from questloom.models import HashingEmbedder
+from questloom.operators.ann import read_index_keys
 from questloom.operators.ingest import (
     dedup_first,
     default_unknown,
@@ -15,7 +16,7 @@ from questloom.operators.ingest import (
     render_sentence,
 )
 from questloom.operators.terms import keyword_fallback
-from questloom.session import shared_dir
+from questloom.session import path_exists, shared_dir, stage, staging
 from questloom.sources.corpus import CORPUS_SCHEMA, corpus_exists, create_corpus, read_corpus, write_corpus
 from questloom.sources.tables import SOURCE_ORDER, read_questions, read_records, register_csv
 from questloom.streaming.ingest_stream import stream_ingest
@@ -113,6 +114,28 @@ def test_embedding_is_spread(spark, path):
     assert tasks.value == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_ingest_keeps_the_index(spark, csv, path):
+    target, index = path("corpus"), path("index")
+    line = "".join(f"{i},name {i},town {i % 3},DE\n" for i in range(30))
+    assert load(spark, csv(HEADER + line), target, index_path=index) == 30
+    more = "".join(f"{i},other {i},town {i % 5},FR\n" for i in range(20, 50))
+    assert load(spark, csv(HEADER + more), target, index_path=index) == 20
+    # What another writer added without the index is taken up as well.
+    assert load(spark, csv(HEADER + "99,late,there,IT\n"), target) == 1
+    assert load(spark, csv(HEADER + "99,late,there,IT\n"), target, index_path=index) == 0
+    assert rows(read_index_keys(spark, index)) == rows(read_corpus(spark, target), "kunnr")
+    assert load(spark, csv(HEADER + "1,only,here,IT\n"), target, index_path=index, overwrite=True) == 1
+    assert rows(read_index_keys(spark, index)) == [("1",)]
+
+
+def test_staged_tables_go_with_their_block(spark):
+    with staging(spark):
+        kept = stage(spark.range(5), "kept")
+        folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert kept.count() == 5 and path_exists(spark, folder)
+    assert not path_exists(spark, folder)
+
+
 def test_malformed_row_fails(spark, csv):
     with pytest.raises(Exception, match="(?i)malformed"):
         read_records(spark, csv(HEADER + "1,a,b,c,d,e\n")).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from questloom.session import stage
+from questloom.llm.common import stage_numbers
 
 
 def _largest_first(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     chain; links never become more.  Minima are combined before the exchange, and the joins of a crowded id may be
     split.  Rounds are written to the shared folder, so that no lineage builds up.
     """
-    found = stage(_largest_first(edges.select("a", "b")).distinct(), "links")
+    found = stage_numbers(_largest_first(edges.select("a", "b")).distinct(), "links")
     before = None
     while True:
-        found = stage(_smaller_up(_larger_up(found)), "links")
+        found = stage_numbers(_smaller_up(_larger_up(found)), "links")
         mark = found.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == before:
             break
@@ -36,7 +36,8 @@ def _larger_up(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     hung = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _largest_first(hung).distinct()
+    # As many rows as links: each is met once from its smaller end.
+    return _largest_first(hung)
 
 
 def _smaller_up(edges: DataFrame) -> DataFrame:

@@ -17,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from questloom.llm.common import keep_rows, one_of_each, whole_text
-from questloom.session import stage
+from questloom.llm.common import keep_rows, one_of_each, stage_numbers, whole_text
 
 SALTS = 16
 
@@ -52,8 +51,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     texts = texts.withColumn("digest", digest(F.col("text")))
-    best = stage(winners(texts, salts).select("digest", "keep_id", "group_size"), "exact-classes")
-    shared = best.groupBy("digest").count().where("count > 1").select("digest")
+    best, shared = _best(texts, salts)
 
     def finished(found: DataFrame) -> DataFrame:
         return found.select(
@@ -75,13 +73,22 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _best(texts: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, keep_id, group_size) of all different texts, stored; and the digests that several of them have."""
+    best = stage_numbers(winners(texts, salts).select("digest", "keep_id", "group_size"), "exact-classes")
+    return best, best.groupBy("digest").count().where("count > 1").select("digest")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, salts: int = SALTS) -> DataFrame:
     """The documents that stay, one for each different text, with all their columns.
 
     That is the row with the largest id; of several rows with that id and that text, the first by the JSON form
     of all other columns.
     """
-    classes = exact_classes(docs, id_col, text_col, salts=salts)
-    kept = classes.where("kept").select("doc_id", "text_sha256").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    best, shared = _best(texts.withColumn("digest", sha256(F.col("text"))), salts)
+    if not shared.isEmpty():
+        raise ValueError("two texts have one SHA-256")
+    kept = best.select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("text_sha256"))
     on = {"doc_id": F.col(id_col), "text_sha256": sha256(whole_text(text_col))}
     return one_of_each(keep_rows(docs, kept, on), list(on.values()), (id_col, text_col))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from questloom.llm.common import let, whole_text, words
+from questloom.llm.common import let, stage_numbers, whole_text, words
 from questloom.session import stage
 
 #: A document is taken so many times at most, and a source up to so many times its size.
@@ -102,9 +102,9 @@ def mix(docs: DataFrame, *, weights=None, id_col: str = "doc_id", text_col: str
     )
     sized = stage(sized, "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets((weights or repeating_weights)(stage(sources, "mix-sources")), most)
+    goal = targets((weights or repeating_weights)(stage_numbers(sources, "mix-sources")), most)
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
-    goal = stage(
+    goal = stage_numbers(
         goal.select(
             F.col("source").alias("of"),
             "source_size",
@@ -122,9 +122,9 @@ def mix(docs: DataFrame, *, weights=None, id_col: str = "doc_id", text_col: str
 
     light = sized.select("source", "doc_id", "draw", "size")
     open_goal = goal.where("wanted > 0").select("of", "wanted", "before")
-    first = stage(_cells(light, BITS - CELL, open_goal), "mix-cells")
+    first = stage_numbers(_cells(light, BITS - CELL, open_goal), "mix-cells")
     inside = with_source(light, first).where(F.shiftright("draw", BITS - CELL) == F.col("cell")).select(*light.columns)
-    second = stage(_cells(inside, BITS - 2 * CELL, first), "mix-cells")
+    second = stage_numbers(_cells(inside, BITS - 2 * CELL, first), "mix-cells")
     last = with_source(light, second).where(F.shiftright("draw", BITS - 2 * CELL) == F.col("cell"))
     # The few that are left, in order; equal draws go in together.
     by_draw = last.groupBy("of", "wanted", "before", "draw").agg(F.sum("size").alias("size"))
@@ -133,10 +133,10 @@ def mix(docs: DataFrame, *, weights=None, id_col: str = "doc_id", text_col: str
         second.select("of", "wanted", (F.shiftleft("cell", BITS - 2 * CELL) - 1).alias("draw"), F.col("before").alias("through"))
     )
     nearest = F.min_by("draw", F.struct(F.abs(F.col("through") - F.col("wanted")), F.col("draw")))
-    cut = stage(ends.groupBy("of").agg(nearest.alias("cut")), "mix-cuts")
+    cut = stage_numbers(ends.groupBy("of").agg(nearest.alias("cut")), "mix-cuts")
     joined_goal = goal.join(cut.withColumnRenamed("of", "cut_of"), F.col("of").eqNullSafe(F.col("cut_of")), "left")
     plan = joined_goal.select("of", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
-    plan = stage(plan, "mix-plan")
+    plan = stage_numbers(plan, "mix-plan")
     copies = F.col("whole") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)
     return with_source(sized, plan).select(
         "doc_id",

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from questloom.llm.common import keep_rows, one_of_each, whole_text
+from questloom.llm.common import keep_rows, one_of_each, stage_numbers, whole_text
 from questloom.llm.components import components
 from questloom.session import stage
 
@@ -204,12 +204,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = stage(signatures(rows, n, bands, depth), "signatures")
     # One row for each different text, numbered; written down, so the numbers stay.
     nodes = signed.dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id())
-    nodes = stage(nodes, "nodes")
+    nodes = stage_numbers(nodes, "nodes")
 
-    found = stage(_candidate_sets(nodes), "candidates")
+    found = stage_numbers(_candidate_sets(nodes), "candidates")
     sizes = found.join(nodes.select("id", "n_grams"), "id").groupBy("root").agg(F.count("*").alias("m"), F.sum("n_grams").alias("w"))
     cuts = F.ceil(F.greatest(F.col("m") / block_nodes, F.col("w") / BLOCK_WORDS)).cast("int")
-    sizes = stage(sizes.select("root", "m", cuts.alias("cuts")), "candidate-sizes")
+    sizes = stage_numbers(sizes.select("root", "m", cuts.alias("cuts")), "candidate-sizes")
     bins = max(1, (sizes.where("cuts = 1").agg(F.sum("m")).first()[0] or 0) // block_nodes)
     members = found.join(sizes, "root").join(nodes.select("id", "node", F.col("doc_id").alias("of")), "id")
     members = members.select(
@@ -229,11 +229,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     checked = tasks.groupBy("set", "cuts", "lo", "hi").applyInPandas(_verify(threshold), "id bigint, links bigint, first bigint")
     checked = stage(checked, "verified")
 
-    linked = stage(components(checked.select(F.col("id").alias("a"), F.col("first").alias("b"))), "classes")
+    linked = stage_numbers(components(checked.select(F.col("id").alias("a"), F.col("first").alias("b"))), "classes")
     links = checked.groupBy("id").agg(F.sum("links").alias("n_links"))
     texts_seen = signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows"))
     info = texts_seen.join(nodes.select("node", "id"), "node").join(linked, "id", "left").join(links, "id", "left")
-    info = stage(info.withColumn("root", F.coalesce("root", "id")), "node-classes")
+    info = stage_numbers(info.withColumn("root", F.coalesce("root", "id")), "node-classes")
     classes = info.groupBy("root").agg(F.min("first_doc").alias("class_id"))
     info = info.join(classes, "root").select(
         "node", "class_id", F.col("root").alias("class_root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_copies")

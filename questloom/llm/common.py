@@ -33,7 +33,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def stage_numbers(df: DataFrame, name: str) -> DataFrame:
-    """``stage`` for narrow tables: written by four tasks a core at most, so that small files and tasks stay few."""
+    """``stage`` for narrow tables made from narrow tables: four tasks a core at most write them, so that small files and
+    tasks stay few.  (Where text comes in, the width must follow the data: use ``stage``.)"""
     return stage(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
 
 

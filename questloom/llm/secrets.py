@@ -49,6 +49,7 @@ RULES = (
     Rule("web_token", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
+#: The columns of a ledger, e.g. for an empty one.
 LEDGER = "address string, rules array<string>, spans array<struct<kind:string,start:int,end:int>>"
 
 

@@ -149,7 +149,9 @@ def prepare_records(
     many tasks as there are shuffle partitions, and leaves each file with a narrow
     key range, so lookups by key skip files.
     """
-    fresh = new_records(dedup_first(default_unknown(records), order), corpus)
+    # Stored, as the lookup, the anti-join and the range sampling each read it.
+    unique = stage(dedup_first(default_unknown(records), order), "unique-records")
+    fresh = new_records(unique, corpus)
     tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return render_sentence(fresh).repartitionByRange(tasks, "kunnr").sortWithinPartitions("kunnr")
 

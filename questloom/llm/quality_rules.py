@@ -116,8 +116,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     )
 
     def lines(column: str) -> Column:
-        split = F.array_remove(F.split(F.regexp_replace(column, r"(?m)^[\x20\x09\x0B-\x0D]+$", ""), "\n"), "")
-        return split
+        return F.filter(F.split(column, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     found = texts.select(
         *[c for c in texts.columns if c != "text"],

@@ -66,6 +66,22 @@ def test_measures(spark):
         assert got[i] == brute_measures(text), repr(text[:80])
 
 
+def test_lines_are_parted_by_line_feeds_alone(spark):
+    texts = [
+        "a b\r\n\r\nc d\r\n\r\ne f\r\n \r\n",  # CRLF with several blank lines
+        "\r\n\r\n\t\r\n",
+        "a\r \rb\na\r\rb\na\r \rb",  # lone carriage returns stay within their line
+        "x\u0085 \u0085y\nx\u0085\u0085y",
+        "x\u2028 \u2028y\nx\u2028\u2028y",
+        "\u0085\n\u2028\n\u00a0\n\u0085",  # no white space in the sense of the rules
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dup_lines"]) for r in quality_rules.measures(docs).collect()}
+    lines = [[x for x in t.split("\n") if WORD.search(x)] for t in texts]
+    assert got == {i: (len(x), len(x) - len(set(x))) for i, x in enumerate(lines)}
+    assert got[0] == (3, 0) and got[2] == (3, 1)
+
+
 def upper_tail_k(n, risk, error):
     total, k = 0.0, -1
     for i in range(int(n * risk) + 1):

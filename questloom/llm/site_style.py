@@ -13,8 +13,11 @@ both in logarithms to the number of pages, and 1 for a place that a single page
 upwards from children to parents, and branches are cut in which no element reaches the threshold.  The tree of a host
 never is in one place: places and what was met there are rows, counted with partial sums before any exchange.
 
-Markup that says what it is comes first: menus, footers, adverts, forms, comments and the like go whatever their
-importance, and an article (else a main element) is kept where a page has one, so that entropy decides on the rest.
+Markup that says what it is counts beside the tree, unless importance and share of text contradict it: menus, footers,
+adverts, forms, comments and the like go, but on a page without article not the branch that holds nearly all of its text;
+and an article (else a main element) is kept, but not if more important text stands outside of it.  Within articles the
+branches below the threshold are cut too, if most pages of the host have their place (two versions of an article prove
+nothing) and not where most of an article would go, as on hosts that repeat one.
 """
 
 from __future__ import annotations
@@ -36,7 +39,11 @@ from questloom.session import stage
 THRESHOLD = 0.2
 #: How much of an element's importance its own style is, for each style met at its place.
 FADE = 0.9
-#: Up to so many places below full importance they are sent to all tasks (20 bytes each); beyond, they are joined.
+#: A branch named as noise stays if it holds more than this part of a page's text and the page has no article.
+NEARLY_ALL = 0.75
+#: Within articles, places that fewer pages have are not cut.
+LEAST_PAGES = 3
+#: Up to so many places below full importance they are sent to all tasks (24 bytes each); beyond, they are joined.
 MOST_SENT = 1_000_000
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +58,8 @@ NOISE_TAGS = set(
     "head script style noscript template nav footer aside form button select textarea input label iframe object svg canvas"
     " dialog menu".split()
 )
+#: Those of them that a page may wrap around its text.
+SOFT_TAGS = set("nav footer aside form dialog menu".split())
 #: Words in a class, id or role that say the same.
 NOISE_WORDS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget ad ads adbox advert adverts advertisement"
@@ -60,6 +69,8 @@ NOISE_WORDS = set(
 )
 #: As above, but only outside of articles, whose own header holds their title.
 OUTER_TAGS, OUTER_WORDS = {"header"}, {"header", "masthead"}
+#: Parts of tables and lists, which are not cut out of an article's tables and lists.
+PARTS = set("caption dd dt figcaption li summary tbody tfoot thead tr".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -162,17 +173,89 @@ class Tree(HTMLParser):
             return True
         return not in_article and (tag in OUTER_TAGS or bool(roles & OUTER_WORDS))
 
-    def articles(self) -> set[int]:
-        """The outermost articles that are no noise and in none; else the main elements."""
-        quiet: list[bool] = [False]
+    def articles(self, noisy: list[bool]) -> set[int]:
+        """The articles that are no noise and in none; else any that are no noise."""
+        return self._found(lambda n: self.tags[n] == "article", noisy)
+
+    def mains(self, noisy: list[bool]) -> set[int]:
+        return self._found(lambda n: self.tags[n] == "main" or "main" in self.roles[n], noisy)
+
+    def _found(self, wanted, noisy: list[bool]) -> set[int]:
+        candidates = [n for n in range(1, len(self.tags)) if wanted(n) and not noisy[n]]
+        if not candidates:
+            return set()
+        quiet = self._below(noisy)
+        return {n for n in candidates if not quiet[n]} or set(candidates)
+
+    def _below(self, marked: list[bool]) -> list[bool]:
+        """For each element whether one above it is marked."""
+        below = [False]
         for node in range(1, len(self.tags)):
-            quiet.append(quiet[self.parents[node]] or self.noise(node, False))
-        for wanted in (lambda n: self.tags[n] == "article", lambda n: self.tags[n] == "main" or "main" in self.roles[n]):
-            for strict in (True, False):
-                found = {n for n in range(1, len(self.tags)) if wanted(n) and not (quiet[n] if strict else self.noise(n, False))}
-                if found:
-                    return found
-        return set()
+            up = self.parents[node]
+            below.append(below[up] or marked[up])
+        return below
+
+    def weights(self, without: list[bool]) -> list[int]:
+        """How many characters each branch holds outside of links and of the branches ``without``."""
+        found = [len("".join(t).strip()) if t else 0 for t in self.texts]
+        for node in range(len(found) - 1, 0, -1):
+            if without[node] or self.tags[node] == "a":
+                found[node] = 0
+            else:
+                found[self.parents[node]] += found[node]
+        return found
+
+    def chosen(self, cut: list[bool], noisy: list[bool]) -> tuple[set[int], set[int], set[int]]:
+        """The articles, else main elements, whose text is wanted (none: the page's); the branches that stay though they
+        are named as noise; and the articles that are mere lists of links, to leave out of a page's text."""
+        n = len(self.tags)
+        left_out = [a or b for a, b in zip(noisy, cut)]
+        important = self.weights(left_out)
+        articles = self.articles(noisy)
+        cards: set[int] = set()
+        if articles:
+            outermost, hidden = self._outermost(articles), self._below(left_out)
+            plain = self.weights(noisy)
+            held = sum(plain[i] for i in outermost)
+            outside = important[0] - sum(important[i] for i in outermost if not hidden[i])
+            if outside <= held:
+                return articles, set(), set()
+            every = [len("".join(t).strip()) if t else 0 for t in self.texts]
+            for node in range(n - 1, 0, -1):
+                every[self.parents[node]] += every[node]
+            cards = {i for i in outermost if 2 * plain[i] < every[i]}
+        mains = self.mains(noisy)
+        if mains:
+            if not articles or 2 * sum(important[i] for i in self._outermost(mains)) > important[0]:
+                return mains, set(), cards
+        if articles:
+            return set(), set(), cards
+        never = [t in NOISE_TAGS and t not in SOFT_TAGS for t in self.tags]
+        whole = self.weights([a or b for a, b in zip(never, cut)])
+        spared = {i for i in range(1, n) if noisy[i] and not never[i] and not cut[i] and whole[i] > NEARLY_ALL * whole[0]}
+        return set(), spared, set()
+
+    def _outermost(self, chosen: set[int]) -> list[int]:
+        inner = self._below([i in chosen for i in range(len(self.tags))])
+        return [i for i in chosen if not inner[i]]
+
+    def cuts(self, articles: set[int], cut: list[bool], noisy: list[bool], pages: np.ndarray) -> list[bool]:
+        """The branches to cut: those in ``cut``; within articles only whole blocks whose place most pages of the host have,
+        and only if most of the article stays."""
+        if not articles or not any(cut):
+            return cut
+        n = len(self.tags)
+        of = [0] * n
+        for node in range(1, n):
+            of[node] = of[self.parents[node]] or (node if node in articles else 0)
+        own = [a and (not of[i] or self.noise(i, True)) for i, a in enumerate(noisy)]
+        least = max(LEAST_PAGES, int(pages[0]) / 2)
+        allowed = [
+            cut[i] and of[i] > 0 and i not in articles and pages[i] >= least and self.tags[i] in BLOCKS and self.tags[i] not in PARTS
+            for i in range(n)
+        ]
+        before, after = self.weights(own), self.weights([a or b for a, b in zip(own, allowed)])
+        return [allowed[i] and 2 * after[of[i]] >= before[of[i]] > 0 for i in range(n)]
 
     def unimportant(self, own: np.ndarray, styles: np.ndarray, threshold: float) -> list[bool]:
         """For each element whether nothing in its branch reaches the threshold."""
@@ -184,12 +267,18 @@ class Tree(HTMLParser):
             if below:
                 share = FADE ** max(1, int(styles[node]))
                 whole[node] = (1 - share) * whole[node] + share * sum(whole[c] for c in below) / len(below)
-            best[node] = max([whole[node], *[best[c] for c in below]])
+                # Text of its own counts in full, whatever inline elements repeat in it.
+                text = float(own[node]) if any(map(str.strip, self.texts[node])) else 0.0
+                best[node] = max(whole[node], text, *[best[c] for c in below])
+            else:
+                best[node] = whole[node]
         return [b < threshold for b in best]
 
-    def main_text(self, cut: list[bool]) -> tuple[str, int]:
-        """The blocks of the article, else of the page without the branches in ``cut``; and how many these were."""
-        articles = self.articles()
+    def main_text(self, cut: list[bool], pages: np.ndarray) -> tuple[str, int]:
+        """The blocks of the article, else of the page, without the branches to cut; and how many these were."""
+        noisy = [self.noise(n, False) for n in range(len(self.tags))]
+        articles, spared, cards = self.chosen(cut, noisy)
+        cut = self.cuts(articles, cut, noisy, pages)
         blocks: list[str] = []
         parts: list[str] = []
         skip = inside = removed = 0
@@ -217,10 +306,12 @@ class Tree(HTMLParser):
                     inside += 1
                 if skip:
                     skip += 1
-                elif self.noise(node, bool(inside)) and node not in articles:
+                elif node in cards and node not in articles:
+                    skip = 1
+                elif noisy[node] and node not in articles and node not in spared and (not inside or self.noise(node, True)):
                     # An article in noisy surroundings was only chosen if there is no other; it is reached all the same.
                     skip = 1 if not self._holds(node, articles) else 0
-                elif not inside and not articles and cut[node]:
+                elif cut[node] and (inside or not articles):
                     skip = 1
                     removed += 1
             else:
@@ -260,7 +351,7 @@ def place_rows(pages: DataFrame) -> DataFrame:
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """(place, importance, styles) for the places of several pages that are below full importance.
+    """(place, importance, styles, pages) for the places of several pages that are below full importance.
 
     With c pages for each of l values and m in all, the entropy of styles is 1 - sum(c ln c) / (m ln m), and the
     importance of contents 1 - sum(ln c) / (l ln m).  A place with both has the larger one.
@@ -274,24 +365,28 @@ def importance(rows: DataFrame) -> DataFrame:
     size = F.log(F.col("m").cast("double"))
     style = 1 - F.col("weighted") / (F.col("m") * size)
     content = 1 - F.col("plain") / (F.col("l") * size)
-    own = several.select("place", F.round(F.when(F.col("kind") == 0, style).otherwise(content), 6).alias("own"), "kind", "l")
-    found = own.groupBy("place").agg(F.max("own").alias("importance"), F.max(F.when(F.col("kind") == 0, F.col("l"))).alias("styles"))
-    return found.where("importance < 1").select("place", F.col("importance").cast("float"), F.coalesce("styles", F.lit(1)).cast("int").alias("styles"))
+    own = several.select("place", F.round(F.when(F.col("kind") == 0, style).otherwise(content), 6).alias("own"), "kind", "l", "m")
+    found = own.groupBy("place").agg(
+        F.max("own").alias("importance"), F.max(F.when(F.col("kind") == 0, F.col("l"))).alias("styles"), F.max("m").alias("pages")
+    )
+    return found.where("importance < 1").select(
+        "place", F.col("importance").cast("float"), F.coalesce("styles", F.lit(1)).cast("int").alias("styles"), F.col("pages").cast("int")
+    )
 
 
-def _table(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _table(rows: list) -> tuple[np.ndarray, ...]:
     rows = sorted(tuple(r) for r in rows)
-    return tuple(np.array([r[i] for r in rows], kind) for i, kind in enumerate((np.int64, np.float32, np.int32)))
+    return tuple(np.array([r[i] for r in rows], kind) for i, kind in enumerate((np.int64, np.float32, np.int32, np.int32)))
 
 
-def _looked_up(places: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
-    known, values, styles = table
-    own, several = np.ones(len(places)), np.ones(len(places), int)
+def _looked_up(places: np.ndarray, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    known, values, styles, counts = table
+    own, several, pages = np.ones(len(places)), np.ones(len(places), int), np.ones(len(places), int)
     if len(known):
         at = np.minimum(np.searchsorted(known, places), len(known) - 1)
         hit = known[at] == places
-        own[hit], several[hit] = values[at[hit]], styles[at[hit]]
-    return own, several
+        own[hit], several[hit], pages[hit] = values[at[hit]], styles[at[hit]], counts[at[hit]]
+    return own, several, pages
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD,
@@ -299,8 +394,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """One row per row of ``pages``: page_id, url, text, n_chars, n_removed.
 
     ``text`` has the blocks of the main text in page order, joined by two line feeds; character references are decoded
-    and white space within a block is one space.  ``n_removed`` counts branches cut for low importance (0 on pages
-    with an article).  Null, empty and textless html gives an empty text.  Pages without a host are no part of a site.
+    and white space within a block is one space.  ``n_removed`` counts branches cut for low importance.  Null, empty and textless html gives an empty text.  Pages without a host are no part of a site.
     Pages repeated count each time in their site's tree, and each gets its row.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -315,7 +409,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     # Too many to send: each page (told by site and html) gets the places it has.
     rows = rows.withColumn("digest", F.sha2("html", 256))
     own = _page_places(rows.where("site IS NOT NULL AND html <> ''")).join(found, "place")
-    lists = own.groupBy("site", "digest").agg(F.collect_list(F.struct("place", "importance", "styles")).alias("known"))
+    lists = own.groupBy("site", "digest").agg(F.collect_list(F.struct("place", "importance", "styles", "pages")).alias("known"))
     lists = lists.select(F.col("site").alias("of_site"), F.col("digest").alias("of"), "known")
     joined = rows.join(lists, (F.col("digest") == F.col("of")) & (F.col("site") == F.col("of_site")), "left")
     joined = joined.select("page_id", "url", "site", "html", "known")
@@ -352,8 +446,9 @@ def _extractor(threshold: float, tables):
                 texts, removed = [], []
                 for site, html, table in zip(part.column("site").to_pylist(), part.column("html").to_pylist(), tables(part)):
                     tree = Tree(html)
-                    own, styles = _looked_up(tree.places(site or "")[0], table) if site is not None else (np.ones(len(tree.tags)),) * 2
-                    text, cuts = tree.main_text(tree.unimportant(own, styles, threshold))
+                    seen = _looked_up(tree.places(site or "")[0], table) if site is not None else (np.ones(len(tree.tags)),) * 3
+                    own, styles, on_pages = seen
+                    text, cuts = tree.main_text(tree.unimportant(own, styles, threshold), on_pages)
                     texts.append(text)
                     removed.append(cuts)
                 yield pa.RecordBatch.from_arrays(

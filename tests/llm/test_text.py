@@ -326,6 +326,45 @@ def test_articles_keep_what_repeats(spark):
     assert {r["text"] for r in site_style.extract(table).collect()} == {"Title\n\nSame & same&am"}
 
 
+def texts_of(spark, bodies):
+    table = [(i, f"http://site.net/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    found = site_style.extract(spark.createDataFrame(table, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in found}
+
+
+def own_words(i, k):
+    return f"Own words {i} {k} that this page alone has, and some more of them."
+
+
+def test_repeated_block_inside_articles_is_cut(spark):
+    """Known by the tree alone; the same article on all pages stays, and so do the parts of tables and of sentences."""
+    notice = "<div class='box'><p>Get our letter</p><p>every week</p></div>"
+    table = "<table><tr><td>Price</td></tr><tr><td>{}</td></tr></table>"
+    got = texts_of(spark, [f"<article><p>{own_words(i, 0)} <b>Note</b></p>{notice}<p>{own_words(i, 1)}</p>{table.format(i)}</article>" for i in range(20)])
+    assert got == {i: f"{own_words(i, 0)} Note\n\n{own_words(i, 1)}\n\nPrice\n\n{i}" for i in range(20)}
+    versions = [f"<article><p>{own_words(i, 0)}</p><p>{own_words(i, 1)}</p><p>{own_words(0, 2)}</p></article>" for i in range(2)]
+    others = [f"<article><h2>{own_words(i, 0)}</h2></article>" for i in range(8)]
+    assert texts_of(spark, versions + others)[1] == "\n\n".join([own_words(1, 0), own_words(1, 1), own_words(0, 2)])
+    same = texts_of(spark, [f"<article><p>{own_words(0, 0)}</p>{notice}</article>"] * 20)
+    assert set(same.values()) == {f"{own_words(0, 0)}\n\nGet our letter\n\nevery week"}
+
+
+@pytest.mark.parametrize("story", ["<main>{}</main>", "<div class='story'>{}</div>"])
+def test_teaser_articles_beside_the_text(spark, story):
+    cards = "".join(f"<article><a href='/{k}'>Teaser number {k}</a></article>" for k in range(3))
+    paragraphs = [[own_words(i, k) for k in range(4)] for i in range(20)]
+    got = texts_of(spark, [story.format("".join(f"<p>{x}</p>" for x in p)) + f"<div>{cards}</div>" for p in paragraphs])
+    assert got == {i: "\n\n".join(p) for i, p in enumerate(paragraphs)}
+
+
+@pytest.mark.parametrize("wrap", ["<div class='social-history'>{}</div>", "<form id='page'>{}</form>"])
+def test_noisy_name_around_all_of_the_text(spark, wrap):
+    paragraphs = [[own_words(i, k) for k in range(4)] for i in range(20)]
+    menu = "<div class='nav'><a>Home</a></div>"
+    got = texts_of(spark, [menu + wrap.format("".join(f"<p>{x}</p>" for x in p) + "<div class='share'>Tell others</div>") for p in paragraphs])
+    assert got == {i: "\n\n".join(p) for i, p in enumerate(paragraphs)}
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 

@@ -16,15 +16,22 @@ from questloom.session import path_exists, stage
 
 # Rows that the centroids are placed from, about.
 TRAIN_ROWS = 1_000_000
+# By default a search probes so many cells that this part of the true neighbours of the trial questions is found.
+RECALL = 0.95
+# Rows that serve as trial questions, about, and how many neighbours of each.
+TRIALS, TRIAL_TOP = 200, 20
+
 
 def build_vector_index(
     corpus: DataFrame,
     path: str,
     cells: int | None = None,
     *,
+    id_col: str = "kunnr",
     vector_col: str = "vector",
     iterations: int = 10,
     train_rows: int = TRAIN_ROWS,
+    recall: float = RECALL,
     seed: int = 42,
     overwrite: bool = False,
 ) -> int:
@@ -33,6 +40,8 @@ def build_vector_index(
     By default there are as many cells as the root of the number of rows; there are never more than rows.  The
     centroids are placed from about ``train_rows`` rows, every row is indexed.  Cells differ in size; the
     rebalance hint lets Spark cut a crowded cell into several tasks and files instead of sending it to one.
+    Beside the centroids stands how many cells a search must probe to find ``recall`` of the true neighbours, measured on
+    about ``TRIALS`` rows of the corpus; questions unlike the corpus may need more.
     Rows without a usable vector (null, empty, not finite, or of another length than most) are in no cell: a search
     could not return them.
     """
@@ -60,11 +69,32 @@ def build_vector_index(
         centroids = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         placed = model.transform(rows)
     mode = "overwrite" if overwrite else "error"
-    spark.createDataFrame(centroids, "cell int, centroid array<double>").write.mode(mode).parquet(f"{path}/centroids")
     placed.drop("_features").hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{path}/rows")
+    places = spark.createDataFrame(centroids, "cell int, centroid array<double>")
+    stored = spark.read.parquet(f"{path}/rows").select(F.col(id_col).alias("kunnr"), F.col(vector_col).alias("vector"), "cell")
+    nprobe = _measured_nprobe(stored, places, len(centroids), count, recall, seed)
+    places.withColumn("nprobe", F.lit(nprobe)).write.mode(mode).parquet(f"{path}/centroids")
     return len(centroids)
 
 
+def _measured_nprobe(rows: DataFrame, centroids: DataFrame, cells: int, count: int, recall: float, seed: int) -> int:
+    """The least number of nearest cells that hold ``recall`` of the true neighbours of some rows, themselves left out."""
+    if cells == 1 or count == 1:
+        return 1
+    share = F.pmod(F.xxhash64("kunnr", F.lit(seed)), F.lit(1_000_000)) < F.lit(math.ceil(1_000_000 * min(1.0, TRIALS / count)))
+    trials = stage(rows.filter(share).limit(4 * TRIALS).select(F.col("kunnr").alias("question_id"), "vector"), "trials")
+    true = knn(trials, rows, TRIAL_TOP + 1).filter(~F.col("question_id").eqNullSafe(F.col("id"))).select("question_id", "id")
+    held = true.join(rows.select(F.col("kunnr").alias("id"), "cell"), "id")
+    order = _nearest_cells(trials, centroids, cells).select("question_id", F.col("id").alias("cell"), "rank")
+    needed = {r["rank"]: r["count"] for r in held.join(order, ["question_id", "cell"]).groupBy("rank").count().collect()}
+    total, found = sum(needed.values()), 0
+    for nprobe in sorted(needed):
+        found += needed[nprobe]
+        if found >= recall * total:
+            return nprobe
+    return cells  # nothing to measure with
+
+
 def add_to_index(new: DataFrame, path: str, *, vector_col: str = "vector") -> None:
     """Write further records into the cells of an index, each into the one whose centroid is nearest.
 
@@ -88,7 +118,15 @@ def read_vector_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def probe_cells(questions: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """question_id, vector, cell: the ``nprobe`` cells nearest to each question.
+    """question_id, vector, cell: the ``nprobe`` cells nearest to each question."""
+    near = _nearest_cells(questions, centroids, nprobe)
+    return near.select("question_id", F.col("id").alias("cell")).join(
+        questions.select("question_id", "vector"), "question_id"
+    )
+
+
+def _nearest_cells(questions: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """question_id, id (of a cell), rank.
 
     Nearest by Euclidean distance, written as an inner product with one extra
     element per vector: q.c - |c|^2 / 2 orders like -|q - c|.
@@ -98,10 +136,14 @@ def probe_cells(questions: DataFrame, centroids: DataFrame, nprobe: int) -> Data
     lifted = questions.select(
         "question_id", F.concat(F.col("vector").cast("array<double>"), F.array(F.lit(1.0))).alias("vector")
     )
-    near = knn(lifted, lifted_cells, nprobe, id_col="cell")
-    return near.select("question_id", F.col("id").alias("cell")).join(
-        questions.select("question_id", "vector"), "question_id"
-    )
+    return knn(lifted, lifted_cells, nprobe, id_col="cell")
+
+
+def default_nprobe(centroids: DataFrame) -> int:
+    """What was measured when the index was built; of an index without that, all cells."""
+    if "nprobe" in centroids.columns:
+        return centroids.agg(F.max("nprobe")).first()[0]
+    return max(1, centroids.count())
 
 
 def ann_knn(
@@ -109,7 +151,7 @@ def ann_knn(
     rows: DataFrame,
     centroids: DataFrame,
     k: int = 20,
-    nprobe: int = 8,
+    nprobe: int | None = None,
     *,
     id_col: str = "kunnr",
     vector_col: str = "vector",
@@ -119,8 +161,10 @@ def ann_knn(
 
     Only the files of probed cells are read, and they are scanned where they
     are: a crowded cell is many files, not one task.  With ``nprobe`` = number
-    of cells the result equals the exact one.
+    of cells the result equals the exact one; by default it is what was measured
+    when the index was built.
     """
+    nprobe = nprobe or default_nprobe(centroids)
     probes = stage(probe_cells(questions, centroids, nprobe), "probes")
     probed = [r["cell"] for r in probes.select("cell").distinct().collect()]  # at most one per centroid
     large = rows.filter(F.col("cell").isin(probed)).select(

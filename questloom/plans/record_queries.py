@@ -487,7 +487,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def indexed(spark: SparkSession, folder: str, cells: int = 16) -> tuple[DataFrame, DataFrame]:
+def indexed(spark: SparkSession, folder: str, cells: int | None = 16) -> tuple[DataFrame, DataFrame]:
     path = new_path(spark, "index")
     build_vector_index(vectors(spark, folder), path, cells)
     return read_vector_index(spark, path)

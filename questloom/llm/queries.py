@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import checks, exact_dedup, mixing, ngram_join, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
+from questloom.llm import checks, exact_dedup, mixing, ngram_join, packing, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
 from questloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,17 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: A public byte-level vocabulary for the tokenizers library.
+BYTES = "byte_bpe_50k.json"
+
+
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.pack(read(spark, folder, "documents"), public_tokenizers.path(BYTES), capacity=2048, end_id=1)
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_site_style": op1_site_style,
     "op2_exact_dedup": op2_exact_dedup,
@@ -110,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_quality_net": op9_quality_net,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_packing": op11_packing,
 }
 
 CHECKS: dict[str, str] = {

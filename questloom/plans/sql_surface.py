@@ -80,6 +80,23 @@ def row_number(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select("o_orderkey", "o_orderstatus", "position")
 
 
+@query(
+    "q7_row_number_wide",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority,
+           row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS position,
+           rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS rank,
+           count(*) OVER (PARTITION BY o_orderstatus) AS group_size
+    FROM orders
+    """,
+)
+def row_number_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of the orders with their places; small slices, so that each status is cut at every size of the table."""
+    orders = table(spark, folder, "orders")
+    ranked = rank_in_slices(orders, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], ties=["o_orderdate"], slice_rows=4096)
+    return ranked.withColumn("o_orderdate", F.col("o_orderdate").cast("string")).select(*orders.columns, "position", "rank", "group_size")
+
+
 @query(
     "q8_self_join_residual",
     """

@@ -162,3 +162,60 @@ FROM documents LEFT JOIN summed USING (doc_id)
 
 
 OP8 = _op8()
+
+
+def _op13() -> str:
+    def digest(n_chars: str) -> str:
+        fields = ["doc_id", "source", "lang", n_chars, "text"]
+        return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+    # DuckDB has no crc32: its table, then one step a character of the id.
+    return f"""
+WITH RECURSIVE bits(b, k, c) AS (
+  SELECT b, 0, b FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+sums AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents), crc_table),
+leaves AS (
+  SELECT doc_id, lang, {digest("n_chars")} AS leaf, crc % 7 = 0 AS tampered, {digest("n_chars + 1")} AS other
+  FROM documents LEFT JOIN sums USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes(lang, level, pos, n, digest) AS (
+  SELECT lang, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+beside AS (
+  SELECT p.doc_id, p.lang, p.pos, n.level, n.digest, n.pos % 2 AS on_right
+  FROM placed p JOIN nodes n ON p.lang IS NOT DISTINCT FROM n.lang AND n.pos = xor(p.pos >> n.level, 1)
+  UNION ALL
+  SELECT p.doc_id, p.lang, p.pos, s.height + t.level, t.digest, t.pos % 2
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN tops t ON t.pos = xor(s.pos >> t.level, 1)),
+proofs AS (SELECT lang, pos, sha256(string_agg(digest, '' ORDER BY level, on_right)) AS proof_sha256 FROM beside GROUP BY lang, pos),
+ways AS (
+  SELECT p.lang, p.pos, s.subroot, s.height + (SELECT max(level) FROM tops) AS height,
+    CASE WHEN tampered THEN coalesce(other, leaf) ELSE leaf END AS start
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang),
+folds(lang, pos, level, height, digest) AS (
+  SELECT lang, pos, 0, height, start FROM ways
+  UNION ALL
+  SELECT f.lang, f.pos, f.level + 1, f.height, sha256(CASE WHEN on_right = 0 THEN b.digest ELSE '' END || f.digest || CASE WHEN on_right = 1 THEN b.digest ELSE '' END)
+  FROM folds f LEFT JOIN beside b ON f.lang IS NOT DISTINCT FROM b.lang AND f.pos = b.pos AND f.level = b.level WHERE f.level < f.height)
+SELECT p.doc_id, p.leaf, w.subroot, r.digest AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM placed p JOIN ways w ON p.lang IS NOT DISTINCT FROM w.lang AND p.pos = w.pos
+  JOIN folds f ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos AND f.level = f.height
+  LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.pos = q.pos
+  CROSS JOIN (SELECT digest FROM tops WHERE n = 1) r
+"""
+
+
+OP13 = _op13()

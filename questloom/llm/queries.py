@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import checks, exact_dedup, mixing, ngram_join, packing, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
+from questloom.llm import checks, exact_dedup, merkle, mixing, ngram_join, packing, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
 from questloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,13 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every seventh checksum of an id the document is checked with a wrong number of characters."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    n_chars = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(read(spark, folder, "documents"), altered={"n_chars": n_chars})
+
+
 QUERIES: dict[str, Query] = {
     "op1_site_style": op1_site_style,
     "op2_exact_dedup": op2_exact_dedup,
@@ -122,6 +129,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_net": op9_quality_net,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_packing": op11_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 CHECKS: dict[str, str] = {
@@ -130,4 +138,5 @@ CHECKS: dict[str, str] = {
     "op6_mixing": checks.OP6,
     "op7_quality_rules": checks.OP7,
     "op8_secrets": checks.OP8,
+    "op13_merkle_manifest": checks.OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from questloom.llm import checks, exact_dedup, merkle, mixing, ngram_join, packing, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
+from questloom.llm import checks, collocations, exact_dedup, merkle, mixing, ngram_join, packing, pieces, quality_net, quality_rules, secrets, site_style, token_counts, url_filter
 from questloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,10 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"), longest=5, least=100, top=2000)
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Of every seventh checksum of an id the document is checked with a wrong number of characters."""
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
@@ -129,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_net": op9_quality_net,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_packing": op11_packing,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

@@ -37,7 +37,7 @@ rules(rule, host, path, verdict) AS (VALUES
   ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
 listed AS (SELECT DISTINCT address FROM named WHERE NOT contains(html, '</html>') AND address IS NOT NULL),
 best AS (
-  SELECT n.*, r.rule, r.verdict, row_number() OVER (PARTITION BY n.page_id ORDER BY length(r.rule) DESC NULLS LAST) AS place
+  SELECT n.*, r.rule, r.verdict, row_number() OVER (PARTITION BY n.page_id ORDER BY length(r.rule) DESC NULLS LAST, length(r.host) DESC, r.rule DESC, r.verdict DESC) AS place
   FROM named n LEFT JOIN rules r
     ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path))
 SELECT page_id, host, path, rule, l.address IS NOT NULL AND rule IS NULL AS listed,

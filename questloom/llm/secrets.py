@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from questloom.llm.common import let, whole_text
@@ -53,33 +53,45 @@ RULES = (
 LEDGER = "address string, rules array<string>, spans array<struct<kind:string,start:int,end:int>>"
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """The leftmost matches that don't overlap, as an array of (kind, start, end) in code points, end exclusive.
+_MATCH = "array<struct<rule:int,place:int,gap:int,width:int,held:int>>"
 
-    Splitting the text at the matches gives what lies between them; the lengths of both, added up, are the places.
+
+def matches(text: Column, rule: Rule, number: int) -> Column:
+    """The leftmost matches that don't overlap, each with the characters between it and the one before, its own, and its group's.
+
+    Splitting the text at the matches gives what lies between them; ``spans_of`` adds the lengths up.
     """
     pattern = F.lit(rule.pattern)
 
-    def spans(found: Column) -> Column:
+    def found_of(found: Column) -> Column:
         held = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
         pairs = F.arrays_zip(
             F.transform(F.slice(F.split(text, rule.pattern, -1), 1, F.size(found)), lambda x: F.char_length(x)).alias("gap"),
             F.transform(found, lambda x: F.char_length(x)).alias("width"),
             F.transform(held, lambda x: F.char_length(x)).alias("held"),
         )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,held:int>>").alias("spans"))
+        return F.transform(
+            pairs,
+            lambda x, i: F.struct(F.lit(number).alias("rule"), i.alias("place"), x["gap"].alias("gap"), x["width"].alias("width"), x["held"].alias("held")),
+        )
 
-        def add(state: Column, x: Column) -> Column:
-            begin = state["at"] + x["gap"]
-            end = begin + x["width"]
-            new = F.struct(begin.alias("start"), end.alias("end"), x["held"].alias("held"))
-            return F.struct(end.alias("at"), F.array_append(state["spans"], new).alias("spans"))
+    none = F.array().cast(_MATCH)
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(found_of(found)))
 
-        good = F.filter(F.aggregate(pairs, start, add, lambda state: state["spans"]), lambda x: x["held"] >= rule.least)
-        return F.transform(good, lambda x: F.struct(F.lit(rule.kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(spans(found)))
+def spans_of(scanned: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(address, rules, spans) from (address, rules, matches): places by running sums over the matches of an address and rule.
+
+    A match is a row here, so that the work is in proportion to their number, however many one text has.
+    """
+    each = scanned.select("address", "rules", F.explode_outer("matches").alias("x")).select("address", "rules", "x.*")
+    upto = Window.partitionBy("address", "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("width")).over(upto).cast("int"))
+    least = F.array(*[F.lit(r.least) for r in rules])
+    kind = F.array(*[F.lit(r.kind) for r in rules])
+    span = F.struct(F.get(kind, F.col("rule")).alias("kind"), (F.col("end") - F.col("width")).alias("start"), F.col("end").alias("end"))
+    kept = F.collect_list(F.when(F.col("held") >= F.get(least, F.col("rule")), span))
+    return placed.groupBy("address").agg(F.first("rules").alias("rules"), kept.alias("spans"))
 
 
 def address(text: Column) -> Column:
@@ -102,14 +114,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[R
         unseen = texts.join(complete.select("address"), "address", "left_anti")
         todo = unseen.groupBy("address", "text").count().drop("count").join(done, "address", "left")
     pending = {r.key: ~F.coalesce(F.array_contains("done", r.key), F.lit(False)) for r in rules}
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    found = [matches(F.col("text"), r, i) for i, r in enumerate(rules)]
     if ledger is None:
-        ran = F.array(*[F.lit(r.key) for r in rules])
-        found = [matches(F.col("text"), r) for r in rules]
-    else:
-        ran = F.array_compact(F.array(*[F.when(pending[r.key], F.lit(r.key)) for r in rules]))
-        found = [F.when(pending[r.key], matches(F.col("text"), r)).otherwise(none) for r in rules]
-    return todo.select("address", ran.alias("rules"), F.concat(*found).alias("spans"))
+        # What ran is the same everywhere, so it need not be carried along.
+        scanned = todo.select("address", F.lit(None).cast("array<string>").alias("rules"), F.concat(*found).alias("matches"))
+        return spans_of(scanned, rules).withColumn("rules", F.array(*[F.lit(r.key) for r in rules]))
+    ran = F.array_compact(F.array(*[F.when(pending[r.key], F.lit(r.key)) for r in rules]))
+    found = [F.when(pending[r.key], x).otherwise(F.array().cast(_MATCH)) for r, x in zip(rules, found)]
+    return spans_of(todo.select("address", ran.alias("rules"), F.concat(*found).alias("matches")), rules)
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, *, key_cols: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -131,7 +143,9 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
     )
     # One row for each scan of an address, of which there are as many as there were rule versions.
     one = several.groupBy("address").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    one = one.select(F.col("address").alias("blob::address"), F.array_sort(F.array_distinct(keyed)).alias("spans"))
+    # A scan entered twice gives each span twice, side by side once sorted.
+    once = let(F.array_sort(keyed), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (x != F.get(all_, i - 1))))
+    one = one.select(F.col("address").alias("blob::address"), once.alias("spans"))
     return paths.join(one, "blob::address").select(
         *[F.col(c) for c in key_cols], F.col("blob::address").alias("address"), "spans"
     )

@@ -99,7 +99,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (),
                listed_col: str = "url", verdict: str = "block", most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, listed, checked.
 
-    The longest rule (host and path together) that fits decides; ``rule`` is its text, null if none fits.  Otherwise a
+    The longest rule (host and path together) that fits decides, of several the one with the longer host, then the last
+    by its text, then by its verdict; ``rule`` is its text, null if none fits.  Otherwise a
     page whose canonical address is on the list gets ``verdict``, and any other the opposite one.  ``checked`` tells
     that the filter could not rule the page out, so that the list itself was asked (only asked where no rule decides).
     Null addresses and those without ``://`` have an empty host and path, fit no rule and are never listed.  The list
@@ -120,7 +121,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = (),
     )
     ruled = F.lit(None).cast("string")
     said = F.lit(None).cast("string")
-    for rule in sorted(set(rules), key=lambda r: len(r.name)):
+    for rule in sorted(set(rules), key=lambda r: (len(r.name), len(r.host), r.name, r.verdict)):
         fits = rule_fits(rule)
         ruled = F.when(fits, rule.name).otherwise(ruled)
         said = F.when(fits, rule.verdict).otherwise(said)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import hashlib
 import math
 import random
@@ -280,3 +281,31 @@ def test_secret_edges(spark):
     assert secrets.scan_all(empty_docs(spark))[0].count() == 0
 
 
+
+
+def test_many_findings_in_one_text(spark):
+    """100,000 in one text take seconds: the work grows with their number, not its square."""
+    n = 100_000
+    text = " ".join("%024x" % (i * 7919 + 10**18) for i in range(n)) + " password=hunter22"
+    docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    start = time.monotonic()
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_all(docs)[0].collect()}
+    took = time.monotonic() - start
+    assert [(x["kind"], x["start"], x["end"]) for x in found[1]] == brute_spans(text)
+    assert len(found[1]) == n + 1 and found[2] == [] and took < 30
+
+
+def test_a_ledger_with_a_scan_entered_twice(spark):
+    docs = spark.createDataFrame([(1, SECRET_TEXTS[0])], "doc_id long, text string")
+    _, ledger = secrets.scan_all(docs)
+    (row,) = secrets.findings(docs, ledger.unionByName(ledger)).collect()
+    assert [(x["kind"], x["start"], x["end"]) for x in row["spans"]] == brute_spans(SECRET_TEXTS[0])
+
+
+def test_rules_of_equal_length(spark):
+    """The longer host decides, then the text of the rule, in whatever order they are given."""
+    pages = spark.createDataFrame([(1, "http://a.org/ab"), (2, "http://b.org/x")], "page_id long, url string")
+    rules = [url_filter.Rule("org", "/ab", "allow"), url_filter.Rule("a.org", "/", "block"), url_filter.Rule("b.org", "/", "allow"), url_filter.Rule("b.org", "/", "block")]
+    for order in (rules, rules[::-1]):
+        found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, pages.limit(0), order).collect()}
+        assert found == {1: ("a.org/", "block"), 2: ("b.org/", "block")}

@@ -12,6 +12,7 @@ The model is read by the driver and sent to the tasks: its size does not depend
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 import struct
@@ -307,11 +308,9 @@ class Codec:
 
 
 def _characters(raw: bytes) -> str:
-    """UTF-8, with one replacement character for each byte that is not part of a character."""
-    try:
-        return raw.decode()
-    except UnicodeDecodeError as e:
-        return raw[: e.start].decode() + "�" + _characters(raw[e.start + 1 :])
+    """UTF-8, with one replacement character for each byte that is not part of a character; any number of them."""
+    codecs.register_error("one-each", lambda e: ("�", e.start + 1))
+    return raw.decode(errors="one-each")
 
 
 def read_model(path: str) -> bytes:

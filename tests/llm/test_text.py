@@ -266,6 +266,49 @@ def test_classifier_learns_and_is_calibrated(spark):
     assert all(abs(r["score"] - found[r["doc_id"]]) < 1e-4 for r in again)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    draw = random.Random(8)
+    kinds = [["the", "cat", "Sat", "on", "mat"], ["BUY!!", "NOW", "$$$", "free", "x" * 500]]
+    docs = [(i, " ".join(draw.choice(kinds[i % 2]) for _ in range(draw.randint(0, 60)))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = [
+        {r["doc_id"]: r["score"] for r in quality_net.classify(table.repartition(n), labels, F.col("doc_id") % 5 != 0).collect()}
+        for n in (1, 3, 17)
+    ]
+    assert all(abs(found[0][i] - other[i]) < 1e-6 for other in found[1:] for i in found[0])
+
+
+def test_document_vectors_and_scores_plainly(spark):
+    """Mean and spread word by word, for texts with long words, too, and the network's formula on them."""
+    texts = ["Ab cd 12 12 ef", "", "x" * 300 + "0" + " x", None, "Ab " * 50, "漢" * 1000 + "1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vectors = quality_net.word_vectors(quality_net.context_sums(docs))
+    assert quality_net.shape("x" * 300 + "0") == "a0" and quality_net.shape("漢" * 1000 + "1") == "a0"
+    got = {r["doc_id"]: r["features"] for r in quality_net.features(docs, vectors).collect()}
+    dims = quality_net.DIMENSIONS
+    for i, text in enumerate(texts):
+        s = quality_net.stream(text or "", quality_net._Buckets()).tolist()
+        want = []
+        for part in ([b for b in s if b < quality_net.WORDS], [b for b in s if b >= quality_net.WORDS]):
+            columns = [[vectors[b][d] / quality_net.STEPS for b in part] or [0.0] for d in range(dims)]
+            means = [sum(c) / len(c) for c in columns]
+            want += means + [max(sum(x * x for x in c) / len(c) - m * m, 0) ** 0.5 for c, m in zip(columns, means)]
+        assert np.allclose(got[i], want, atol=2e-6)
+    x, y = np.array([got[i] for i in range(len(texts))] * 4), np.array([0, 1, 1, 0, 1, 0] * 4)
+    network = quality_net.fit(x, y)
+    for row, score in zip(x, network.score(x)):
+        hidden = [max(0.0, sum((v - m) / s * w for v, m, s, w in zip(row, network.middle, network.scale, column)) + b) for column, b in zip(network.w1.T, network.b1)]
+        z = (sum(h * w for h, w in zip(hidden, network.w2)) + float(network.b2)) / network.temperature
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d")] * 50 + [(2, "e f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_net.classify(docs, labels, F.lit(True)).count() == 101
+
+
 def test_classifier_edges(spark):
     found = quality_net.classify(docs_table(spark), labels_table(spark), F.lit(True)).collect()
     assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in DOCS)
@@ -417,3 +460,12 @@ def test_rank_file_pieces(tmp_path):
     file = tmp_path / "ranks"
     file.write_text("\n".join(f"{base64.b64encode(t).decode()} {i}" for i, t in enumerate(tokens)))
     assert token_counts.rank_file_pieces(str(file)) == ([b"b"], [b"a"])
+
+
+def test_decoding_many_wrong_bytes():
+    codec = pieces.Codec(pieces.Model(pieces.read_model(public_tokenizers.path(PIECES))))
+    wrong = next(i for i, p in enumerate(codec.model.pieces) if p == "<0xFF>")
+    first = next(i for i, p in enumerate(codec.model.pieces) if p == "<0xC3>")
+    second = next(i for i, p in enumerate(codec.model.pieces) if p == "<0xA9>")
+    ids = [wrong] * 30_000 + [first, second] + [first] * 3
+    assert codec.decode(np.array(ids, "<u4").tobytes()) == "\ufffd" * 30_000 + "é" + "\ufffd" * 3

@@ -25,7 +25,7 @@ from questloom.session import stage
 #: Levels of a block: 1,024 leaves for two children a node.
 BLOCK_LEVELS = 10
 #: A group with more rows than about this is ranked slice by slice.
-SLICE_ROWS = 1 << 16
+SLICE_ROWS = 1 << 13
 PATH = "array<struct<left:string,right:string>>"
 
 

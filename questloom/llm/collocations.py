@@ -1,9 +1,9 @@
 """Collocations: word sequences that occur more often than their parts would by chance, by Rabin-Karp fingerprints.
 
 A text's words have two independent 64-bit values each.  Prefix sums of the values times powers of a base give the
-polynomial of every n-gram at once (numpy, modulo 2^64): its fingerprint from the first values, its check from the
-second.  Tasks aggregate n-grams by fingerprint: how often, the least and the largest check, and a pointer to an
-occurrence, the least digest of a text with it.  The shuffle carries such rows of numbers only, and only of n-grams whose
+polynomial of every n-gram at once (numpy, modulo 2^64): its fingerprint from the first values, its check of 32 bits
+from the second.  Tasks aggregate n-grams by fingerprint: how often, the least and the largest check, and a pointer to an
+occurrence, the least digest (of 32 bits; it may lead to a few texts) of a text with it.  The shuffle carries such rows of numbers only, and only of n-grams whose
 words, then pairs of words, occur often enough themselves; what did is told to tasks by a table of bits of bounded
 size, in which a wrong bit costs a row and no result.
 
@@ -38,6 +38,8 @@ MOST_BITS, CHUNK_BITS = 28, 15
 AT_ONCE, MEMO = 4 << 20, 500_000
 #: Single words meet their candidates in so many places, so that one in very many candidates is not one task's.
 SALTS = 16
+#: Up to so many languages their totals are sent to the tasks.
+MOST_LANGS = 10_000
 COUNTED = "n tinyint, fp bigint, a bigint, low bigint, high bigint, doc bigint"
 
 
@@ -101,9 +103,9 @@ class Grams:
         return np.flatnonzero(self.room >= n)
 
     def hashes(self, at: np.ndarray, n: int, which: int) -> np.ndarray:
-        """Fingerprints (``which`` 0) or checks (1) of the n-grams at ``at``."""
+        """Fingerprints (``which`` 0) or checks (1), of 32 bits, of the n-grams at ``at``."""
         found = (self.sums[which][at + n] - self.sums[which][at]) * self.powers[which][at] ^ self.salts[self.texts[at], which]
-        return found & self.mask if which == 0 else found
+        return found & self.mask if which == 0 else found >> np.uint64(32)
 
     def words(self) -> list[bytes]:
         return list(np.array(list(chain.from_iterable(self.tokens)), object)[self.kept])
@@ -184,7 +186,7 @@ def frequent(docs: DataFrame, sizes: Sequence[int], least: int, filters: dict[in
             doc = part.column("doc").to_numpy()
             if 1 in sizes:
                 many = np.bincount(grams.texts[grams.of(1)], minlength=len(doc))
-                yield _counted(0, grams.salts[:, 0] & grams.mask, grams.salts[:, 1], doc, many)
+                yield _counted(0, grams.salts[:, 0] & grams.mask, grams.salts[:, 1] >> np.uint64(32), doc, many)
             # Whether the smaller n-gram that begins at a place may be frequent.
             may = {}
             for size, bits in filters.items():
@@ -219,7 +221,7 @@ def materialise(docs: DataFrame, found: DataFrame, longest: int, mask: int) -> D
                 tokens = grams.words()
                 out: list[tuple] = []
                 if len(fps) and (zero := grams.salts[0, 0] & grams.mask) in fps:
-                    out.append((0, zero, "", grams.salts[0, 1]))
+                    out.append((0, zero, "", grams.salts[0, 1] >> np.uint64(32)))
                 for n in range(1, longest + 1):
                     at = grams.of(n)
                     hashes = grams.hashes(at, n, 0)
@@ -271,7 +273,7 @@ def phrase_counts(docs: DataFrame, *, longest: int = 5, least: int = 100, text_c
     """
     mask = (1 << fingerprint_bits) - 1
     lang, text = F.coalesce(F.col(lang_col), F.lit("und")), F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.xxhash64(lang, text).alias("doc"), lang.alias("lang"), F.encode(text, "UTF-8").alias("text"))
+    docs = docs.select(F.shiftrightunsigned(F.xxhash64(lang, text), 32).alias("doc"), lang.alias("lang"), F.encode(text, "UTF-8").alias("text"))
     levels, filters = [], {}
     for sizes in ([1], [2], list(range(3, longest + 1))):
         sizes = [n for n in sizes if n <= longest]
@@ -322,7 +324,9 @@ def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, top: in
         F.max(F.when(F.col("side") == "l", F.col("of"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("of"))).alias("r")
     )
     wide = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
-    both = both.join(totals, "lang").withColumn("top", F.lit(1000).cast("decimal(4,0)") * wide("a", 14) * wide("total", 17))
+    # One row a language; many only if something else was put there.
+    send = F.broadcast if totals.count() <= MOST_LANGS else (lambda table: table)
+    both = both.join(send(totals), "lang").withColumn("top", F.lit(1000).cast("decimal(4,0)") * wide("a", 14) * wide("total", 17))
     both = both.withColumn("below", wide("l", 17) * wide("r", 17)).withColumn("score", F.expr("top div below"))
     best = both.groupBy("lang", "phrase", "a", "total").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     # A longer candidate that holds the phrase and occurs so often has one of one word more in it that does as well.

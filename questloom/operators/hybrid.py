@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from questloom.operators.fusion import reciprocal_score
 from questloom.operators.ingest import BATCH_SIZE, embed
 from questloom.operators.knn import knn, top_ranked
-from questloom.operators.terms import NOT_PREFIX, term_search
+from questloom.operators.relevance import most_relevant
+from questloom.operators.terms import NOT_PREFIX, all_term_hits, split_filters, term_search
+from questloom.operators.trigrams import Index
 from questloom.session import stage
 
 # Hits per dense search, per term filter, and after fusion.
@@ -69,6 +71,18 @@ def lookup(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     return corpus.join(hits, "id")
 
 
+def relevant_terms(
+    questions: DataFrame, corpus: DataFrame, top: int, *, wildcards: bool = False, index: Index | None = None
+) -> DataFrame:
+    """Lexical hits like those of ``term_search``, but of each filter the ``top`` most relevant: see ``most_relevant``."""
+    positive = split_filters(questions).filter(~F.col("negative") & F.col("term").isNotNull()).drop("negative")
+    hits = all_term_hits(positive, corpus, wildcards=wildcards, index=index).withColumnRenamed("term", "set_key")
+    asked = positive.withColumnRenamed("term", "set_key").join(questions.select("question_id", "vector"), "question_id")
+    found = most_relevant(asked, stage(hits, "term-hits"), corpus, top)
+    order = Window.partitionBy("question_id").orderBy("ordinal", "position")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
 def hybrid_search(
     questions: DataFrame,
     corpus: DataFrame,
@@ -79,6 +93,7 @@ def hybrid_search(
     negative_on: str = "sentence",
     wildcards: bool = False,
     dense: Callable[[DataFrame, int], DataFrame] | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """question_id, kunnr, rank, score, sentence, chunk_text for each question.
 
@@ -87,11 +102,15 @@ def hybrid_search(
     ``fused_top`` taken, and only then excluded records dropped, so fewer can
     remain and ranks can have gaps.  ``negative_on`` is the text exclusions
     look at: ``sentence`` or ``payload``.  ``dense`` replaces the exact search,
-    e.g. by an indexed one.  ``term_top=None`` takes all lexical hits.  The questions and the corpus are read several
+    e.g. by an indexed one.  Of each filter the ``term_top`` most relevant hits count, wherever in the corpus they lie;
+    ``term_top=None`` takes all, by key.  ``index`` is the trigram index of the sentences.  The questions and the corpus are read several
     times: pass stored tables (``semantic_search`` does).
     """
     near = dense(questions, dense_top) if dense else knn(questions, corpus, dense_top)
-    lexical = term_search(questions, corpus, term_top, wildcards=wildcards)
+    if term_top is None:
+        lexical = term_search(questions, corpus, None, wildcards=wildcards, index=index)
+    else:
+        lexical = relevant_terms(questions, corpus, term_top, wildcards=wildcards, index=index)
     seen = (
         near.select("question_id", "id", F.lit(-1).alias("ordinal"), "rank")
         .unionByName(lexical.select("question_id", "id", "ordinal", "rank"))

@@ -1,136 +1,20 @@
-"""Exact term search: many terms, one pass over the text."""
+"""Exact term search: strings and sets of words, looked up in an index of trigrams."""
 
 from __future__ import annotations
 
-import re
-from bisect import insort
-from collections import Counter
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from questloom.functions.text import words
-from questloom.operators.blocks import Batches, scan_against
+from questloom.operators.relevance import most_relevant
+from questloom.operators.trigrams import Index, containing
 
-# Terms go to the tasks as an automaton, which takes several times their bytes.
-TERM_SIDE_BYTES = 16 << 20
 # Fixed value: a filter with this prefix excludes.
 NOT_PREFIX = "NOT "
 
 
-def _automaton(terms: dict[str, int]) -> ahocorasick.Automaton | None:
-    found = ahocorasick.Automaton()
-    for term, number in terms.items():
-        if term:
-            found.add_word(term, number)
-    if not len(found):
-        return None
-    found.make_automaton()
-    return found
-
-
-def _like_pattern(term: str) -> re.Pattern:
-    """``%`` is any run of characters and ``_`` any one; all else is literal."""
-    parts = {"%": ".*", "_": "."}
-    return re.compile("".join(parts.get(c, re.escape(c)) for c in term), re.DOTALL)
-
-
-class Smallest:
-    """The ``limit`` smallest ids per group seen by one task: the map side of a first-by-id.
-
-    Without a limit every hit is wanted, and ``full`` says when to hand on what has gathered.
-    """
-
-    def __init__(self, limit: int | None):
-        self.limit = limit
-        self.ids: dict[int, list] = {}
-        self.waiting = 0
-
-    def wants(self, group: int, key) -> bool:
-        kept = self.ids.get(group)
-        return self.limit is None or kept is None or len(kept) < self.limit or key < kept[-1]
-
-    def add(self, group: int, key) -> None:
-        kept = self.ids.setdefault(group, [])
-        if self.limit is None:
-            kept.append(key)
-            self.waiting += 1
-            return
-        insort(kept, key)
-        if len(kept) > self.limit:
-            kept.pop()
-
-    def full(self) -> bool:
-        return self.waiting >= 100_000
-
-    def emit(self, labels: pa.Array, label: str, id_type: pa.DataType) -> pa.RecordBatch:
-        groups = [group for group, kept in self.ids.items() for _ in kept]
-        ids = [key for kept in self.ids.values() for key in kept]
-        self.ids, self.waiting = {}, 0
-        return pa.RecordBatch.from_arrays(
-            [labels.take(pa.array(groups, pa.int64())), pa.array(ids, id_type)], names=[label, "id"]
-        )
-
-
-def _rows(batches: Batches) -> Iterator[tuple[object, str, pa.DataType]]:
-    for batch in batches:
-        column = batch.column("id")
-        for key, text in zip(column.to_pylist(), batch.column("text").to_pylist()):
-            if text is not None:
-                yield key, text, column.type
-
-
-def _literal_part(term: str) -> str:
-    """The longest run of a LIKE pattern that stands for itself."""
-    return max(re.split("[%_]", term), key=len)
-
-
-def term_kernel(limit: int | None, wildcards: bool):
-    """Terms (term) against batches (id, text): the first ``limit`` ids per term.
-
-    One pass of an automaton over a text finds the terms in it, and the longest literal parts of patterns; a
-    pattern is only tried where its part occurs.
-    """
-
-    def prepare(small: pa.Table):
-        labels = small["term"].combine_chunks()
-        terms = {t: i for i, t in enumerate(labels.to_pylist())}
-        patterns = {}
-        if wildcards:
-            patterns = {i: _like_pattern(t) for t, i in terms.items() if "%" in t or "_" in t}
-        # What the automaton looks for, and for each such text the terms it is and the patterns it opens.
-        wanted: dict[str, tuple[list[int], list[int]]] = {}
-        for term, i in terms.items():
-            part = _literal_part(term) if i in patterns else term
-            wanted.setdefault(part, ([], []))[i in patterns].append(i)
-        machine = _automaton({part: n for n, part in enumerate(wanted)})
-        opened = list(wanted.values())
-        everywhere = wanted.get("", ([], []))
-
-        def matches(text: str) -> set[int]:
-            found: set[int] = set()
-            parts = [opened[n] for n in {n for _, n in machine.iter(text)}] if machine else []
-            for plain, maybe in [*parts, everywhere]:
-                found.update(plain)
-                found.update(i for i in maybe if patterns[i].search(text))
-            return found
-
-        def run(batches: Batches) -> Batches:
-            first, id_type = Smallest(limit), pa.string()
-            for key, text, id_type in _rows(batches):
-                for term in matches(text):
-                    if first.wants(term, key):
-                        first.add(term, key)
-                if first.full():
-                    yield first.emit(labels, "term", id_type)
-            yield first.emit(labels, "term", id_type)
-
-        return run
-
-    return prepare
+def _texts(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
 def _first_by_id(hits: DataFrame, group: str, limit: int | None) -> DataFrame:
@@ -139,6 +23,33 @@ def _first_by_id(hits: DataFrame, group: str, limit: int | None) -> DataFrame:
     return placed if limit is None else placed.filter(F.col("position") <= limit)
 
 
+def all_term_hits(
+    terms: DataFrame,
+    corpus: DataFrame,
+    *,
+    id_col: str = "kunnr",
+    text_col: str = "sentence",
+    wildcards: bool = False,
+    index: Index | None = None,
+) -> DataFrame:
+    """(term, id): every row that contains each distinct term, or with ``wildcards`` matches it as in LIKE.
+
+    A pattern is looked up by the strings between its wildcards, and tried where they occur.
+    """
+    distinct = terms.select("term").filter(F.col("term").isNotNull()).distinct()
+    literals = F.split("term", "[%_]") if wildcards else F.array("term")
+    matches = None
+    if wildcards:
+        pattern = F.concat(F.lit("%"), F.replace("set_key", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+        matches = F.like(F.col("text"), pattern)
+    sets = distinct.select(F.col("term").alias("set_key"), F.array_distinct(literals).alias("literals"))
+    if wildcards:  # the empty strings beside wildcards tell nothing if there are others
+        some = F.array_remove("literals", "")
+        sets = sets.withColumn("literals", F.when(F.size(some) > 0, some).otherwise(F.array(F.lit(""))))
+    hits = containing(sets, _texts(corpus, id_col, text_col), matches=matches, index=index)
+    return hits.withColumnRenamed("set_key", "term")
+
+
 def term_hits(
     terms: DataFrame,
     corpus: DataFrame,
@@ -147,22 +58,10 @@ def term_hits(
     id_col: str = "kunnr",
     text_col: str = "sentence",
     wildcards: bool = False,
-    limit_bytes: int | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """(term, id, position): the first ``limit`` rows by id (None: all) that contain each distinct term."""
-    small = terms.select("term").filter(F.col("term").isNotNull()).distinct()
-    large = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hits = scan_against(
-        large,
-        small,
-        term_kernel(limit, wildcards),
-        f"term string, id {dict(large.dtypes)['id']}",
-        row_bytes=F.octet_length("term") + 16,
-        large_bytes=F.coalesce(F.octet_length("text"), F.lit(0)) + 32,
-        small_key="term",
-        large_key="id",
-        limit_bytes=limit_bytes or TERM_SIDE_BYTES,
-    )
+    hits = all_term_hits(terms, corpus, id_col=id_col, text_col=text_col, wildcards=wildcards, index=index)
     return _first_by_id(hits, "term", limit)
 
 
@@ -187,23 +86,18 @@ def term_search(
     id_col: str = "kunnr",
     text_col: str = "sentence",
     wildcards: bool = False,
-    limit_bytes: int | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """Lexical hits of each positive filter: question_id, ordinal, id, position, rank.
 
     ``rank`` runs on over the filters of a question: the hits of its first
     filter come first.  Matching is case-sensitive and literal; with
-    ``wildcards`` a ``%`` or ``_`` in a term acts as in LIKE.
+    ``wildcards`` a ``%`` or ``_`` in a term acts as in LIKE.  ``index`` is the trigram index of the corpus, if there
+    is one.  Ids must be unique.
     """
     positive = split_filters(questions).filter(~F.col("negative")).drop("negative")
     found = term_hits(
-        positive,
-        corpus,
-        limit,
-        id_col=id_col,
-        text_col=text_col,
-        wildcards=wildcards,
-        limit_bytes=limit_bytes,
+        positive, corpus, limit, id_col=id_col, text_col=text_col, wildcards=wildcards, index=index
     )
     order = Window.partitionBy("question_id").orderBy("ordinal", "position")
     return positive.join(found, "term").select(
@@ -211,45 +105,21 @@ def term_search(
     )
 
 
-def all_words_kernel(limit: int | None, any_hit: bool):
-    """Distinct word sets (set_key, words) against batches (id, text).
-
-    One pass of an automaton over a text finds which of all words it holds.  A set is looked at where its anchor
-    occurs, the word that the fewest sets have (the longest of those), so that words in common draw no crowd.  With
-    ``any_hit`` a set that has a row is not looked at again.
-    """
-
-    def prepare(small: pa.Table):
-        labels = small["set_key"].combine_chunks()
-        sets = [set(w) for w in small["words"].to_pylist()]
-        held = Counter(w for words_ in sets for w in words_)
-        numbers = {w: n for n, w in enumerate(held)}
-        wanted = [frozenset(numbers[w] for w in words_) for words_ in sets]
-        asking: dict[int, list[int]] = {}
-        for i, words_ in enumerate(sets):
-            anchor = min(words_, key=lambda w: (held[w], -len(w), w))
-            asking.setdefault(numbers[anchor], []).append(i)
-        machine = _automaton(numbers)
-
-        def run(batches: Batches) -> Batches:
-            first, id_type = Smallest(limit), pa.string()
-            open_sets = {anchor: list(those) for anchor, those in asking.items()}
-            for key, text, id_type in _rows(batches):
-                found = {n for _, n in machine.iter(text)} if machine else set()
-                for anchor in found & open_sets.keys():
-                    hits = [i for i in open_sets[anchor] if wanted[i] <= found]
-                    for i in hits:
-                        if first.wants(i, key):
-                            first.add(i, key)
-                    if any_hit and hits:
-                        open_sets[anchor] = [i for i in open_sets[anchor] if not wanted[i] <= found]
-                if first.full():
-                    yield first.emit(labels, "set_key", id_type)
-            yield first.emit(labels, "set_key", id_type)
-
-        return run
-
-    return prepare
+def word_set_hits(
+    questions: DataFrame,
+    corpus: DataFrame,
+    *,
+    intent_col: str = "intent",
+    id_col: str = "kunnr",
+    text_col: str = "sentence",
+    index: Index | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(question_id, set_key) of questions with words, and (set_key, id) of all rows that contain each set."""
+    listed = F.array_sort(F.array_distinct(words(F.col(intent_col))))
+    # Words hold no white space, so joined by spaces they are a key that can be taken apart.
+    asked = questions.select("question_id", F.array_join(listed, " ").alias("set_key")).filter("set_key <> ''")
+    sets = asked.select("set_key").distinct().withColumn("literals", F.split("set_key", " "))
+    return asked, containing(sets, _texts(corpus, id_col, text_col), index=index)
 
 
 def keyword_fallback(
@@ -260,45 +130,20 @@ def keyword_fallback(
     intent_col: str = "intent",
     id_col: str = "kunnr",
     text_col: str = "sentence",
-    limit_bytes: int | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
     """(question_id, id, position): the first ``limit`` rows by id (None: all) that contain every word of the intent.
 
-    An intent without words matches nothing.  Intents with the same words are looked for once.
+    An intent without words matches nothing.  Intents with the same words are looked for once.  Where the questions and
+    the corpus have a ``vector``, the first rows are the closest ones, then those by id.
     """
-    asked, hits = _word_set_hits(questions, corpus, limit, False, intent_col, id_col, text_col, limit_bytes)
-    return asked.join(_first_by_id(hits, "set_key", limit), "set_key").select("question_id", "id", "position")
-
-
-def _word_set_hits(
-    questions: DataFrame,
-    corpus: DataFrame,
-    limit: int | None,
-    any_hit: bool,
-    intent_col: str,
-    id_col: str,
-    text_col: str,
-    limit_bytes: int | None,
-) -> tuple[DataFrame, DataFrame]:
-    """(question_id, set_key) of questions with words, and (set_key, id) of the rows found for each set."""
-    listed = F.array_sort(F.array_distinct(words(F.col(intent_col))))
-    # Words hold no white space, so joined by spaces they are a key that can be taken apart.
-    asked = questions.select("question_id", F.array_join(listed, " ").alias("set_key")).filter("set_key <> ''")
-    small = asked.select("set_key").distinct().withColumn("words", F.split("set_key", " "))
-    large = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    types = dict(small.dtypes) | dict(large.dtypes)
-    hits = scan_against(
-        large,
-        small,
-        all_words_kernel(limit, any_hit),
-        f"set_key string, id {types['id']}",
-        row_bytes=F.octet_length("set_key") * 2 + 32,
-        large_bytes=F.coalesce(F.octet_length("text"), F.lit(0)) + 32,
-        small_key="set_key",
-        large_key="id",
-        limit_bytes=limit_bytes or TERM_SIDE_BYTES,
+    asked, hits = word_set_hits(
+        questions, corpus, intent_col=intent_col, id_col=id_col, text_col=text_col, index=index
     )
-    return asked, hits
+    if limit is not None and "vector" in questions.columns and "vector" in corpus.columns:
+        one = asked.join(questions.select("question_id", "vector"), "question_id").withColumn("ordinal", F.lit(0))
+        return most_relevant(one, hits, corpus, limit, id_col=id_col).drop("ordinal")
+    return asked.join(_first_by_id(hits, "set_key", limit), "set_key").select("question_id", "id", "position")
 
 
 def prove_absence(
@@ -308,9 +153,11 @@ def prove_absence(
     intent_col: str = "intent",
     id_col: str = "kunnr",
     text_col: str = "sentence",
-    limit_bytes: int | None = None,
+    index: Index | None = None,
 ) -> DataFrame:
-    """The questions for which no record contains every word of the intent; a task stops looking at its first hit."""
-    asked, hits = _word_set_hits(questions, corpus, 1, True, intent_col, id_col, text_col, limit_bytes)
+    """The questions for which no record contains every word of the intent."""
+    asked, hits = word_set_hits(
+        questions, corpus, intent_col=intent_col, id_col=id_col, text_col=text_col, index=index
+    )
     found = asked.join(hits.select("set_key").distinct(), "set_key").select("question_id")
     return questions.join(found, "question_id", "left_anti")

@@ -75,6 +75,23 @@ LEXICAL_SQL = """
       FROM f JOIN c ON contains(c.sentence, f.term) WHERE NOT f.negative
     ) WHERE position <= 20
 """
+# For each filter the 20 hits that most of the question's filters find, then the closest, then the first keys.
+RELEVANT_SQL = """
+    SELECT question_id, ordinal, id, position,
+           row_number() OVER (PARTITION BY question_id ORDER BY ordinal, position) AS rank
+    FROM (
+      SELECT f.question_id, f.ordinal, c.kunnr AS id, row_number() OVER (
+               PARTITION BY f.question_id, f.ordinal
+               ORDER BY n.n_filters DESC,
+                        round(list_inner_product(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])), 11) DESC NULLS LAST, c.kunnr
+             ) AS position
+      FROM f JOIN c ON contains(c.sentence, f.term) JOIN q ON q.question_id = f.question_id
+      JOIN (SELECT f.question_id, c.kunnr, count(DISTINCT f.term) AS n_filters
+            FROM f JOIN c ON contains(c.sentence, f.term) WHERE NOT f.negative GROUP BY ALL) n
+        ON n.question_id = f.question_id AND n.kunnr = c.kunnr
+      WHERE NOT f.negative
+    ) WHERE position <= 20
+"""
 BASE_SQL = f"""
     WITH q AS ({ASKED_SQL}), c AS ({CORPUS_SQL}), f AS ({FILTERS_SQL}),
          dense AS ({dense_sql(20)}), lexical AS ({LEXICAL_SQL}),
@@ -220,7 +237,10 @@ def v3_wildcards(spark: SparkSession, folder: str) -> DataFrame:
     return term_search(patterns, corpus(spark, folder), wildcards=True)
 
 
-def hybrid_check(negative_text: str, base: str = BASE_SQL) -> str:
+HYBRID_SQL = BASE_SQL.replace(LEXICAL_SQL, RELEVANT_SQL)
+
+
+def hybrid_check(negative_text: str, base: str = HYBRID_SQL) -> str:
     return f"""
         {base}
         SELECT question_id, id AS kunnr, rank, round(score, 6) AS score, {PAYLOAD_SQL} AS chunk_text
@@ -242,7 +262,7 @@ def shown(found: DataFrame) -> DataFrame:
     "v4_exclude_payload",
     hybrid_check(
         PAYLOAD_SQL,
-        BASE_SQL.replace("0 AS ordinal, city", "0 AS ordinal, country").replace("1, country, true", "1, city, true"),
+        HYBRID_SQL.replace("0 AS ordinal, city", "0 AS ordinal, country").replace("1, country, true", "1, city, true"),
     ),
 )
 def v4(spark: SparkSession, folder: str) -> DataFrame:
@@ -351,14 +371,14 @@ def v8_customers(spark: SparkSession, folder: str) -> DataFrame:
     r"""
     WITH t AS (SELECT conv_id, turn,
                       list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS words
-               FROM conversations WHERE role = 'user')
+               FROM conversations)
     SELECT conv_id, turn FROM t
     WHERE len(words) = 0 OR NOT EXISTS (
       SELECT 1 FROM documents d WHERE len(list_filter(t.words, lambda w: NOT contains(d.text, w))) = 0)
     """,
 )
 def v9(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").filter("role = 'user'").select(
+    turns = table(spark, folder, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
         "conv_id",
         "turn",

@@ -160,17 +160,17 @@ def test_second_chance(spark):
     c = customers(spark)
     cases = [(body(False), None), (body(False), None), (body(True, "nowhere", "timetable"), None), (None, "offline")]
     settled = settle(replied(spark, *cases)).withColumn(
-        "intent", F.when(F.col("question_id") == 0, "Omega Corp").otherwise(F.col("intent"))
+        "intent", F.when(F.col("question_id") == 0, "Zephyr Lines").otherwise(F.col("intent"))
     )
     done = rows(second_chance(settled, c, rule_model, **QUIET), "question_id", "status", "source_chunk_id")
-    assert done == [(0, "VERIFIED", "CUST99"), (1, "ABSENT", ""), (2, "HALLUCINATED", None), (3, "DEGRADED", None)]
+    assert done == [(0, "VERIFIED", "K-38"), (1, "ABSENT", ""), (2, "HALLUCINATED", None), (3, "DEGRADED", None)]
 
     def offline(prompts):
         raise ConnectionError("offline")
 
     kept = rows(second_chance(settled, c, offline, **QUIET), "question_id", "status")
     assert kept[:2] == [(0, "NOT_FOUND"), (1, "ABSENT")]
-    retried = settled.withColumn("intent", F.lit("Omega Corp"))
+    retried = settled.withColumn("intent", F.lit("Zephyr Lines"))
     again = rows(second_chance(retried, c, rule_model, retry_rejected=True, **QUIET), "question_id", "status")
     assert again == [(0, "VERIFIED"), (1, "VERIFIED"), (2, "VERIFIED"), (3, "DEGRADED")]
 
@@ -178,8 +178,8 @@ def test_second_chance(spark):
 def entries(spark):
     return spark.createDataFrame(
         [
-            (1, "Where is Acme?", [1.0, 0.0], "first", "", ""),
-            (2, " where is ACME? ", [1.0, 0.0], "second", "", ""),
+            (1, "Where is Nordlicht?", [1.0, 0.0], "first", "", ""),
+            (2, " where is NORDLICHT? ", [1.0, 0.0], "second", "", ""),
             (3, "Étage", [0.0, 1.0], "third", "", ""),
         ],
         "entry_id long, question string, vector array<float>, answer string, exact_quote string, source_chunk_id string",
@@ -187,7 +187,7 @@ def entries(spark):
 
 
 def test_reuse(spark):
-    q = asked(spark, "WHERE IS ACME?\n", "étage", "Étage", "other")
+    q = asked(spark, "WHERE IS NORDLICHT?\n", "étage", "Étage", "other")
     assert rows(reuse_exact(q, entries(spark)), "question_id", "answer") == [(0, "first"), (2, "third")]
     v = spark.createDataFrame(
         [(0, "x", [0.99, 0.141]), (1, "y", [0.7, 0.7]), (2, "z", [0.0, 1.0]), (3, "w", [1.0])],
@@ -217,7 +217,7 @@ def flow(spark, questions, model=rule_model, **options):
 
 def test_whole_flow(spark):
     old = entries(spark).withColumn("vector", F.array(F.lit(0.0).cast("float")))
-    q = asked(spark, "Where is Omega Corp?", "  ", "x" * 5000, "where IS acme?", "Who is not in Berlin")
+    q = asked(spark, "Where is Zephyr Lines?", "  ", "x" * 5000, "where IS nordlicht?", "Who is not in Tromsø")
     options = {"answered": old, "scorer": overlap_scorer}
     got = {r["question_id"]: r for r in flow(spark, q, max_question_bytes=4096, **options).collect()}
     assert {i: r["status"] for i, r in got.items()} == {
@@ -228,15 +228,15 @@ def test_whole_flow(spark):
         4: "VERIFIED",
     }
     assert got[3]["answer"] == "first"
-    assert got[0]["source_chunk_id"] == "CUST99"
-    assert "Berlin" not in got[4]["exact_quote"]
+    assert got[0]["source_chunk_id"] == "K-38"
+    assert "Tromsø" not in got[4]["exact_quote"]
     assert got[3]["entry_id"] == 1 and got[0]["vector"] and got[1]["vector"] is None
     # Without a limit the long question is asked like any other.
     assert flow(spark, q.filter("question_id = 2"), **options).first()["status"] != "REJECTED_TOO_LONG"
 
 
 def test_remembered_answers_need_no_model(spark):
-    q = asked(spark, "Where is Omega Corp?", "  ", "Who is not in Berlin")
+    q = asked(spark, "Where is Zephyr Lines?", "  ", "Who is not in Tromsø")
     at = F.lit("2024-05-01 00:00:00")
     first = stage(flow(spark, q), "first")
     known = remember(first, None, at)
@@ -248,7 +248,7 @@ def test_remembered_answers_need_no_model(spark):
     again = stage(flow(spark, q, model=silent, answered=known), "again")
     assert rows(again, "question_id", "status") == [(0, "REUSED_EXACT"), (1, "REJECTED_EMPTY"), (2, "REUSED_EXACT")]
     later = remember(again.filter("question_id = 0"), known, F.lit("2024-06-01 00:00:00"), capacity=1)
-    assert rows(later, "question") == [("Where is Omega Corp?",)]
+    assert rows(later, "question") == [("Where is Zephyr Lines?",)]
 
 
 def test_bad_reply_is_final(spark):
@@ -272,7 +272,7 @@ def test_each_text_is_embedded_once(spark):
         return base(texts)
 
     records = customers(spark).drop("vector")
-    found = semantic_search(asked(spark, "Where is Omega Corp?", "Who is in Berlin?"), records, counting, dense_top=2)
+    found = semantic_search(asked(spark, "Where is Zephyr Lines?", "Who is in Tromsø?"), records, counting, dense_top=2)
     assert found.select("question_id").distinct().count() == 2
     assert calls.value == 2 + records.count()
 
@@ -281,14 +281,14 @@ def test_flow_with_the_model_down(spark):
     def offline(prompts):
         raise ConnectionError("no route")
 
-    got = flow(spark, asked(spark, "Where is Omega Corp?"), model=offline).first()
+    got = flow(spark, asked(spark, "Where is Zephyr Lines?"), model=offline).first()
     assert got["status"] == "DEGRADED" and "no route" in got["message"]
     assert len(got["retrieved_chunks"]) == 5
 
 
 def test_similar_question_is_reused(spark):
-    first = flow(spark, asked(spark, "Where is Omega Corp?"))
-    vectors = HashingEmbedder(16)(["Where is Omega Corp?"])
+    first = flow(spark, asked(spark, "Where is Zephyr Lines?"))
+    vectors = HashingEmbedder(16)(["Where is Zephyr Lines?"])
     unit = (vectors / (vectors**2).sum() ** 0.5)[0].tolist()
     old = first.select(
         F.lit(1).cast("long").alias("entry_id"),
@@ -299,12 +299,12 @@ def test_similar_question_is_reused(spark):
         "source_chunk_id",
     )
     got = flow(spark, asked(spark, "omega corp: where is?"), answered=old).first()
-    assert got["status"] == "REUSED_SIMILAR" and got["source_chunk_id"] == "CUST99"
+    assert got["status"] == "REUSED_SIMILAR" and got["source_chunk_id"] == "K-38"
 
 
 def test_text_to_sql(spark):
     spark.createDataFrame([("1", "DE"), ("2", "FR")], "kunnr string, land1 string").createOrReplaceTempView("kna1")
-    q = asked(spark, "How many are in DE?", "How many are in FR?", "Delete all", "broken", "wrong")
+    q = asked(spark, "How many are in NO?", "How many are in FR?", "Delete all", "broken", "wrong")
 
     def model(prompts):
         if any("broken" in p for p in prompts):
@@ -331,7 +331,7 @@ def test_text_to_sql(spark):
 def test_routing(spark):
     spark.createDataFrame([("1", "DE")], "kunnr string, land1 string").createOrReplaceTempView("kna1")
     got = route_and_answer(
-        asked(spark, "How many are in DE?", "Where is Omega Corp?"),
+        asked(spark, "How many are in NO?", "Where is Zephyr Lines?"),
         customers(spark),
         model=rule_model,
         embedder=HashingEmbedder(16),
@@ -345,16 +345,16 @@ def test_routing(spark):
 
 def test_question_stream(spark, path):
     source, target = path("src"), path("out")
-    spark.createDataFrame([("Where is Acme?\n\n  New one  ",)], "value string").write.text(source)
+    spark.createDataFrame([("Where is Nordlicht?\n\n  New one  ",)], "value string").write.text(source)
     stream = stream_questions(read_question_stream(spark, source), entries(spark))
     stream.writeStream.format("parquet").option("path", target).option(
         "checkpointLocation", path("progress")
     ).trigger(availableNow=True).start().awaitTermination()
     got = {r["question"]: r for r in spark.read.parquet(target).collect()}
-    assert got["Where is Acme?"]["answer"] == "first" and got["Where is Acme?"]["prompt"] is None
+    assert got["Where is Nordlicht?"]["answer"] == "first" and got["Where is Nordlicht?"]["prompt"] is None
     assert 'Question: "New one"' in got["New one"]["prompt"]
 
 
 def test_scorer_must_answer_every_pair(spark):
     with pytest.raises(Exception, match="scorer returned"):
-        flow(spark, asked(spark, "Where is Omega Corp?"), scorer=lambda pairs: [0.0]).collect()
+        flow(spark, asked(spark, "Where is Zephyr Lines?"), scorer=lambda pairs: [0.0]).collect()

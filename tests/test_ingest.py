@@ -40,14 +40,14 @@ def load(spark, source, target, **options):
 
 
 def test_ingest_counts_and_is_repeatable(spark, csv, path):
-    source, target = csv(HEADER + "DUMMY001,Acme Corp,Berlin,DE\nDUMMY002,Global Tech,Munich,DE\n"), path("corpus")
+    source, target = csv(HEADER + "P-1,Nordlicht Glas,Berlin,DE\nP-2,Quarry Glas,Munich,DE\n"), path("corpus")
     assert load(spark, source, target, dim=16) == 2
     assert load(spark, source, target) == 0
     assert load(spark, source, target, overwrite=True) == 2
     stored = read_corpus(spark, target)
     assert [f.name for f in stored.schema] == CORPUS_SCHEMA.names
     assert rows(stored, "sentence")[0] == (
-        "Customer DUMMY001 is named Acme Corp and is located in Berlin, DE.",
+        "Customer P-1 is named Nordlicht Glas and is located in Berlin, DE.",
     )
     norms = stored.select(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("n"))
     assert all(abs(r["n"] - 1) < 1e-6 for r in norms.collect())
@@ -71,13 +71,13 @@ def test_null_keys_are_one_record(spark, csv, path):
 
 
 def test_quotes_and_extra_columns(spark, csv, path):
-    text = 'land1,extra,kunnr,name1,ort01\nIE,1,ESC01,O\'Connor Tech,Dublin\nDE,2,00001042,"A ""B"", C",Berlin\n'
+    text = 'land1,extra,kunnr,name1,ort01\nIE,1,Q-01,D\'Arcy Glas,Dublin\nDE,2,00001042,"A ""B"", C",Berlin\n'
     got = rows(read_records(spark, csv(text)), "kunnr", "name1", "ort01", "land1")
-    assert got == [("00001042", 'A "B", C', "Berlin", "DE"), ("ESC01", "O'Connor Tech", "Dublin", "IE")]
+    assert got == [("00001042", 'A "B", C', "Berlin", "DE"), ("Q-01", "D'Arcy Glas", "Dublin", "IE")]
     target = path("corpus")
     load(spark, csv(text), target)
-    q = spark.createDataFrame([(1, "O'Connor")], "question_id int, intent string")
-    assert rows(keyword_fallback(q, read_corpus(spark, target)), "id") == [("ESC01",)]
+    q = spark.createDataFrame([(1, "D'Arcy")], "question_id int, intent string")
+    assert rows(keyword_fallback(q, read_corpus(spark, target)), "id") == [("Q-01",)]
     assert load(spark, csv(text), target) == 0
 
 

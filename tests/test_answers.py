@@ -298,7 +298,7 @@ def test_similar_question_is_reused(spark):
         "exact_quote",
         "source_chunk_id",
     )
-    got = flow(spark, asked(spark, "omega corp: where is?"), answered=old).first()
+    got = flow(spark, asked(spark, "zephyr lines: where is?"), answered=old).first()
     assert got["status"] == "REUSED_SIMILAR" and got["source_chunk_id"] == "K-38"
 
 

@@ -304,7 +304,7 @@ def test_similar_question_is_reused(spark):
 
 def test_text_to_sql(spark):
     spark.createDataFrame([("1", "DE"), ("2", "FR")], "kunnr string, land1 string").createOrReplaceTempView("kna1")
-    q = asked(spark, "How many are in NO?", "How many are in FR?", "Delete all", "broken", "wrong")
+    q = asked(spark, "How many are in DE?", "How many are in FR?", "Delete all", "broken", "wrong")
 
     def model(prompts):
         if any("broken" in p for p in prompts):
@@ -331,7 +331,7 @@ def test_text_to_sql(spark):
 def test_routing(spark):
     spark.createDataFrame([("1", "DE")], "kunnr string, land1 string").createOrReplaceTempView("kna1")
     got = route_and_answer(
-        asked(spark, "How many are in NO?", "Where is Zephyr Lines?"),
+        asked(spark, "How many are in DE?", "Where is Zephyr Lines?"),
         customers(spark),
         model=rule_model,
         embedder=HashingEmbedder(16),

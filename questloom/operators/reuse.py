@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from questloom.functions.text import fold_ascii
+from questloom.operators.cuts import latest
 from questloom.operators.knn import knn
+from questloom.session import stage
 
 # Fixed value: how similar a question must be.
 SIMILAR_THRESHOLD = 0.95
+#: Up to so many entries are kept by a top-k of each task; for more, the place of the cut is counted out.
+SORTED_CAPACITY = 10_000
 
 ANSWER_FIELDS = ["entry_id", "answer", "exact_quote", "source_chunk_id"]
 
@@ -56,12 +60,13 @@ def reuse_similar(
 def retain_recent(answered: DataFrame, uses: DataFrame | None = None, capacity: int | None = None) -> DataFrame:
     """The ``capacity`` most recently used entries (by default all), one per question text.
 
-    ``uses`` (entry_id, used_at) are hits since; each refreshes its entry.
+    ``uses`` (entry_id, used_at) are hits since; each refreshes its entry.  Of entries last used at the same time, the
+    earlier ones stay.  No task sees more than ``SORTED_CAPACITY`` entries in order, whatever the capacity.
     """
     entries = answered
     if uses is not None:
-        latest = uses.groupBy("entry_id").agg(F.max("used_at").alias("_used"))
-        entries = answered.join(latest, "entry_id", "left").withColumn(
+        last_use = uses.groupBy("entry_id").agg(F.max("used_at").alias("_used"))
+        entries = answered.join(last_use, "entry_id", "left").withColumn(
             "last_accessed", F.greatest("last_accessed", "_used")
         ).drop("_used")
     rest = [c for c in entries.columns if c not in ("entry_id", "last_accessed")]
@@ -76,4 +81,6 @@ def retain_recent(answered: DataFrame, uses: DataFrame | None = None, capacity:
     )
     if capacity is None:
         return merged
+    if capacity > SORTED_CAPACITY:
+        return latest(stage(merged, "entries"), "last_accessed", "entry_id", capacity)
     return merged.orderBy(F.col("last_accessed").desc(), F.col("entry_id").asc()).limit(capacity)

@@ -18,6 +18,7 @@ from questloom.operators.fusion import RERANK_TOP, Scorer, rerank
 from questloom.operators.gate import run_sql, statement_verdict
 from questloom.operators.hybrid import chunk_payload, hybrid_search, lookup
 from questloom.operators.ingest import Embedder, embed
+from questloom.operators.ledger import ask_once
 from questloom.operators.reuse import SIMILAR_THRESHOLD, retain_recent, reuse_exact, reuse_similar
 from questloom.operators.terms import keyword_fallback
 from questloom.session import new_path, stage
@@ -91,6 +92,8 @@ def apply_model(
     batch_size: int = 16,
     per_task: bool = False,
     key_col: str = "question_id",
+    ledger: str | None = None,
+    model_version: str = "",
 ) -> DataFrame:
     """Add ``raw`` and ``model_error``: a failing call is a value, not a failing job.
 
@@ -99,7 +102,17 @@ def apply_model(
     final.  With
     ``per_task`` the model is a factory, called once per task (a client).
     ``key_col`` should tell rows apart: it decides which task a row goes to.
+
+    With ``ledger``, the path of a table of replies, only prompts that have no reply of ``model_version`` in it are
+    sent, each once; their replies are added to it (``ledger.ask_once``).
     """
+    if ledger is not None:
+        options = {"tries": tries, "pause": pause, "batch_size": batch_size, "per_task": per_task}
+
+        def ask(prompts: DataFrame) -> DataFrame:
+            return apply_model(prompts, model, prompt_col, key_col="prompt_key", **options)
+
+        return ask_once(stage(df, "prompts"), ask, ledger, model_version, prompt_col)
     columns = df.columns
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A call costs far more than its bytes: share the rows out by number, not by size.
@@ -483,6 +496,8 @@ def route_and_answer(
     table: str = "",
     tries: int = MODEL_TRIES,
     pause: float = MODEL_PAUSE_SECONDS,
+    ledger: str | None = None,
+    model_version: str = "",
     **options,
 ) -> DataFrame:
     """Route every question to SQL or to the corpus; all answers with their route.
@@ -490,7 +505,7 @@ def route_and_answer(
     A question for SQL gets its query, the gate's verdict on it, and the ``result_id`` under which ``run_statements``
     stores the rows.
     """
-    model_options = {"tries": tries, "pause": pause}
+    model_options = {"tries": tries, "pause": pause, "ledger": ledger, "model_version": model_version}
     routed = stage(
         resolve_route(apply_model(build_prompts(questions, "route", table), model, **model_options)),
         "routes",

@@ -29,6 +29,7 @@ from questloom.operators.answers import (
 from questloom.operators.hybrid import chunk_payload
 from questloom.operators.ingest import corpus_columns, embed, render_sentence
 from questloom.operators.knn import knn
+from questloom.operators.ledger import prompt_key, read_ledger
 from questloom.operators.reuse import retain_recent, reuse_exact, reuse_similar
 from questloom.plans.record_queries import CORPUS_SQL, KNA1_SQL, SPACE_SQL, corpus, kna1, unit_letters_sql
 from questloom.plans.registry import query
@@ -158,6 +159,30 @@ def a4(spark: SparkSession, folder: str) -> DataFrame:
     return apply_model(source, measuring_model, pause=0.0).select("question_id", "raw", "model_error")
 
 
+def length_model(prompts: list[str]) -> list[str]:
+    return [str(len(p)) for p in prompts]
+
+
+@query(
+    "a4_ask_once",
+    f"""
+    WITH p AS (SELECT question_id, role, role || ': ' || question AS prompt FROM ({TURNS_SQL})),
+         seen AS (SELECT DISTINCT prompt FROM p WHERE role = 'user')
+    SELECT question_id, CAST(length(prompt) AS VARCHAR) AS raw, seen.prompt IS NOT NULL AS known
+    FROM p LEFT JOIN seen USING (prompt)
+    """,
+)
+def a4_once(spark: SparkSession, folder: str) -> DataFrame:
+    """All turns as prompts, after the users' turns were asked by an earlier run over the same ledger."""
+    prompts = turns(spark, folder).select("question_id", "role", F.concat_ws(": ", "role", "question").alias("prompt"))
+    ledger = new_path(spark, "ledger")
+    apply_model(prompts.where("role = 'user'"), length_model, pause=0.0, ledger=ledger)
+    known = stage(read_ledger(spark, ledger, "").select(F.col("prompt_key").alias("_known")), "known")
+    asked = apply_model(prompts, length_model, pause=0.0, ledger=ledger)
+    marked = asked.join(known, prompt_key("prompt", "") == F.col("_known"), "left")
+    return marked.select("question_id", "raw", F.col("_known").isNotNull().alias("known"))
+
+
 # Replies in ten forms, the form chosen by the row; the first six are readable.
 FORM_SQL = "(conv_id + turn) % 10"
 

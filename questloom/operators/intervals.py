@@ -21,6 +21,8 @@ BITS = 4
 LEVELS = 16
 #: A node of more points is dealt out in parts of about so many.
 NODE_ROWS = 1 << 18
+#: Up to so many nodes of intervals (12 bytes each) are sent to the tasks that count points.
+SENT_NODES = 1 << 20
 
 
 def interval_nodes(low: str, high: str) -> Column:
@@ -65,11 +67,15 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
         return placed.select(*map(_quoted, rows.columns), F.col("_place.level").alias("_level"), F.col("_place.node").alias("_node"))
 
     all_columns = list(map(_quoted, [*points.columns, *intervals.columns]))
-    crowded = places(points.select(_quoted(at))).groupBy("_level", "_node").count().where(F.col("count") > node_rows)
-    # At most (levels x points / node_rows) nodes; only those that an interval has.
-    parts = F.ceil(F.col("count") / node_rows).cast("bigint").alias("_parts")
-    crowded = crowded.select("_level", "_node", parts).join(pieces.select("_level", "_node"), ["_level", "_node"], "left_semi")
-    crowded = stage(crowded, "crowded-nodes")
+    used = stage(pieces.select("_level", "_node").distinct(), "nodes")
+    counted = places(points.select(_quoted(at)))
+    # Nodes that no interval has need no count.  Where there are many, counting comes first: it is not skewed by a node.
+    if few := used.count() <= SENT_NODES:
+        counted = counted.join(F.broadcast(used), ["_level", "_node"], "left_semi")
+    crowded = counted.groupBy("_level", "_node").count().where(F.col("count") > node_rows)
+    crowded = crowded if few else crowded.join(used, ["_level", "_node"], "left_semi")
+    # At most (levels x points / node_rows) nodes.
+    crowded = stage(crowded.select("_level", "_node", F.ceil(F.col("count") / node_rows).cast("bigint").alias("_parts")), "crowded-nodes")
     if crowded.isEmpty():
         return places(points).join(pieces, ["_level", "_node"]).select(*all_columns)
     # Stored with the number that deals them out, so that a task that is run again deals alike.

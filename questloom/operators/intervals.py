@@ -68,20 +68,24 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
 
     all_columns = list(map(_quoted, [*points.columns, *intervals.columns]))
     used = stage(pieces.select("_level", "_node").distinct(), "nodes")
-    counted = places(points.select(_quoted(at)))
-    # Nodes that no interval has need no count.  Where there are many, counting comes first: it is not skewed by a node.
-    if few := used.count() <= SENT_NODES:
-        counted = counted.join(F.broadcast(used), ["_level", "_node"], "left_semi")
-    crowded = counted.groupBy("_level", "_node").count().where(F.col("count") > node_rows)
+    few = used.count() <= SENT_NODES
+
+    def met(rows: DataFrame) -> DataFrame:
+        # Nodes that no interval has need no count and no shuffle.  Beyond what can be sent, a join on them would be
+        # skewed by a crowded node: then all are counted.
+        placed = places(rows)
+        return placed.join(F.broadcast(used), ["_level", "_node"], "left_semi") if few else placed
+
+    crowded = met(points.select(_quoted(at))).groupBy("_level", "_node").count().where(F.col("count") > node_rows)
     crowded = crowded if few else crowded.join(used, ["_level", "_node"], "left_semi")
     # At most (levels x points / node_rows) nodes.
     crowded = stage(crowded.select("_level", "_node", F.ceil(F.col("count") / node_rows).cast("bigint").alias("_parts")), "crowded-nodes")
     if crowded.isEmpty():
-        return places(points).join(pieces, ["_level", "_node"]).select(*all_columns)
+        return met(points).join(pieces, ["_level", "_node"]).select(*all_columns)
     # Stored with the number that deals them out, so that a task that is run again deals alike.
     points = stage(points.withColumn("_of", F.floor(F.rand() * (1 << 52))), "points")
     part = F.coalesce(F.pmod("_of", "_parts"), F.lit(0)).alias("_part")
-    dealt = places(points).join(crowded, ["_level", "_node"], "left").select("*", part).drop("_parts")
+    dealt = met(points).join(crowded, ["_level", "_node"], "left").select("*", part).drop("_parts")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
     copied = pieces.join(crowded, ["_level", "_node"], "left").select(*map(_quoted, intervals.columns), "_level", "_node", copies)
     return dealt.join(copied, ["_level", "_node", "_part"]).select(*all_columns)

@@ -13,6 +13,7 @@ from questloom.functions.vectors import normalize_rows, require_vector
 from questloom.operators.ann import add_to_index, build_vector_index, read_index_keys
 from questloom.session import stage
 from questloom.sources.corpus import read_corpus, write_corpus
+from questloom.sources.keyed import BUCKETS, KeyedTable, arrange, is_keyed, merge_keyed, open_keyed
 
 # The record columns, the default, the sentence, the batch bounds.
 RECORD_COLUMNS = ["kunnr", "name1", "ort01", "land1"]
@@ -53,18 +54,21 @@ def _orderable(records: DataFrame, columns: list[str]) -> bool:
     return not any(kinds[c].startswith(("map", "variant")) for c in columns)
 
 
-def find_existing(keys: DataFrame, corpus: DataFrame, key: str = "kunnr") -> DataFrame:
+def find_existing(keys: DataFrame, corpus: DataFrame | KeyedTable, key: str = "kunnr") -> DataFrame:
     """The distinct keys that the corpus already holds.  Null keys are not looked up.
 
-    Reads the key column of the corpus only.  Written as a semi join from the
+    Reads the key column of the corpus only, and of a corpus in buckets only the files that can hold one of the keys.  Written as a semi join from the
     corpus side so that a small batch of keys is broadcast to the corpus scan
     (decided by its size at run time) and the corpus is not shuffled for it.
     """
     wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    if isinstance(corpus, KeyedTable):
+        wanted = stage(wanted, "wanted-keys")
+        corpus = corpus.holding(wanted)
     return corpus.select(key).join(wanted, key, "left_semi").distinct()
 
 
-def new_records(records: DataFrame, corpus: DataFrame | None, key: str = "kunnr") -> DataFrame:
+def new_records(records: DataFrame, corpus: DataFrame | KeyedTable | None, key: str = "kunnr") -> DataFrame:
     """The records whose key the corpus does not hold."""
     if corpus is None:
         return records
@@ -129,6 +133,8 @@ def corpus_columns(records: DataFrame, vector: Column | None = None) -> DataFram
 
 def merge_insert(new: DataFrame, path: str, key: str = "kunnr") -> int:
     """Append the rows whose key the table does not hold; never update.  Returns how many."""
+    if is_keyed(new.sparkSession, path):
+        return merge_keyed(new, path, key=key)
     return write_counted(new_records(new, read_corpus(new.sparkSession, path), key), path)
 
 
@@ -140,9 +146,9 @@ def write_counted(rows: DataFrame, path: str) -> int:
 
 
 def prepare_records(
-    records: DataFrame, corpus: DataFrame | None, order: list[str]
+    records: DataFrame, corpus: DataFrame | KeyedTable | None, order: list[str], buckets: int | None = None
 ) -> DataFrame:
-    """Records that are new, unique and rendered, in key order, ready to embed.
+    """Records that are new, unique and rendered, in key order (in that of ``buckets``, if given), ready to embed.
 
     The known ones leave before the model sees anything.  The range partition
     on the key comes before embedding as well: it shares the costly stage out to as
@@ -152,6 +158,8 @@ def prepare_records(
     # Stored, as the lookup, the anti-join and the range sampling each read it.
     unique = stage(dedup_first(default_unknown(records), order), "unique-records")
     fresh = new_records(unique, corpus)
+    if buckets:
+        return arrange(render_sentence(fresh), buckets, "kunnr")
     tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return render_sentence(fresh).repartitionByRange(tasks, "kunnr").sortWithinPartitions("kunnr")
 
@@ -167,13 +175,22 @@ def ingest(
     dim: int | None = None,
     per_task: bool = False,
     index_path: str | None = None,
+    buckets: int | None = None,
+    batch: str | None = None,
 ) -> int:
     """Add the new records to the corpus at ``path``; returns how many were inserted.
 
     With ``index_path`` the vector index there takes up the same records; it is built from the corpus if there is none.
+    ``buckets`` makes a new or replaced corpus one in hash buckets of its key with a log of commits; a corpus that is one stays one.
+    There, ``batch`` names the records: a name that was committed before adds nothing.
     """
     check_batch_size(batch_size)
-    corpus = None if overwrite else read_corpus(records.sparkSession, path)
+    spark = records.sparkSession
+    if is_keyed(spark, path) or (buckets and (overwrite or read_corpus(spark, path) is None)):
+        return _ingest_keyed(records, path, embedder, order, overwrite, batch_size, dim, per_task, index_path, buckets, batch)
+    if buckets or batch:
+        raise ValueError(f"the corpus at {path} is not in buckets")
+    corpus = None if overwrite else read_corpus(spark, path)
     ready = prepare_records(records, corpus, order)
     embedded = embed(ready, embedder, batch_size=batch_size, per_task=per_task)
     vector = require_vector(F.col("vector"), dim).alias("vector") if dim else None
@@ -183,10 +200,28 @@ def ingest(
         rows.observe(seen, F.count(F.lit(1)).alias("n")), path, "overwrite" if overwrite else "append"
     )
     if index_path:
-        update_index(records.sparkSession, path, index_path, rebuild=overwrite)
+        update_index(spark, path, index_path, rebuild=overwrite)
     return seen.get["n"]
 
 
+def _ingest_keyed(records, path, embedder, order, overwrite, batch_size, dim, per_task, index_path, buckets, batch) -> int:
+    """``ingest`` into a corpus in buckets: the lookup reads the files that the records' keys can be in."""
+    spark = records.sparkSession
+    table = open_keyed(spark, path)
+    if table and batch in table.batches:
+        return 0
+    layout = table.buckets if table and not (overwrite and buckets) else buckets or BUCKETS
+    ready = prepare_records(records, None if overwrite else table, order, layout)
+    vector = require_vector(F.col("vector"), dim).alias("vector") if dim else None
+    rows = corpus_columns(embed(ready, embedder, batch_size=batch_size, per_task=per_task), vector)
+    # Stored, as the merge may look the rows up in later commits and must not ask the model again.
+    rows = stage(rows, "embedded")
+    count = merge_keyed(rows, path, batch=batch, buckets=layout, replace=overwrite, known=table)
+    if index_path:
+        update_index(spark, path, index_path, rebuild=overwrite)
+    return count
+
+
 def update_index(spark: SparkSession, path: str, index_path: str, rebuild: bool = False) -> None:
     """Make the index hold what the corpus holds: the records whose keys it lacks, whoever wrote them."""
     stored = read_corpus(spark, path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from questloom.session import path_exists
+from questloom.sources.keyed import is_keyed, merge_keyed, open_keyed
 
 # The columns of the corpus.
 CORPUS_SCHEMA = T.StructType(
@@ -26,6 +27,9 @@ def corpus_exists(spark: SparkSession, path: str) -> bool:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame | None:
     """The corpus, or nothing if none was written yet."""
+    if is_keyed(spark, path):
+        table = open_keyed(spark, path)
+        return table.rows() if table else None
     return spark.read.schema(CORPUS_SCHEMA).parquet(path) if corpus_exists(spark, path) else None
 
 
@@ -38,8 +42,12 @@ def create_corpus(spark: SparkSession, path: str) -> None:
 def write_corpus(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append to the corpus (made if missing) or replace it (``overwrite``).
 
-    Appends have no transactions between writers: keep one writer per corpus.
+    Appends to plain Parquet have no transactions between writers: keep one writer per corpus, or make
+    it in buckets (``ingest(buckets=...)``).  There, keys that are known are not appended again.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode must be append or overwrite, not {mode}")
+    if is_keyed(rows.sparkSession, path):
+        merge_keyed(rows, path, replace=mode == "overwrite")
+        return
     rows.write.mode(mode).parquet(path)

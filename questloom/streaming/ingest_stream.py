@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from questloom.operators.ingest import ingest
 from questloom.sources.corpus import create_corpus
+from questloom.sources.keyed import is_keyed
 
 
 def stream_ingest(
@@ -25,11 +26,16 @@ def stream_ingest(
 
     The corpus itself is the state: what it holds is not inserted again, so a
     replayed micro-batch adds nothing and no dedup state grows with the stream.
+    A corpus in buckets (made by ``buckets=`` in ``options``, or there already) is read only where the keys
+    of the micro-batch can be, and knows its micro-batches by name, so that a replayed one costs a look into the log.
     """
-    create_corpus(records.sparkSession, path)
+    keyed = bool(options.get("buckets")) or is_keyed(records.sparkSession, path)
+    if not keyed:
+        create_corpus(records.sparkSession, path)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        ingest(batch, path, embedder, order=order, **options)
+    def merge(batch: DataFrame, number: int) -> None:
+        name = {"batch": f"{checkpoint}#{number}"} if keyed else {}
+        ingest(batch, path, embedder, order=order, **name, **options)
 
     return (
         records.writeStream.foreachBatch(merge)

@@ -22,8 +22,9 @@ from questloom.operators.ingest import (
     render_sentence,
 )
 from questloom.plans.registry import query, views
-from questloom.session import new_path
+from questloom.session import new_path, stage
 from questloom.sources.corpus import read_corpus, write_corpus
+from questloom.sources.keyed import BUCKETS, merge_keyed, open_keyed
 from questloom.sources.tables import (
     SOURCE_ORDER,
     read_questions,
@@ -310,6 +311,21 @@ def i4(spark: SparkSession, folder: str) -> DataFrame:
     return find_existing(order_records(spark, folder), corpus(spark, folder))
 
 
+@query(
+    "i4_find_in_buckets",
+    f"""
+    SELECT DISTINCT k.kunnr FROM ({ORDER_RECORDS_SQL}) r JOIN ({CORPUS_SQL}) k ON r.kunnr = k.kunnr
+    """,
+)
+def i4_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lookup in a corpus in buckets, written in two commits."""
+    path, rows = new_path(spark, "corpus"), corpus(spark, folder)
+    even = F.col("kunnr").cast("bigint") % 2 == 0
+    merge_keyed(rows.filter(even), path)
+    merge_keyed(rows.filter(~even), path)
+    return find_existing(order_records(spark, folder), open_keyed(spark, path))
+
+
 @query(
     "i4_new_records",
     f"SELECT r.* FROM ({FILLED_SQL}) r WHERE NOT EXISTS (SELECT 1 FROM ({CORPUS_SQL}) k WHERE r.kunnr = k.kunnr)",
@@ -431,6 +447,30 @@ def i9(spark: SparkSession, folder: str) -> DataFrame:
     return embedded.select(F.size("vector").alias("dim")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Killed(Exception):
+    """Stands for a writer that dies."""
+
+
+@query("i5_commit_log", f"SELECT kunnr, sentence, CAST(1 AS BIGINT) AS version FROM ({MERGED_SQL})")
+def i5_log(spark: SparkSession, folder: str) -> DataFrame:
+    """All customers arrive in a corpus in buckets: the writer dies ahead of its commit, is run again, and comes twice."""
+    path = new_path(spark, "corpus")
+    merge_keyed(corpus(spark, folder), path, batch="given")
+    late = kna1(spark, folder).withColumn("sentence", F.concat(F.lit("late: "), "name1"))
+    rows = corpus_columns(late, F.array(F.lit(1.0).cast("float")).alias("vector"))
+
+    def die() -> None:
+        raise Killed
+
+    try:
+        merge_keyed(rows, path, batch="late", before_commit=die)
+    except Killed:
+        merge_keyed(rows, path, batch="late")
+    merge_keyed(rows, path, batch="late")
+    stored = open_keyed(spark, path)
+    return stored.rows().select("kunnr", "sentence", F.lit(stored.version).cast("bigint").alias("version"))
+
+
 INGESTED_SQL = f"""
     SELECT kunnr, name1 AS name, ort01 AS city, {SENTENCE_SQL} AS sentence, 64 AS dim FROM ({FIRSTS_SQL})
 """
@@ -469,6 +509,24 @@ def i11(spark: SparkSession, folder: str) -> DataFrame:
     return show_corpus(spark, path)
 
 
+@query(
+    "i11_stream_in_buckets",
+    f"SELECT kunnr, name1 AS name, ort01 AS city, {SENTENCE_SQL} AS sentence, 64 AS dim FROM ({KNA1_SQL})",
+)
+def i11_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer records arrive twice as a stream, into a corpus in buckets; then the stream loses its progress."""
+    source, path = new_path(spark, "arrivals"), new_path(spark, "corpus")
+    records = kna1(spark, folder).withColumn("source_row", F.col("kunnr").cast("bigint"))
+    records.write.parquet(source)
+    records.write.mode("append").parquet(source)
+    for _ in range(2):
+        arriving = spark.readStream.schema(records.schema).parquet(source)
+        stream_ingest(
+            arriving, path, HashingEmbedder(), new_path(spark, "progress"), order=["source_row"], buckets=8
+        ).awaitTermination()
+    return show_corpus(spark, path)
+
+
 @query(
     "i12_key_layout",
     f"SELECT kunnr, sentence FROM ({INGESTED_SQL}) WHERE kunnr >= '20' AND kunnr < '30'",
@@ -480,6 +538,41 @@ def i12(spark: SparkSession, folder: str) -> DataFrame:
     return read_corpus(spark, path).filter("kunnr >= '20' AND kunnr < '30'").select("kunnr", "sentence")
 
 
+# The customers of the ten dearest orders, each in the bucket that its key's digest names.
+DEAREST_SQL = f"""
+    SELECT DISTINCT kunnr, CAST('0x' || substr(md5(kunnr), 1, 8) AS BIGINT) % {BUCKETS} AS bucket FROM (
+        SELECT CAST(o_custkey AS VARCHAR) AS kunnr FROM orders WHERE o_orderstatus <> 'P'
+        ORDER BY o_totalprice DESC, o_orderkey LIMIT 10
+    )
+"""
+
+
+@query(
+    "i12_files_for_keys",
+    f"""
+    SELECT kunnr, sentence, (SELECT count(DISTINCT bucket) FROM ({DEAREST_SQL})) AS buckets_read, true AS fewer_files
+    FROM ({INGESTED_SQL}) WHERE kunnr IN (SELECT kunnr FROM ({DEAREST_SQL}))
+    """,
+)
+def i12_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of ten keys, with how many buckets were read for them and whether these are not all files."""
+    path = new_path(spark, "corpus")
+    ingest(order_records(spark, folder), path, HashingEmbedder(), order=["source_row"], buckets=BUCKETS)
+    orders = table(spark, folder, "orders").filter("o_orderstatus <> 'P'")
+    dearest = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    keys = stage(dearest.select(F.col("o_custkey").cast("string").alias("kunnr")).distinct(), "keys")
+    stored = open_keyed(spark, path)
+    found = stored.holding(keys)
+    read = found.inputFiles()
+    buckets = {part for name in read for part in name.split("/") if part.startswith("key_bucket=")}
+    return found.join(keys, "kunnr", "left_semi").select(
+        "kunnr",
+        "sentence",
+        F.lit(len(buckets)).cast("bigint").alias("buckets_read"),
+        F.lit(len(read) < stored.files().count()).alias("fewer_files"),
+    )
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """All given vectors: kunnr, vector."""
     return table(spark, folder, "embeddings").select(

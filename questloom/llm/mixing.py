@@ -4,8 +4,9 @@ The mix has as many words as the documents have.  Each source gets its share of
 ``most`` times what it holds; what a capped source cannot take is shared out again by weight.  A document of a
 source whose target is r times its size is expected r times: ``floor(r)`` whole copies are certain, and the rest of
 the target is filled with one further copy of some documents.  These are chosen by order sampling: every document gets
-the random odds u / (1 - u) divided by its inclusion odds, and the lowest go in until the words are full.  (Within a
-source the inclusion odds differ by the document's weight, if one is given; over sources they differ by r.)
+the random odds u / (1 - u) divided by its inclusion odds p / (1 - p), and the lowest go in until the words are full.
+The inclusion chance p is that part of the source's words that is still wanted; if documents have weights, it is proportional
+to these, scaled so that the chances add up to the wanted words, and those whose chance would reach 1 are certain.
 
 The cut in a source of any size is found without ordering the source: two histograms of 1,024 cells, the second within
 the cell of the first where the words fill up, leave a millionth of the source to be put in order.
@@ -59,13 +60,49 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     )
 
 
-def draw(key: Column, seed: int, weight: Column | None) -> Column:
-    """A random integer below 2**48 that orders documents as random odds divided by their weight do."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, BITS // 4), 16, 10).cast("long")
-    if weight is None:
-        return u
+def uniform(key: Column, seed: int) -> Column:
+    """A random integer below 2**48 that depends on ``key`` and ``seed`` alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, BITS // 4), 16, 10).cast("long")
+
+
+def draw(u: Column, chance: Column) -> Column:
+    """An integer below 2**48 in the order of q = (u / (1 - u)) / (p / (1 - p)), as q / (1 + q); 0 for a certain document.
+
+    The cut is to be expected near q = 1, where neighbours in u stay apart whatever the chance.
+    """
     share = (u.cast("double") + 0.5) / (1 << BITS)
-    return F.floor(share / (share + (1 - share) * weight) * (1 << BITS)).cast("long")
+    random, included = share * (1 - chance), chance * (1 - share)
+    place = F.least(F.floor(random / (random + included) * (1 << BITS)).cast("long"), F.lit((1 << BITS) - 1))
+    return F.when(chance >= 1, F.lit(0).cast("long")).when(chance > 0, place).otherwise(u)
+
+
+def rates(weighed: DataFrame, goal: DataFrame) -> DataFrame:
+    """(of, rate): per source the factor that makes chances min(1, rate * weight) add up to the wanted words.
+
+    ``weighed`` has source, weight and the words of that weight.  Weights whose chance reaches 1 leave with all their
+    words and the rest is scaled again, until none leaves: the rate only rises, and each round but the last takes out a weight.
+    """
+    held = weighed.join(goal.select("of", "wanted"), F.col("source").eqNullSafe(F.col("of"))).where("wanted > 0")
+    held = stage_numbers(held.select("of", "wanted", "weight", "words"), "mix-weights")
+    found, before = None, None
+    while True:
+        if found is None:
+            rest = held.withColumn("certain", F.lit(False))
+        else:
+            known = found.select(F.col("of").alias("rated"), "rate")
+            rest = held.join(known, F.col("of").eqNullSafe(F.col("rated"))).withColumn("certain", F.col("rate") * F.col("weight") >= 1)
+        out = F.coalesce(F.sum(F.when(F.col("certain"), F.col("words"))), F.lit(0))
+        left = F.sum(F.when(~F.col("certain"), F.col("weight") * F.col("words")))
+        rate = F.coalesce(F.try_divide(F.first("wanted") - out, left), F.lit(0.0))
+        if found is not None:  # rounding must not let it fall
+            rate = F.greatest(rate, F.max("rate"))
+        found = stage_numbers(
+            rest.groupBy("of").agg(rate.alias("rate"), F.count_if("certain").alias("n_certain")), "mix-rates"
+        )
+        certain = found.agg(F.coalesce(F.sum("n_certain"), F.lit(0))).first()[0]
+        if certain == before:
+            return found.select("of", "rate")
+        before = certain
 
 
 def _cells(rows: DataFrame, shift: int, sources: DataFrame) -> DataFrame:
@@ -97,7 +134,8 @@ def mix(docs: DataFrame, *, weights=None, id_col: str = "doc_id", text_col: str
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         let(words(whole_text(text_col)), lambda w: F.size(w).cast("long")).alias("size"),
-        draw(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed, _positive(weight_col)).alias("draw"),
+        uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("")), seed).alias("u"),
+        *([_positive(weight_col).alias("weight")] if weight_col else []),
         *[c.alias(name) for name, c in (keep or {}).items()],
     )
     sized = stage(sized, "mix-sizes")
@@ -115,13 +153,20 @@ def mix(docs: DataFrame, *, weights=None, id_col: str = "doc_id", text_col: str
         ),
         "mix-targets",
     )
+    if weight_col:
+        rated = rates(sized.groupBy("source", "weight").agg(F.sum("size").alias("words")), goal).withColumnRenamed("of", "rated")
+        goal = stage_numbers(goal.join(rated, F.col("of").eqNullSafe(F.col("rated")), "left").drop("rated"), "mix-targets")
+    else:
+        goal = goal.withColumn("rate", F.try_divide(F.col("wanted"), F.col("source_size").cast("double")))
+    place = draw(F.col("u"), F.coalesce(F.col("rate"), F.lit(0.0)) * (F.col("weight") if weight_col else 1.0))
     small = goal.count() <= SMALL
 
     def with_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         return rows.join(F.broadcast(table) if small else table, rows["source"].eqNullSafe(table["of"]), how)
 
-    light = sized.select("source", "doc_id", "draw", "size")
     open_goal = goal.where("wanted > 0").select("of", "wanted", "before")
+    opened = goal.where("wanted > 0").select("of", "rate")
+    light = with_source(sized, opened).select("source", "doc_id", place.alias("draw"), "size")
     first = stage_numbers(_cells(light, BITS - CELL, open_goal), "mix-cells")
     inside = with_source(light, first).where(F.shiftright("draw", BITS - CELL) == F.col("cell")).select(*light.columns)
     second = stage_numbers(_cells(inside, BITS - 2 * CELL, first), "mix-cells")
@@ -135,9 +180,9 @@ def mix(docs: DataFrame, *, weights=None, id_col: str = "doc_id", text_col: str
     nearest = F.min_by("draw", F.struct(F.abs(F.col("through") - F.col("wanted")), F.col("draw")))
     cut = stage_numbers(ends.groupBy("of").agg(nearest.alias("cut")), "mix-cuts")
     joined_goal = goal.join(cut.withColumnRenamed("of", "cut_of"), F.col("of").eqNullSafe(F.col("cut_of")), "left")
-    plan = joined_goal.select("of", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"))
+    plan = joined_goal.select("of", "source_size", "target", "whole", "rate", F.coalesce("cut", F.lit(-1)).alias("cut"))
     plan = stage_numbers(plan, "mix-plan")
-    copies = F.col("whole") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0)
+    copies = F.col("whole") + F.when(place <= F.col("cut"), 1).otherwise(0)
     return with_source(sized, plan).select(
         "doc_id",
         *(keep or {}),
@@ -150,9 +195,7 @@ def mix(docs: DataFrame, *, weights=None, id_col: str = "doc_id", text_col: str
     )
 
 
-def _positive(weight_col: str | None) -> Column | None:
-    if weight_col is None:
-        return None
+def _positive(weight_col: str) -> Column:
     weight = F.col(weight_col).cast("double")
     return F.when(weight > 0, weight).otherwise(1.0)
 

@@ -183,6 +183,47 @@ def test_mix_with_weights_of_documents(spark):
     assert sum(heavy) / len(heavy) > sum(light) / len(light) + 0.2
 
 
+def test_mix_draws_by_inclusion_odds(spark):
+    """Against brute force: chances by weight, scaled to the wanted words, the certain ones taken out, lowest odds first."""
+    dice = random.Random(5)
+    docs = [(i, "ab"[i % 3 == 0], "w " * dice.randint(1, 30), dice.choice([0.5, 1.0, 2.0, 400.0, None])) for i in range(2000)]
+    table = spark.createDataFrame(docs, "doc_id long, source string, text string, w double")
+    found = {r["doc_id"]: r for r in mixing.mix(table, weight_col="w").collect()}
+    certain_seen = 0
+    for source in "ab":
+        of = [(i, text.count("w"), w or 1.0) for i, s, text, w in docs if s == source]
+        size = sum(n for _, n, _ in of)
+        target = found[of[0][0]]["target"]
+        whole = int(target // size)
+        wanted, certain = target - whole * size, set()
+        while True:
+            rate = (wanted - sum(n for i, n, _ in of if i in certain)) / sum(n * w for i, n, w in of if i not in certain)
+            more = {i for i, _, w in of if rate * w >= 1}
+            if more == certain:
+                break
+            certain = more
+        certain_seen += len(certain)
+
+        def odds(i, w):
+            if i in certain:
+                return -1
+            u = (int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+            return u / (1 - u) / (rate * w / (1 - rate * w))
+
+        order = sorted(of, key=lambda d: odds(d[0], d[2]))
+        through, best = 0, (wanted, set())
+        taken = set()
+        for i, n, _ in order:
+            through += n
+            taken = taken | {i}
+            if len(taken) >= len(certain) and abs(through - wanted) < best[0]:
+                best = abs(through - wanted), taken
+        assert {i for i, _, _ in of if found[i]["copies"] == whole + 1} == best[1]
+        assert {found[i]["copies"] for i, _, _ in of} <= {whole, whole + 1}
+        assert certain <= best[1]
+    assert certain_seen
+
+
 def test_mixed_documents(spark):
     docs = docs_table(spark)
     mixed = mixing.mixed_documents(docs)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from questloom.functions.vectors import vector_verdict
@@ -20,6 +20,9 @@ TRAIN_ROWS = 1_000_000
 RECALL = 0.95
 # Rows that serve as trial questions, about, and how many neighbours of each.
 TRIALS, TRIAL_TOP = 200, 20
+# The cells to probe are measured again when an index has so many times the rows of the last measurement.
+GROWTH = 2
+SEED = 42
 
 
 def build_vector_index(
@@ -32,7 +35,7 @@ def build_vector_index(
     iterations: int = 10,
     train_rows: int = TRAIN_ROWS,
     recall: float = RECALL,
-    seed: int = 42,
+    seed: int = SEED,
     overwrite: bool = False,
 ) -> int:
     """Write the corpus by cell, and the centroids beside it.  Returns the number of cells.
@@ -74,9 +77,16 @@ def build_vector_index(
     stored = spark.read.parquet(f"{path}/rows").select(F.col(id_col).alias("kunnr"), F.col(vector_col).alias("vector"), "cell")
     nprobe = _measured_nprobe(stored, places, len(centroids), count, recall, seed)
     places.withColumn("nprobe", F.lit(nprobe)).write.mode(mode).parquet(f"{path}/centroids")
+    _note_probes(spark, path, count, nprobe, recall, mode)
     return len(centroids)
 
 
+def _note_probes(spark: SparkSession, path: str, count: int, nprobe: int, recall: float, mode: str) -> None:
+    """Keep a measurement: how many rows there were, and how many cells gave that recall."""
+    noted = spark.createDataFrame([(count, nprobe, recall)], "n_rows long, nprobe int, recall double")
+    noted.coalesce(1).write.mode(mode).parquet(f"{path}/probes")
+
+
 def _measured_nprobe(rows: DataFrame, centroids: DataFrame, cells: int, count: int, recall: float, seed: int) -> int:
     """The least number of nearest cells that hold ``recall`` of the true neighbours of some rows, themselves left out."""
     if cells == 1 or count == 1:
@@ -98,14 +108,32 @@ def _measured_nprobe(rows: DataFrame, centroids: DataFrame, cells: int, count: i
 def add_to_index(new: DataFrame, path: str, *, vector_col: str = "vector") -> None:
     """Write further records into the cells of an index, each into the one whose centroid is nearest.
 
-    The centroids stay; rebuild the index when the corpus has outgrown its number of cells.
+    The centroids stay; rebuild the index when the corpus has outgrown its number of cells.  Once there are ``GROWTH``
+    times as many rows as when the cells to probe were measured, they are measured again, for the same recall.
     """
+    spark = new.sparkSession
     _, centroids = read_vector_index(new.sparkSession, path)
     dim = len(centroids.first()["centroid"])
     usable = new.filter(vector_verdict(F.col(vector_col), dim) == "OK")
     lifted = usable.select(F.col("kunnr").alias("question_id"), F.col(vector_col).alias("vector"))
     near = probe_cells(lifted, centroids, 1).select(F.col("question_id").alias("kunnr"), "cell")
     usable.join(near, "kunnr").hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{path}/rows")
+    last = _last_probes(spark, path)
+    if last is None:
+        return
+    rows = spark.read.parquet(f"{path}/rows").select("kunnr", F.col(vector_col).alias("vector"), "cell")
+    count = rows.count()
+    if count >= GROWTH * last["n_rows"]:
+        places = centroids.select("cell", "centroid")
+        nprobe = _measured_nprobe(rows, places, places.count(), count, last["recall"], SEED)
+        _note_probes(spark, path, count, nprobe, last["recall"], "append")
+
+
+def _last_probes(spark: SparkSession, path: str) -> Row | None:
+    """The measurement over the most rows; nothing for an index that has none."""
+    if not path_exists(spark, f"{path}/probes"):
+        return None
+    return spark.read.parquet(f"{path}/probes").orderBy(F.desc("n_rows")).first()
 
 
 def read_index_keys(spark: SparkSession, path: str) -> DataFrame | None:
@@ -114,7 +142,11 @@ def read_index_keys(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_vector_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/centroids")
+    """The rows by cell, and the centroids with ``nprobe``, the number of cells to probe as last measured."""
+    centroids, last = spark.read.parquet(f"{path}/centroids"), _last_probes(spark, path)
+    if last is not None:
+        centroids = centroids.withColumn("nprobe", F.lit(last["nprobe"]))
+    return spark.read.parquet(f"{path}/rows"), centroids
 
 
 def probe_cells(questions: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:

@@ -15,9 +15,9 @@ from questloom.operators.blocks import Batches, scan_against
 # vector tie (and are then ordered by id) whichever block of a matrix they sit in.
 TIE_BITS = 46
 # Scores held at once by a task while it multiplies a batch with the questions.
-TILE_CELLS = 4_000_000
+TILE_CELLS = 2_000_000
 # Pairs multiplied again at once.
-PAIRS = 100_000
+PAIRS = 20_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -192,6 +192,10 @@ def top_ranked(hits: DataFrame, k: int, group: str = "question_id") -> DataFrame
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+# Bytes of one result that a task keeps for a question, and of the copies it makes to order them.
+RESULT_BYTES = 24
+
+
 def vector_bytes(vector: Column, key: Column | None = None) -> Column:
     """Bytes that a vector, and the key it goes with, take when shipped."""
     width = F.lit(0) if key is None else F.coalesce(F.octet_length(key.cast("string")), F.lit(0))
@@ -228,7 +232,7 @@ def knn(
         small,
         nearest_kernel(k),
         f"question_id {types['question_id']}, id {types['id']}, score double",
-        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")),
+        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")) + F.lit(k * RESULT_BYTES),
         large_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",

@@ -48,11 +48,19 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, hi
     """Every row of ``points`` with every row of ``intervals`` for which ``low`` <= ``at`` < ``high``; whole numbers.
 
     All columns of both sides, which must not share a name.  Null points and ends, and empty intervals, meet nothing;
-    repeated rows count each.  The sides are read several times: store them if they are costly.
+    repeated rows count each.  Intervals are cut to the extent of the points, so that nodes beyond it are no work, and there are
+    few enough to be sent where the points are looked up.  The sides are read several times: store them if they are costly.
     """
     if shared := {c.lower() for c in points.columns} & {c.lower() for c in intervals.columns}:
         raise ValueError(f"columns on both sides: {sorted(shared)}")
-    ends = intervals.withColumn("_low", F.col(f"`{low}`").cast("bigint")).withColumn("_high", F.col(f"`{high}`").cast("bigint"))
+    place = _quoted(at).cast("bigint")
+    least, most = points.agg(F.min(place), F.max(place)).first()
+    if least is None:
+        return points.join(intervals, F.lit(False))
+    # What of an interval lies beyond all points is made up by no node (greatest and least would pass over a null).
+    from_, to = (_quoted(c).cast("bigint") for c in (low, high))
+    ends = intervals.withColumn("_low", F.when(from_.isNotNull(), F.greatest(from_, F.lit(least).cast("bigint"))))
+    ends = ends.withColumn("_high", F.when(to.isNotNull(), F.least(to, F.lit(most + 1).cast("bigint"))))
     pieces = ends.select(*intervals.columns, F.explode(interval_nodes("_low", "_high")).alias("_place"))
     pieces = pieces.select(*intervals.columns, F.col("_place.level").alias("_level"), F.col("_place.node").alias("_node"))
     # Sixteen levels at most: the points are looked up at those that occur.

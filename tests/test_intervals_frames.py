@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from questloom.operators import reuse
+from questloom.operators import intervals, reuse
 from questloom.operators.cuts import latest, value_at
 from questloom.operators.frames import moving_range, moving_rows
 from questloom.operators.intervals import interval_join, interval_nodes
@@ -42,6 +42,16 @@ def test_interval_join_gives_all_pairs_and_no_other(spark, node_rows):
         interval_join(points, points, "at it", "p", "p")
 
 
+def test_interval_join_makes_no_nodes_beyond_the_points(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(intervals, "stage", lambda df, name: seen.append((name, df.count())) or df)
+    points = spark.createDataFrame([(x,) for x in (None, 100, 105, 299)], "at long")
+    far = [(i * 1000 + 3, i * 1000 + 999) for i in range(1, 50)] + [(-5, 0), (-(10**12), 10**12), (104, 300), (0, None), (None, 500)]
+    got = interval_join(points, spark.createDataFrame(far, "low long, high long"), "at", "low", "high")
+    assert rows(got.select("at", "low")) == [(100, -(10**12)), (105, -(10**12)), (105, 104), (299, -(10**12)), (299, 104)]
+    assert dict(seen)["nodes"] < 100
+
+
 def test_interval_join_of_empty_sides(spark):
     points, intervals = spark.range(5).withColumnRenamed("id", "at"), spark.createDataFrame([], "low long, high long")
     assert interval_join(points, intervals, "at", "low", "high").collect() == []

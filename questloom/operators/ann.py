@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from questloom.functions.vectors import vector_verdict
 from questloom.operators.blocks import scan_against
-from questloom.operators.knn import knn, nearest_kernel, top_ranked, vector_bytes
+from questloom.operators.knn import RESULT_BYTES, knn, nearest_kernel, top_ranked, vector_bytes
 from questloom.session import path_exists, stage
 
 # Rows that the centroids are placed from, about.
@@ -208,7 +208,7 @@ def ann_knn(
         probes.select("question_id", "vector", "cell"),
         nearest_kernel(k),
         f"question_id {types['question_id']}, id {types['id']}, score double",
-        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")),
+        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")) + F.lit(k * RESULT_BYTES),
         large_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",

@@ -8,6 +8,7 @@ one row per pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,10 +20,14 @@ from questloom.session import stage
 Batches = Iterator[pa.RecordBatch]
 Kernel = Callable[[pa.Table], Callable[[Batches], Batches]]
 
-# The small side is shipped to the tasks only up to this many bytes.
-SMALL_SIDE_BYTES = 64 << 20
+# The small side is shipped to the tasks only up to this many bytes, those of the results that a task keeps included.
+SMALL_SIDE_BYTES = 48 << 20
 # Bytes of the large side per block when both sides are cut into blocks.
 LARGE_BLOCK_BYTES = 128 << 20
+# Groups with less than this part of a block on both sides share blocks with others.
+SHARED_PART = 4
+# Rows of a block that a kernel is given at once.
+BATCH_ROWS = 8192
 # Partial results grow with the number of tasks, so several input splits share a
 # task once there are this many times more of them than the cluster can run.
 TASK_WAVES = 4
@@ -62,7 +67,9 @@ def scan_against(
     the large side is not shuffled at all.  Beyond it both sides are cut into
     hash blocks and each pair of blocks meets in one task; a task holds one
     block of each, however large either table is.  With ``match``, a column of
-    both sides with few values, only blocks of the same value meet.
+    both sides, blocks hold rows of one value or of several small ones, and the
+    kernel tells the values apart.  ``row_bytes`` counts what a task keeps for a
+    row of the small side: the row itself and its share of the results.
     """
     limit_bytes = limit_bytes or SMALL_SIDE_BYTES
     _, size = measure(small, row_bytes)
@@ -75,30 +82,41 @@ def scan_against(
         return merge_splits(large).mapInArrow(run, schema)
 
     columns_large, columns_small = large.columns, small.columns
-    large = large.withColumn("_group", F.col(match) if match else F.lit(0))
-    small = small.withColumn("_group", F.col(match) if match else F.lit(0))
-    # How many blocks each side of a group is cut into: one row per group.
-    large_cuts = F.ceil(F.sum(large_bytes) / LARGE_BLOCK_BYTES).alias("_large_cuts")
-    small_cuts = F.ceil(F.sum(row_bytes) / limit_bytes).alias("_small_cuts")
-    cuts = F.broadcast(
-        stage(
-            small.groupBy("_group").agg(small_cuts).join(large.groupBy("_group").agg(large_cuts), "_group"),
-            "cuts",
-        )
+    large = large.withColumn("_value", F.col(match) if match else F.lit(0))
+    small = small.withColumn("_value", F.col(match) if match else F.lit(0))
+    # How many blocks each side of a value is cut into, of at least a row each: one row per value.
+    small_cuts = F.least(F.ceil(F.sum(row_bytes) / limit_bytes), F.count(F.lit(1))).alias("_small_cuts")
+    large_cuts = F.least(F.ceil(F.sum(large_bytes) / LARGE_BLOCK_BYTES), F.count(F.lit(1))).alias("_large_cuts")
+    sizes = small.groupBy("_value").agg(F.sum(row_bytes).alias("_small_bytes"), small_cuts).join(
+        large.groupBy("_value").agg(F.sum(large_bytes).alias("_large_bytes"), large_cuts), "_value"
     )
+    sizes = stage(sizes.withColumn("_group", F.monotonically_increasing_id()), "sizes")
+    fills = F.greatest(F.col("_small_bytes") / limit_bytes, F.col("_large_bytes") / LARGE_BLOCK_BYTES)
+    shared = fills < 1 / SHARED_PART
+    filled = sizes.where(shared).agg(F.sum("_small_bytes") / limit_bytes, F.sum("_large_bytes") / LARGE_BLOCK_BYTES).first()
+    slots = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = max(slots, *[math.ceil(x or 0) for x in filled])
+    # At most SHARED_PART values per block of all the rows, so they can be sent to the tasks.
+    cuts = F.broadcast(sizes.where(~shared).select("_value", "_group", "_small_cuts", "_large_cuts"))
 
     def cut(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
         """Number the block a row belongs to and repeat it for each block of the other side."""
-        rows = side.join(cuts, "_group").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}_cuts")))
-        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_cuts") - 1))
-        rows = rows.withColumn(other, each).select(*side.columns, "_large", "_small")
+        rows = side.join(cuts, "_value", "left").withColumn(
+            own, F.coalesce(F.pmod(F.xxhash64(key), F.col(f"{own}_cuts")), F.lit(0).cast("bigint"))
+        )
+        bin_of = -1 - F.pmod(F.xxhash64("_value"), F.lit(bins).cast("bigint"))
+        rows = rows.withColumn("_group", F.coalesce("_group", bin_of))
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"{other}_cuts", F.lit(1).cast("bigint")) - 1))
+        rows = rows.withColumn(other, each).drop("_value", "_small_cuts", "_large_cuts")
         return rows.groupBy("_group", "_large", "_small")
 
     left = cut(large, large_key, "_large", "_small")
     right = cut(small, small_key, "_small", "_large")
 
     def meet(left_block: pa.Table, right_block: pa.Table) -> pa.Table:
-        batches = left_block.select(columns_large).to_batches(max_chunksize=8192)
+        kept = left_block.select(columns_large)
+        # A side without rows still tells the types.
+        batches = kept.to_batches(max_chunksize=BATCH_ROWS) or [pa.RecordBatch.from_pylist([], schema=kept.schema)]
         return pa.Table.from_batches(list(kernel(right_block.select(columns_small))(iter(batches))))
 
     return left.cogroup(right).applyInArrow(meet, schema)

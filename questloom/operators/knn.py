@@ -103,16 +103,18 @@ def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndar
         if len(open_rows) == 0:
             continue
         cell = np.flatnonzero(scores[open_rows] >= need[open_rows, None])
-        at, which = open_rows[cell // count], cell % count
-        value = _exact(own, vectors, at, which)
-        # One row per id of each vector that passed.
-        copies = (edges[1:] - edges[:-1])[which]
-        first = np.repeat(edges[:-1][which] - np.r_[0, np.cumsum(copies)[:-1]], copies)
-        best.add(
-            np.repeat(part[at], copies),
-            np.repeat(value, copies),
-            ids.take(pa.array(first + np.arange(copies.sum()))),
-        )
+        # A pair is a row per id of its vector, up to k, so they are added a bounded number at a time.
+        for low in range(0, len(cell), PAIRS):
+            pairs = cell[low : low + PAIRS]
+            at, which = open_rows[pairs // count], pairs % count
+            value = _exact(own, vectors, at, which)
+            copies = (edges[1:] - edges[:-1])[which]
+            first = np.repeat(edges[:-1][which] - np.r_[0, np.cumsum(copies)[:-1]], copies)
+            best.add(
+                np.repeat(part[at], copies),
+                np.repeat(value, copies),
+                ids.take(pa.array(first + np.arange(copies.sum()))),
+            )
 
 
 def nearest_kernel(k: int):

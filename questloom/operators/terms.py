@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from questloom.functions.text import words
 from questloom.operators.relevance import most_relevant
 from questloom.operators.trigrams import Index, containing
+from questloom.session import stage
 
 # Fixed value: a filter with this prefix excludes.
 NOT_PREFIX = "NOT "
@@ -113,13 +114,20 @@ def word_set_hits(
     id_col: str = "kunnr",
     text_col: str = "sentence",
     index: Index | None = None,
+    once: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(question_id, set_key) of questions with words, and (set_key, id) of all rows that contain each set."""
+    """(question_id, set_key) of questions with words, and (set_key, id) of all rows that contain each set.
+
+    With ``once``, (set_key) of the sets that any row contains, and of equal texts one is looked at.
+    """
     listed = F.array_sort(F.array_distinct(words(F.col(intent_col))))
     # Words hold no white space, so joined by spaces they are a key that can be taken apart.
     asked = questions.select("question_id", F.array_join(listed, " ").alias("set_key")).filter("set_key <> ''")
     sets = asked.select("set_key").distinct().withColumn("literals", F.split("set_key", " "))
-    return asked, containing(sets, _texts(corpus, id_col, text_col), index=index)
+    texts = _texts(corpus, id_col, text_col)
+    if once:
+        texts = stage(texts.where("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("id")), "distinct-texts")
+    return asked, containing(sets, texts, index=index, once=once)
 
 
 def keyword_fallback(
@@ -156,8 +164,8 @@ def prove_absence(
     index: Index | None = None,
 ) -> DataFrame:
     """The questions for which no record contains every word of the intent."""
-    asked, hits = word_set_hits(
-        questions, corpus, intent_col=intent_col, id_col=id_col, text_col=text_col, index=index
+    asked, held = word_set_hits(
+        questions, corpus, intent_col=intent_col, id_col=id_col, text_col=text_col, index=index, once=True
     )
-    found = asked.join(hits.select("set_key").distinct(), "set_key").select("question_id")
+    found = asked.join(held, "set_key").select("question_id")
     return questions.join(found, "question_id", "left_anti")

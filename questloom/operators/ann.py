@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from questloom.functions.vectors import vector_verdict
-from questloom.operators.blocks import scan_against
-from questloom.operators.knn import RESULT_BYTES, knn, nearest_kernel, top_ranked, vector_bytes
+from questloom.operators.blocks import Batches, scan_against
+from questloom.operators.knn import RESULT_BYTES, Cells, _by_dimension, _matrix, fold_copies, knn, nearest_kernel, top_ranked, vector_bytes
 from questloom.session import path_exists, stage
 
 # Rows that the centroids are placed from, about.
@@ -196,23 +198,42 @@ def ann_knn(
     of cells the result equals the exact one; by default it is what was measured
     when the index was built.
     """
-    nprobe = nprobe or default_nprobe(centroids)
-    probes = stage(probe_cells(questions, centroids, nprobe), "probes")
-    probed = [r["cell"] for r in probes.select("cell").distinct().collect()]  # at most one per centroid
-    large = rows.filter(F.col("cell").isin(probed)).select(
-        F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), "cell"
-    )
-    types = dict(probes.dtypes) | dict(large.dtypes)
+    # As many as the root of the number of rows, so they travel with the tasks.
+    places = centroids.select(F.col("cell").cast("int"), F.col("centroid").cast("array<double>")).toArrow()
+    vectors = places["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(places), -1)
+    cells = Cells(places["cell"].to_numpy(), vectors, nprobe or default_nprobe(centroids))
+    small = questions.select("question_id", "vector")
+    large = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), "cell")
+    if cells.nprobe < len(cells.numbers):
+        probed = [r["cell"] for r in _probed_cells(small, cells).collect()]  # at most one per centroid
+        large = large.filter(F.col("cell").isin(probed))
+    types = dict(small.dtypes) | dict(large.dtypes)
     hits = scan_against(
         large,
-        probes.select("question_id", "vector", "cell"),
-        nearest_kernel(k),
+        small,
+        nearest_kernel(k, cells),
         f"question_id {types['question_id']}, id {types['id']}, score double",
-        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")) + F.lit(k * RESULT_BYTES),
+        row_bytes=vector_bytes(F.col("vector"), F.col("question_id")) + F.lit(k * RESULT_BYTES + len(cells.numbers)),
         large_bytes=vector_bytes(F.col("vector")),
         small_key="question_id",
         large_key="id",
-        match="cell",
         limit_bytes=limit_bytes,
+        fold=fold_copies(k),
     )
     return top_ranked(hits, k)
+
+
+def _probed_cells(questions: DataFrame, cells: Cells) -> DataFrame:
+    """(cell): those that any question probes."""
+    dim = cells.centroids.shape[1]
+
+    def run(batches: Batches) -> Batches:
+        some = np.zeros(len(cells.numbers), dtype=bool)
+        for batch in batches:
+            column = batch.column("vector")
+            at = _by_dimension(column).get(dim)
+            if at is not None:
+                some |= cells.probed(_matrix(column.take(pa.array(at)), dim)).any(axis=0)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.numbers[some], pa.int32())})
+
+    return questions.select("vector").mapInArrow(run, "cell int").distinct()

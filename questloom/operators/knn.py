@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -56,9 +58,10 @@ def _distinct(vectors: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, n
     return block[order["at"].to_numpy()[starts]], edges, order["id"].combine_chunks().filter(pa.array(kept))
 
 
-def _exact(questions: np.ndarray, vectors: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Inner products of the pairs (at, which), a bounded number at a time, to ``TIE_BITS`` of their lengths."""
-    asked, stored = np.linalg.norm(questions, axis=1), np.linalg.norm(vectors, axis=1)
+def _exact(
+    questions: np.ndarray, vectors: np.ndarray, at: np.ndarray, which: np.ndarray, asked: np.ndarray, stored: np.ndarray
+) -> np.ndarray:
+    """Inner products of the pairs (at, which), a bounded number at a time, to ``TIE_BITS`` of their lengths ``asked`` and ``stored``."""
     parts = []
     for lo in range(0, len(at), PAIRS):
         left, right = at[lo : lo + PAIRS], which[lo : lo + PAIRS]
@@ -71,8 +74,10 @@ def _exact(questions: np.ndarray, vectors: np.ndarray, at: np.ndarray, which: np
     return np.concatenate(parts) + 0.0
 
 
-def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndarray, ids: pa.Array) -> None:
-    """Add to ``best`` every (question, id) pair that can still be among its top k.
+def _score(
+    best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndarray, ids: pa.Array, lengths: np.ndarray | None = None
+) -> None:
+    """Add to ``best`` every (question, id) pair that can still be among its top k; ``lengths`` are those of the questions.
 
     All pairs are multiplied in single precision, which is several times
     faster; what could pass within the error bound of that is multiplied again
@@ -85,14 +90,16 @@ def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndar
         return
     vectors, edges, ids = _distinct(vectors, ids, best.k)
     k, count, dim = best.k, len(vectors), vectors.shape[1]
-    reach = np.linalg.norm(questions, axis=1) * np.linalg.norm(vectors, axis=1).max()
+    lengths = np.linalg.norm(questions, axis=1) if lengths is None else lengths
+    stored = np.linalg.norm(vectors, axis=1)
+    reach = lengths * stored.max()
     single = bool((reach < 1e30).all())
     narrow = vectors.astype(np.float32).T if single else vectors.T
     # Rounding of dim products and sums, and of the inputs themselves.
     error = (dim + 4) * (2.0**-24 if single else 2.0**-53) * 1.1 * reach + 2.0 ** (1 - TIE_BITS) * reach
     step = max(1, TILE_CELLS // count)
     for start in range(0, len(rows), step):
-        part, own, slack = (x[start : start + step] for x in (rows, questions, error))
+        part, own, slack, asked = (x[start : start + step] for x in (rows, questions, error, lengths))
         scores = (own.astype(np.float32) if single else own) @ narrow
         floor = best.floor[part]
         if count > k and np.isneginf(floor).any():
@@ -107,7 +114,7 @@ def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndar
         for low in range(0, len(cell), PAIRS):
             pairs = cell[low : low + PAIRS]
             at, which = open_rows[pairs // count], pairs % count
-            value = _exact(own, vectors, at, which)
+            value = _exact(own, vectors, at, which, asked, stored)
             copies = (edges[1:] - edges[:-1])[which]
             first = np.repeat(edges[:-1][which] - np.r_[0, np.cumsum(copies)[:-1]], copies)
             best.add(
@@ -117,29 +124,81 @@ def _score(best: Best, rows: np.ndarray, questions: np.ndarray, vectors: np.ndar
             )
 
 
-def nearest_kernel(k: int):
-    """Questions (question_id, vector[, cell]) against batches (id, vector[, cell]).
+def fold_copies(k: int) -> Callable[[pa.Table], pa.Table]:
+    """Of rows (id, vector[, cell]) with equal vectors in a cell, the ``k`` smallest ids; rows without a vector go."""
 
-    With a ``cell`` on both sides a vector only meets the questions that probe
-    its cell.
+    def fold(rows: pa.Table) -> pa.Table:
+        vectors, parts = _whole(rows["vector"]), []
+        cells = rows["cell"].to_numpy() if "cell" in rows.column_names else np.zeros(len(rows), dtype=np.int64)
+        for dim, at in _by_dimension(vectors).items():
+            values = vectors.take(pa.array(at)).flatten()
+            block = values.to_numpy(zero_copy_only=False)
+            if values.null_count:  # equal as they are, or not folded
+                parts.append(at)
+                continue
+            raw = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(dim * block.itemsize), len(at), [None, pa.py_buffer(np.ascontiguousarray(block))]
+            )
+            code = raw.dictionary_encode().indices.to_numpy()
+            table = pa.table({"cell": cells[at], "code": code, "id": rows["id"].take(pa.array(at)), "at": at})
+            order = table.sort_by([("cell", "ascending"), ("code", "ascending"), ("id", "ascending")])
+            cell, code = order["cell"].to_numpy(), order["code"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (cell[1:] != cell[:-1])])
+            place = np.arange(len(code)) - np.repeat(starts, np.diff(np.r_[starts, len(code)]))
+            parts.append(order["at"].to_numpy()[place < k])
+        return rows.take(pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))
+
+    return fold
+
+
+class Cells:
+    """Centroids, and how many of the nearest ones a question probes."""
+
+    def __init__(self, numbers: np.ndarray, centroids: np.ndarray, nprobe: int):
+        order = np.argsort(numbers)
+        self.numbers, self.centroids, self.nprobe = numbers[order], centroids[order], nprobe
+
+    def probed(self, vectors: np.ndarray) -> np.ndarray:
+        """For each vector (a row) which cells it probes, nearest by Euclidean distance, then by number.
+
+        Written as an inner product with one extra element per vector: q.c - |c|^2 / 2 orders like -|q - c|.
+        """
+        if self.nprobe >= len(self.numbers):
+            return np.ones((len(vectors), len(self.numbers)), dtype=bool)
+        half = np.square(self.centroids).sum(axis=1) / 2
+        length = np.sqrt(np.square(self.centroids).sum(axis=1) + half**2)
+        out = np.zeros((len(vectors), len(self.numbers)), dtype=bool)
+        step = max(1, TILE_CELLS // len(self.numbers))
+        for start in range(0, len(vectors), step):
+            part = vectors[start : start + step]
+            score = part @ self.centroids.T - half
+            with np.errstate(all="ignore"):
+                _, exponent = np.frexp(np.sqrt(np.square(part).sum(axis=1) + 1)[:, None] * length)
+                grain = np.ldexp(1.0, exponent - TIE_BITS)
+                score = np.round(score / grain) * grain
+            near = np.argsort(-score, axis=1, kind="stable")[:, : self.nprobe]
+            np.put_along_axis(out[start : start + step], near, True, axis=1)
+        return out
+
+
+def nearest_kernel(k: int, cells: Cells | None = None):
+    """Questions (question_id, vector) against batches (id, vector[, cell]).
+
+    With ``cells`` a vector only meets the questions that probe its cell.
     """
 
     def prepare(small: pa.Table):
         question_ids = _whole(small["question_id"])
-        # A question probing several cells is one row of candidates.
         codes = question_ids.dictionary_encode()
         row_of = codes.indices.to_numpy()
         vectors = _whole(small["vector"])
-        celled = "cell" in small.column_names
-        cells = small["cell"].to_numpy() if celled else np.zeros(len(row_of), dtype=np.int64)
-        groups = {}
+        groups, probed = {}, None
         for dim, at in _by_dimension(vectors).items():
             block = _matrix(vectors.take(pa.array(at)), dim)
-            order = np.argsort(cells[at], kind="stable")
-            block, rows, keys = block[order], row_of[at][order], cells[at][order]
-            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            for lo, hi in zip(edges, np.r_[edges[1:], len(keys)]):
-                groups[dim, int(keys[lo])] = (rows[lo:hi], block[lo:hi])
+            with np.errstate(all="ignore"):
+                groups[dim] = (row_of[at], block, np.linalg.norm(block, axis=1))
+            if cells is not None and dim == cells.centroids.shape[1]:
+                probed = cells.probed(block)
 
         def run(batches: Batches) -> Batches:
             best = Best(len(codes.dictionary), k)
@@ -150,15 +209,21 @@ def nearest_kernel(k: int):
                 for dim, at in _by_dimension(column).items():
                     vectors = _matrix(column.take(pa.array(at)), dim)
                     ids = batch.column("id").take(pa.array(at))
-                    if not celled:
-                        if (dim, 0) in groups:
-                            _score(best, *groups[dim, 0], vectors, ids)
+                    if dim not in groups:
+                        continue
+                    if cells is None:
+                        rows, block, lengths = groups[dim]
+                        _score(best, rows, block, vectors, ids, lengths)
+                        continue
+                    if probed is None or dim != cells.centroids.shape[1]:
                         continue
+                    rows, block, lengths = groups[dim]
                     own = batch.column("cell").to_numpy(zero_copy_only=False)[at]
-                    for cell in np.unique(own):
-                        if (dim, int(cell)) in groups:
+                    for cell in np.intersect1d(own, cells.numbers):
+                        asking = np.flatnonzero(probed[:, np.searchsorted(cells.numbers, cell)])
+                        if len(asking):
                             inside = np.flatnonzero(own == cell)
-                            _score(best, *groups[dim, int(cell)], vectors[inside], ids.take(pa.array(inside)))
+                            _score(best, rows[asking], block[asking], vectors[inside], ids.take(pa.array(inside)), lengths[asking])
             found = best.prune()
             if found is None:
                 found = pa.table(
@@ -239,5 +304,6 @@ def knn(
         small_key="question_id",
         large_key="id",
         limit_bytes=limit_bytes,
+        fold=fold_copies(k),
     )
     return top_ranked(hits, k)

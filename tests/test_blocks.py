@@ -5,9 +5,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from questloom.operators import blocks
-from questloom.operators.knn import RESULT_BYTES, knn
+from questloom.operators.knn import RESULT_BYTES, fold_copies, knn, nearest_kernel, vector_bytes
 from questloom.operators.relevance import most_relevant, relevance_kernel
 from tests.conftest import rows
 
@@ -83,3 +84,27 @@ def test_small_sets_share_blocks(spark, limit):
         others = sorted((j for j in range(n) if j != i), key=lambda j: (i * (j % 50), j))
         want += [(i, 1, 1, i), (i, 1, 2, others[0])]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("limit", [40, 960])
+def test_a_block_of_questions_keeps_its_results_to_the_end(spark, monkeypatch, limit):
+    """The large side streams past a block of questions: with as many blocks as tasks, k rows a question come out, however large it is."""
+    monkeypatch.setattr(blocks, "LARGE_BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "PACK_BYTES", 4000, raising=False)
+    asked, stored = RNG.normal(size=(60, 4)).astype(np.float32), RNG.normal(size=(900, 4)).astype(np.float32)
+    small = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "question_id int, vector array<float>")
+    large = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(stored)], "id int, vector array<float>").repartition(5)
+    hits = blocks.scan_against(
+        large, small, nearest_kernel(3), "question_id int, id int, score double", row_bytes=vector_bytes(F.col("vector")),
+        large_bytes=vector_bytes(F.col("vector")), small_key="question_id", large_key="id", limit_bytes=limit,
+    )
+    got = rows(hits, "question_id", "id")
+    near = np.argsort(-(asked.astype(float) @ stored.astype(float).T), axis=1)[:, :3]
+    assert got == sorted((i, int(j)) for i in range(60) for j in near[i])
+
+
+def test_copies_fold_before_they_travel():
+    """Of equal vectors in a cell the first ids stay, and all of what is different."""
+    vectors = [[1.0, 2.0]] * 50 + [[3.0, 4.0]] * 2 + [None, [5.0]]
+    table = pa.table({"id": list(range(54))[::-1], "vector": pa.array(vectors, pa.list_(pa.float32())), "cell": [0] * 40 + [1] * 14})
+    assert sorted(fold_copies(3)(table)["id"].to_pylist()) == [0, 2, 3, 4, 5, 6, 14, 15, 16]

@@ -186,6 +186,8 @@ def containing(
     # Keys can be as long as their strings, so sets go by a number.
     numbered = sets.withColumns({"set": F.monotonically_increasing_id(), "pieces": pieces(F.col("literals"))})
     sets = stage(numbered, "sets")
+    if sets.isEmpty():  # nothing to look up, so no text is read
+        return sets.select("set_key") if once else sets.select("set_key").join(texts.select("id"), F.lit(False))
     # Shared out by number, as the words are few bytes and their grams much work.
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = stage(index.vocabulary().repartition(tasks, "word"), "vocabulary")

@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,11 +136,12 @@ def apply_model(
                     break
         return None, error
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = model() if per_task else model
-        for frame in frames:
+        for batch in batches:
             done: list[tuple[str | None, str | None]] = []
-            prompts = frame[prompt_col].tolist()
+            # Only the prompts become Python objects.
+            prompts = batch.column(prompt_col).to_pylist()
             for start in range(0, len(prompts), batch_size):
                 part = prompts[start : start + batch_size]
                 try:
@@ -150,12 +151,11 @@ def apply_model(
                         done += [(None, str(problem))] * len(part)
                     else:
                         done += [alone(client, prompt, tries - 1) for prompt in part]
-            yield frame.assign(raw=[r for r, _ in done], model_error=[e for _, e in done])[
-                [*columns, "raw", "model_error"]
-            ]
+            added = [pa.array(values, pa.string(), from_pandas=True) for values in ([r for r, _ in done], [e for _, e in done])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*columns, "raw", "model_error"])
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
-    return df.mapInPandas(run, f"{fields}, raw string, model_error string")
+    return df.mapInArrow(run, f"{fields}, raw string, model_error string")
 
 
 # --- reading replies ------------------------------------------------------

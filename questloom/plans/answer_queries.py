@@ -472,7 +472,7 @@ def a13(spark: SparkSession, folder: str) -> DataFrame:
 def letter_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """All customer records, embedded once and stored."""
     path = new_path(spark, "corpus")
-    write_corpus(corpus_columns(embed(render_sentence(kna1(spark, folder)), letter_counts)), path)
+    write_corpus(corpus_columns(embed(render_sentence(kna1(spark, folder)), letter_counts, key_col="kunnr")), path)
     return read_corpus(spark, path)
 
 

@@ -251,6 +251,15 @@ def test_remembered_answers_need_no_model(spark):
     assert rows(later, "question") == [("Where is Zephyr Lines?",)]
 
 
+def test_columns_beside_the_prompt_stay_as_they_are(spark):
+    """A model sees prompts only: large numbers beside nulls, and nested rows, come back as they were."""
+    kind = "question_id bigint, n bigint, chunks array<struct<rank:int,chunk_id:string>>, prompt string"
+    df = spark.createDataFrame([(1, 2**53 + 1, [(1, "a"), (None, None)], "x"), (2, None, None, None)], kind).coalesce(1)
+    got = apply_model(df, lambda prompts: [p and p.upper() for p in prompts], pause=0.0)
+    assert dict(got.dtypes) == {**dict(df.dtypes), "raw": "string", "model_error": "string"}
+    assert {r["question_id"]: (r["n"], r["chunks"], r["raw"]) for r in got.collect()} == {1: (2**53 + 1, [(1, "a"), (None, None)], "X"), 2: (None, None, None)}
+
+
 def test_bad_reply_is_final(spark):
     calls = spark.sparkContext.accumulator(0)
 

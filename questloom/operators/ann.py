@@ -233,7 +233,7 @@ def _probed_cells(questions: DataFrame, cells: Cells) -> DataFrame:
             column = batch.column("vector")
             at = _by_dimension(column).get(dim)
             if at is not None:
-                some |= cells.probed(_matrix(column.take(pa.array(at)), dim)).any(axis=0)
+                some |= cells.probed(_matrix(column.take(pa.array(at)), dim), np.arange(len(at))).any(axis=0)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.numbers[some], pa.int32())})
 
     return questions.select("vector").mapInArrow(run, "cell int").distinct()

@@ -158,26 +158,40 @@ class Cells:
         order = np.argsort(numbers)
         self.numbers, self.centroids, self.nprobe = numbers[order], centroids[order], nprobe
 
-    def probed(self, vectors: np.ndarray) -> np.ndarray:
-        """For each vector (a row) which cells it probes, nearest by Euclidean distance, then by number.
-
-        Written as an inner product with one extra element per vector: q.c - |c|^2 / 2 orders like -|q - c|.
-        """
-        if self.nprobe >= len(self.numbers):
-            return np.ones((len(vectors), len(self.numbers)), dtype=bool)
+    def _scores(self, vectors: np.ndarray) -> np.ndarray:
+        """By Euclidean distance, written as an inner product with one extra element per vector: q.c - |c|^2 / 2 orders like -|q - c|."""
         half = np.square(self.centroids).sum(axis=1) / 2
         length = np.sqrt(np.square(self.centroids).sum(axis=1) + half**2)
-        out = np.zeros((len(vectors), len(self.numbers)), dtype=bool)
-        step = max(1, TILE_CELLS // len(self.numbers))
-        for start in range(0, len(vectors), step):
-            part = vectors[start : start + step]
-            score = part @ self.centroids.T - half
-            with np.errstate(all="ignore"):
-                _, exponent = np.frexp(np.sqrt(np.square(part).sum(axis=1) + 1)[:, None] * length)
-                grain = np.ldexp(1.0, exponent - TIE_BITS)
-                score = np.round(score / grain) * grain
-            near = np.argsort(-score, axis=1, kind="stable")[:, : self.nprobe]
-            np.put_along_axis(out[start : start + step], near, True, axis=1)
+        with np.errstate(all="ignore"):
+            score = vectors @ self.centroids.T - half
+            _, exponent = np.frexp(np.sqrt(np.square(vectors).sum(axis=1) + 1)[:, None] * length)
+            step = np.ldexp(1.0, exponent - TIE_BITS)
+            return np.round(score / step) * step
+
+    def probed(self, vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """How often each vector probes each cell: the nearest ones once, ties by number.
+
+        Vectors with the same of ``rows`` are of one question.  They all probe the nearest of their cells, counted together.
+        """
+        count, width = np.bincount(rows)[rows] if len(rows) else rows, len(self.numbers)
+        out = np.zeros((len(vectors), width), dtype=np.min_scalar_type(int(count.max(initial=1))))
+        finite = np.isfinite(vectors).all(axis=1)
+        alone, step = np.flatnonzero(finite & (count == 1)), max(1, TILE_CELLS // width)
+        for start in range(0, len(alone), step):
+            part = alone[start : start + step]
+            if self.nprobe >= width:
+                out[part] = 1
+                continue
+            near = np.argsort(-self._scores(vectors[part]), axis=1, kind="stable")[:, : self.nprobe]
+            out[np.repeat(part, self.nprobe), near.reshape(-1)] = 1
+        several = np.flatnonzero(count > 1)
+        several = several[np.argsort(rows[several], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, np.diff(rows[several]) != 0])
+        for at in np.split(several, edges[1:]) if len(several) else []:
+            score = self._scores(vectors[at[finite[at]]])
+            cell = np.tile(np.arange(width), len(score))
+            near = np.lexsort((cell, -score.reshape(-1)))[: self.nprobe]
+            out[at] = np.bincount(cell[near], minlength=width)
         return out
 
 
@@ -198,7 +212,7 @@ def nearest_kernel(k: int, cells: Cells | None = None):
             with np.errstate(all="ignore"):
                 groups[dim] = (row_of[at], block, np.linalg.norm(block, axis=1))
             if cells is not None and dim == cells.centroids.shape[1]:
-                probed = cells.probed(block)
+                probed = cells.probed(block, row_of[at])
 
         def run(batches: Batches) -> Batches:
             best = Best(len(codes.dictionary), k)
@@ -220,7 +234,8 @@ def nearest_kernel(k: int, cells: Cells | None = None):
                     rows, block, lengths = groups[dim]
                     own = batch.column("cell").to_numpy(zero_copy_only=False)[at]
                     for cell in np.intersect1d(own, cells.numbers):
-                        asking = np.flatnonzero(probed[:, np.searchsorted(cells.numbers, cell)])
+                        times = probed[:, np.searchsorted(cells.numbers, cell)]
+                        asking = np.repeat(np.arange(len(times)), times)
                         if len(asking):
                             inside = np.flatnonzero(own == cell)
                             _score(best, rows[asking], block[asking], vectors[inside], ids.take(pa.array(inside)), lengths[asking])
